@@ -105,13 +105,14 @@ def rooms_stock(t):
     "stock_state",
     f"""WITH {_WAIT}, {_HELD}, {_PAID}, {_FINAL} SELECT *, CASE WHEN remaining <= 0 THEN 'full'
         WHEN remaining <= 3 THEN 'tight' ELSE 'open' END AS state,
-        CAST(CASE WHEN remaining <= 0 THEN waitlist_count + 1 END AS INT) AS next_position FROM final""",
+        CAST(CASE WHEN remaining <= 0 THEN waitlist_count + 1 ELSE 0 END AS INT) AS next_position FROM final""",
     "cap",
     "payers",
     "requests",
 )
 def stock_state(t):
-    return stock.stock_state(stock.stock(t.cap, t.payers, t.requests, t.as_of, LONG_HOLD))
+    labelled = stock.stock_state(stock.stock(t.cap, t.payers, t.requests, t.as_of, LONG_HOLD))
+    return labelled.fillna(0, ["next_position"])
 
 
 @query("rooms_state", f"""WITH {_ROOMS} SELECT *, CASE WHEN remaining <= 0 THEN 'full' WHEN remaining <= 3 THEN 'tight'

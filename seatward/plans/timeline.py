@@ -1 +1,45 @@
+"""Replays over event logs."""
 
+from __future__ import annotations
+
+from datetime import timedelta
+
+from seatward.operators import dedupe, replay
+from seatward.plans.registry import query
+
+
+def _kept(minutes: int) -> str:
+    return f"""WITH RECURSIVE kept AS (
+        SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+        UNION ALL
+        SELECT k.user_id, k.event_type, min(e.ts) FROM kept k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type
+            AND e.ts >= k.ts + INTERVAL {minutes} MINUTE GROUP BY 1, 2)
+    SELECT k.user_id, k.event_type, k.ts, min(e.event_id) AS event_id FROM kept k JOIN events e USING (user_id, event_type, ts) GROUP BY 1, 2, 3"""
+
+
+def _dedupe(t, minutes: int):
+    return dedupe.dedupe_holds(t.events, ["user_id", "event_type"], "ts", "event_id", timedelta(minutes=minutes))
+
+
+@query("dedupe_holds", _kept(1440))
+def dedupe_holds(t):
+    return _dedupe(t, 1440)
+
+
+@query("dedupe_holds_30min", _kept(30))
+def dedupe_holds_30min(t):
+    return _dedupe(t, 30)
+
+
+def _replay(t):
+    return replay.replay_requests(t.request_log, t.cap_log, t.payers)
+
+
+@query("replay_requests")
+def replay_requests(t):
+    return _replay(t)[0]
+
+
+@query("replay_request_rows")
+def replay_request_rows(t):
+    return _replay(t)[1]
