@@ -25,12 +25,13 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe key equality, so rows with a null key are kept."""
+def join_same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join that keeps rows with null keys; the columns are the left ones and what else is on the right."""
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        right = right.withColumnRenamed(k, f"_r_{k}")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, cond).drop(*[f"_r_{k}" for k in keys])
 
 
 def slice_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, total: int) -> DataFrame:
@@ -48,17 +49,15 @@ def _window(keys: Sequence[str], order: Sequence[str]):
 
 
 def _with_offset(sliced: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
-    """Add ``_before``: the total of ``amount`` over the earlier slices of the same key."""
+    """Add ``_slice_before``: the total of ``amount`` over the earlier slices of the same key."""
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, SLICE)
-        .agg(amount.alias("_amount"))
-        .withColumn("_before", F.coalesce(F.sum("_amount").over(before), F.lit(0)))
-        .drop("_amount")
-    )
-    return sliced.join(offsets, same_key(sliced, offsets, [*keys, SLICE])).select(
-        *[sliced[c] for c in sliced.columns], offsets["_before"]
+        .agg(amount.alias("_slice_amount"))
+        .withColumn("_slice_before", F.coalesce(F.sum("_slice_amount").over(before), F.lit(0)))
+        .drop("_slice_amount")
     )
+    return join_same_key(sliced, offsets, [*keys, SLICE])
 
 
 def rank_rows(
@@ -79,7 +78,7 @@ def rank_rows(
         return df.withColumn(out, F.row_number().over(_window(keys, order)).cast("long"))
     sliced = _with_offset(slice_by_range(df, keys, order, limit, total), keys, F.count(F.lit(1)))
     here = F.row_number().over(_window([*keys, SLICE], order))
-    return sliced.withColumn(out, (F.col("_before") + here).cast("long")).drop(SLICE, "_before")
+    return sliced.withColumn(out, (F.col("_slice_before") + here).cast("long")).drop(SLICE, "_slice_before")
 
 
 def running_sum(
@@ -98,7 +97,7 @@ def running_sum(
         return df.withColumn(out, F.sum(value).over(_window(keys, order).rowsBetween(*upto)).cast("long"))
     sliced = _with_offset(slice_by_range(df, keys, order, limit, total), keys, F.sum(value))
     here = F.sum(value).over(_window([*keys, SLICE], order).rowsBetween(*upto))
-    return sliced.withColumn(out, (F.col("_before") + here).cast("long")).drop(SLICE, "_before")
+    return sliced.withColumn(out, (F.col("_slice_before") + here).cast("long")).drop(SLICE, "_slice_before")
 
 
 def count_up_to(
@@ -112,7 +111,7 @@ def count_up_to(
         return df.withColumn(out, F.count(F.lit(1)).over(peers).cast("long"))
     per_time = df.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_sum(per_time, keys, [at], "_n", out, limit).drop("_n")
-    return df.join(upto, same_key(df, upto, [*keys, at])).select(*[df[c] for c in df.columns], upto[out])
+    return join_same_key(df, upto, [*keys, at])
 
 
 def previous_values(
@@ -121,29 +120,32 @@ def previous_values(
     order: Sequence[str],
     values: Sequence[str],
     prefix: str = "prev_",
+    where: Column | None = None,
     max_group_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Values of the row before this one in its key; null on the first row."""
+    """Values of the latest earlier row of the key (for which ``where`` holds); null when there is none.
+
+    ``sizes`` may be any upper bound on the groups.
+    """
     limit = group_limit(df.sparkSession, max_group_rows)
-    largest, total = group_sizes(df, keys)
-    names = [prefix + v for v in values]
+    largest, total = sizes or group_sizes(df, keys)
+    where = F.lit(True) if where is None else where
+    found = F.when(where, F.struct(*values))
+    before = (Window.unboundedPreceding, -1)
+    names = [F.col("_slice_found")[v].alias(prefix + v) for v in values]
     if largest <= limit:
-        w = _window(keys, order)
-        return df.select("*", *[F.lag(v).over(w).alias(n) for v, n in zip(values, names)])
+        latest = F.last(found, ignorenulls=True).over(_window(keys, order).rowsBetween(*before))
+        return df.withColumn("_slice_found", latest).select(*df.columns, *names)
     sliced = slice_by_range(df, keys, order, limit, total)
-    rows = F.struct(*[F.col(o) for o in order])
-    last = (
+    at = F.when(where, F.struct(*[F.col(o) for o in order]))
+    over_slices = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*before)
+    carry = (
         sliced.groupBy(*keys, SLICE)
-        .agg(F.max_by(F.struct(*values), rows).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
-        .drop("_last")
-    )
-    w = _window([*keys, SLICE], order)
-    joined = sliced.join(last, same_key(sliced, last, [*keys, SLICE])).select(
-        *[sliced[c] for c in sliced.columns], last["_carry"]
-    )
-    first = F.row_number().over(w) == 1
-    return joined.select(
-        *df.columns,
-        *[F.when(first, F.col("_carry")[v]).otherwise(F.lag(v).over(w)).alias(n) for v, n in zip(values, names)],
+        .agg(F.max_by(found, at).alias("_slice_last"))
+        .withColumn("_slice_carry", F.last("_slice_last", ignorenulls=True).over(over_slices))
+        .drop("_slice_last")
     )
+    joined = join_same_key(sliced, carry, [*keys, SLICE])
+    here = F.last(found, ignorenulls=True).over(_window([*keys, SLICE], order).rowsBetween(*before))
+    return joined.withColumn("_slice_found", F.coalesce(here, F.col("_slice_carry"))).select(*df.columns, *names)

@@ -28,7 +28,8 @@ def in_pools(df: DataFrame, cap: DataFrame, keys: Sequence[str] = POOL) -> DataF
 
 
 def as_instant(as_of: datetime | Column) -> Column:
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    """A given instant as written, whatever time zone the driver is in."""
+    return as_of if isinstance(as_of, Column) else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def hold_start(hold_from: str = "created_at") -> Column:

@@ -90,15 +90,23 @@ def _states_before(items: Column, start: Column) -> Column:
     )["seen"]
 
 
-def chain_states(chain: DataFrame, starts: DataFrame, key: str, order: Sequence[str], chunk: int = CHUNK,
-                 max_group_rows: int | None = None) -> DataFrame:
+def chain_states(
+    chain: DataFrame,
+    starts: DataFrame,
+    key: str,
+    order: Sequence[str],
+    chunk: int = CHUNK,
+    max_group_rows: int | None = None,
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
     """State in front of every map ``_f`` of each key's ordered chain, as column ``_state``.
 
     Maps compose, so a chain is cut into chunks of ``chunk`` maps. Each chunk is reduced to one map, the chunk maps
     form a chain ``chunk`` times shorter, and its states are the chunks' starting states. No array exceeds
-    ``chunk`` items however long one key's chain is; a chain of 10^12 takes five levels.
+    ``chunk`` items however long one key's chain is; a chain of 10^12 takes five levels. ``sizes`` may be any upper
+    bound on the groups.
     """
-    sizes = group_sizes(chain, [key])
+    sizes = sizes or group_sizes(chain, [key])
     payload = [c for c in chain.columns if c != key]
     item = F.struct(*order, *[c for c in payload if c not in order])
     levels = max(1, math.ceil(math.log(max(sizes[0], 1), chunk) - 1e-9))
@@ -107,16 +115,14 @@ def chain_states(chain: DataFrame, starts: DataFrame, key: str, order: Sequence[
         entry = starts.select(key, F.col("start").alias("_start"))
         chunks = chunks.join(entry, key)
     else:
+        number = f"_chunk_of_{order[-1]}"
         ranked = rank_rows(chain, [key], order, "_rank", max_group_rows, sizes)
-        numbered = ranked.withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk)).drop("_rank")
-        chunks = pin(numbered.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(item)).alias("_items")))
-        maps = chunks.select(
-            key,
-            "_chunk",
-            F.aggregate("_items", F.lit(_IDENTITY), lambda acc, x: _then(acc, x["_f"])).alias("_f"),
-        )
-        entry = chain_states(maps, starts, key, ["_chunk"], chunk, max_group_rows)
-        chunks = chunks.join(entry.select(key, "_chunk", F.col("_state").alias("_start")), [key, "_chunk"])
+        numbered = ranked.withColumn(number, F.floor((F.col("_rank") - 1) / chunk)).drop("_rank")
+        chunks = pin(numbered.groupBy(key, number).agg(F.array_sort(F.collect_list(item)).alias("_items")))
+        whole = F.aggregate("_items", F.lit(_IDENTITY), lambda acc, x: _then(acc, x["_f"]))
+        maps = chunks.select(key, number, whole.alias("_f"))
+        entry = chain_states(maps, starts, key, [number], chunk, max_group_rows)
+        chunks = chunks.join(entry.select(key, number, F.col("_state").alias("_start")), [key, number])
     pairs = F.arrays_zip(F.col("_items").alias("_items"), _states_before(F.col("_items"), F.col("_start")).alias("_seen"))
     return (
         chunks.select(key, F.explode(pairs).alias("_p"))
@@ -168,37 +174,38 @@ def replay_battles(
         )
         .withColumn("_contest", F.col("reason").isNull() & (w != l))
     )
-    chain = checked.filter("_contest").select(
-        "cell_id", "ts", "id", "winner_email", F.col("loser_alliance"), _step(_code(l), _code(w)).alias("_f")
-    )
+    # Counted on the log as it comes: an upper bound, and a scan of one column.
+    sizes = group_sizes(battles.filter(F.col("cell_id").isNotNull()), ["cell_id"])
+    kept = ["id", "ts", "winner_email", "loser_email", "round", "winner_alliance", "loser_alliance", "_cell_owner"]
+    chain = checked.filter("_contest").select("cell_id", *kept, _step(_code(l), _code(w)).alias("_f"))
     starts = cells.select(F.col("id").alias("cell_id"), _code(F.col("current_alliance")).alias("start"))
-    held = chain_states(chain, starts, "cell_id", ["ts", "id"], chunk, max_group_rows)
-    taken = held.filter(F.col("_state") == _code(F.col("loser_alliance"))).drop("_f", "_state")
-    taken = previous_values(taken, ["cell_id"], ["ts", "id"], ["winner_email"], "_prev_", max_group_rows)
-    taken = taken.select("id", F.lit(True).alias("_taken"), F.col("_prev_winner_email"))
-    move = F.col("_taken")
-    log = (
-        checked.join(taken, "id", "left")
-        .withColumns(
-            {
-                "outcome": F.when(F.col("reason").isNotNull(), "rejected")
-                .when(~F.col("_contest"), "same_alliance")
-                .when(move, "transfer")
-                .otherwise("rejected"),
-                "reason": F.coalesce(
-                    F.col("reason"), F.when(F.col("_contest") & move.isNull(), "cell_not_of_loser_alliance")
-                ),
-                "cell_transferred_id": F.when(move, F.col("cell_id")),
-                "prev_alliance": F.when(move, l),
-                "prev_owner_email": F.when(move, F.coalesce(F.col("_prev_winner_email"), F.col("_cell_owner"))),
-                "notes": F.when(F.col("reason").isNull() & ~F.col("_contest"), F.lit(SAME_ALLIANCE_NOTE)),
-            }
-        )
-        .select(
-            "id", "ts", "winner_email", "loser_email", "round", "winner_alliance", "outcome", "reason",
-            "cell_transferred_id", "prev_alliance", "prev_owner_email", "notes",
-        )
+    held = chain_states(chain, starts, "cell_id", ["ts", "id"], chunk, max_group_rows, sizes)
+    held = held.withColumn("_taken", F.col("_state") == _code(l))
+    held = previous_values(
+        held, ["cell_id"], ["ts", "id"], ["winner_email"], "_prev_", F.col("_taken"), max_group_rows, sizes
     )
+    taken, no_text = F.col("_taken"), F.lit(None).cast("string")
+    columns = ["id", "ts", "winner_email", "loser_email", "round", "winner_alliance"]
+    contested = held.select(
+        *columns,
+        F.when(taken, "transfer").otherwise("rejected").alias("outcome"),
+        F.when(~taken, "cell_not_of_loser_alliance").alias("reason"),
+        F.when(taken, F.col("cell_id")).alias("cell_transferred_id"),
+        F.when(taken, l).alias("prev_alliance"),
+        F.when(taken, F.coalesce(F.col("_prev_winner_email"), F.col("_cell_owner"))).alias("prev_owner_email"),
+        no_text.alias("notes"),
+    )
+    ally = F.col("reason").isNull()
+    others = checked.filter(~F.coalesce(F.col("_contest"), F.lit(False))).select(
+        *columns,
+        F.when(ally, "same_alliance").otherwise("rejected").alias("outcome"),
+        "reason",
+        no_text.alias("cell_transferred_id"),
+        no_text.alias("prev_alliance"),
+        no_text.alias("prev_owner_email"),
+        F.when(ally, F.lit(SAME_ALLIANCE_NOTE)).alias("notes"),
+    )
+    log = contested.unionByName(others)
     return log, cells_after(cells, log)
 
 
@@ -228,8 +235,9 @@ def battle_before_image(transfers: DataFrame, cells: DataFrame, max_group_rows:
     """Alliance and owner of the cell before each transfer: the previous transfer's, or the original ones."""
     order = ["ts", "id"]
     prev = previous_values(
-        transfers, ["cell_transferred_id"], order, ["winner_alliance", "winner_email"], "_p_", max_group_rows
-    )
+        transfers, ["cell_transferred_id"], order, ["winner_alliance", "winner_email"], "_p_",
+        max_group_rows=max_group_rows,
+    )
     base = cells.select(F.col("id").alias("cell_transferred_id"), "original_alliance", "cluster_owner_email")
     return prev.join(base, "cell_transferred_id").select(
         *transfers.columns,

@@ -55,11 +55,12 @@ def delete_where(df: DataFrame, pred: Column) -> DataFrame:
 
 def missing_from(src: DataFrame, dst: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``src`` with no row in ``dst`` of the same keys; ``email`` compares in lower case."""
-    side = lambda df, k: F.lower(df[k]) if k == "email" else df[k]
+    plain = lambda k, c: F.lower(c) if k == "email" else c
+    there = dst.select(*[plain(k, F.col(k)).alias(f"_there_{k}") for k in keys])
     cond = F.lit(True)
     for k in keys:
-        cond = cond & (side(src, k) == side(dst, k))
-    return src.join(dst, cond, "left_anti")
+        cond = cond & (plain(k, F.col(k)) == F.col(f"_there_{k}"))
+    return src.join(there, cond, "left_anti")
 
 
 def upsert_payers(current: DataFrame, batch: DataFrame, order: str = "id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from seatward.functions import dims
 from seatward.sources import fixtures
+from seatward.sources.streams import stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,10 @@ class Inputs:
         setattr(self, name, df)
         return df
 
+    def stream(self, name: str) -> DataFrame:
+        """The named input as a file stream."""
+        return fixtures.table(self._spark, self._folder, name, stream_table)
+
     @property
     def cap(self) -> DataFrame:
         return dims.inscription_pools(self._spark)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from seatward.functions.rules import check_between, check_in, check_not_null, check_table
 from seatward.functions.dims import STATUSES
 from seatward.operators import payments, queue, stock
-from seatward.plans.registry import CUTOFF, LONG_HOLD, query
+from seatward.plans.registry import AS_OF, CUTOFF, LONG_HOLD, query
+from seatward.sources.streams import drain, run_folder
+from seatward.streaming.live_stock import stream_stock as live_stock
 
 _WAIT = """wait AS (SELECT pool, CAST(count(*) AS INT) AS n FROM requests
     WHERE payment_status <> 'cancelled' AND is_waitlist GROUP BY pool)"""
@@ -281,3 +283,19 @@ def rule_check(t):
         check_between("amount_eur", 1000, 400000),
     ]
     return check_table(t.forms, rules, {"email_unique": ["email"], "email_pool_unique": ["email", "pool"]})
+
+
+@query(
+    "stream_stock",
+    f"WITH {_WAIT}, {_HELD}, {_PAID}, {_FINAL} SELECT *, {AS_OF} AS as_of FROM final",
+    "cap",
+    "payers",
+    "requests",
+)
+def stream_stock(t):
+    """The order table as a stream; one file is one micro-batch."""
+    spark = t.requests.sparkSession
+    base = run_folder(spark, "stock")
+    writer = live_stock(t.stream("requests"), t.cap, t.payers, f"{base}/rows", f"{base}/stock", LONG_HOLD)
+    drain(spark, writer, f"{base}/progress")
+    return spark.read.option("basePath", f"{base}/stock").parquet(f"{base}/stock/batch=*").drop("batch")

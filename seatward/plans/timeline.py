@@ -6,6 +6,9 @@ from datetime import timedelta
 
 from seatward.operators import dedupe, replay
 from seatward.plans.registry import query
+from seatward.sources.streams import drain_to_table
+from seatward.streaming.admission import stream_admission as admit_stream
+from seatward.streaming.dedupe import stream_dedupe as dedupe_stream
 
 
 def _kept(minutes: int) -> str:
@@ -43,3 +46,17 @@ def replay_requests(t):
 @query("replay_request_rows")
 def replay_request_rows(t):
     return _replay(t)[1]
+
+
+@query("stream_dedupe", _kept(1440))
+def stream_dedupe(t):
+    """The event table as a stream; the kept rows equal the batch result."""
+    marked = dedupe_stream(t.stream("events"), ["user_id", "event_type"], "ts", "event_id", timedelta(minutes=1440))
+    rows = drain_to_table(marked, "dedupe")
+    return rows.filter("outcome = 'kept'").drop("outcome", "kept_id")
+
+
+@query("stream_admission")
+def stream_admission(t):
+    rows = drain_to_table(admit_stream(t.stream("request_log"), t.cap_log, t.payers), "admission")
+    return rows.filter("seq IS NOT NULL").select("pool", "seq", "action", "row_id", "waitlist_position")

@@ -21,10 +21,7 @@ def local_session(app: str = "seatward", cores: str = "*", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

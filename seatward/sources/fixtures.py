@@ -157,17 +157,17 @@ def _names(text: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", text)) - {"ntz", "k"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named input as a DataFrame; given tables are loaded as they are."""
+def table(spark: SparkSession, sf_dir: str, name: str, scan=load) -> DataFrame:
+    """The named input as a DataFrame; given tables are read with ``scan``."""
     if name in TABLES:
-        return load(spark, sf_dir, name)
+        return scan(spark, sf_dir, name)
     if name == "region_list":
         from seatward.functions.dims import dim_df
 
         rows = [(i, r) for i, (r, _) in enumerate(REGION_ALLIANCE)]
         return dim_df(spark, rows, [("idx", "int"), ("region", "string")])
     text = SQL[name]
-    sources = {n: table(spark, sf_dir, n) for n in _names(text)}
+    sources = {n: table(spark, sf_dir, n, scan) for n in _names(text)}
     return spark.sql(text.format(**DIALECT["spark"], **{n: "{" + n + "}" for n in sources}), **sources)
 
 
