@@ -16,7 +16,7 @@ from seatward.functions.dims import HOLD, interval
 from seatward.operators.ordered import rank_rows, running_sum
 from seatward.session import pin
 
-# Distinct instants of one key folded in one array; busier keys follow pointers instead.
+# Rows of one key folded in one array; busier keys follow pointers instead.
 FOLD_ROWS = 10_000
 
 
@@ -31,26 +31,25 @@ def dedupe_holds(
 ) -> DataFrame:
     """(keys, ``at``, ``id``) of the kept rows. Of rows at one instant the smallest id counts."""
     keys = list(keys)
-    clicks = requests.groupBy(*keys, at).agg(F.min(id).alias(id))
-    sizes = clicks.groupBy(*keys).count()
-    busy = sizes.filter(F.col("count") > fold_rows).select(*keys)
+    rows = requests.select(*keys, at, id)
+    busy = rows.groupBy(*keys).count().filter(F.col("count") > fold_rows).select(*keys)
     if busy.isEmpty():
-        return _kept_by_fold(clicks, keys, at, id, hold)
+        return _kept_by_fold(rows, keys, at, id, hold)
     busy = pin(busy)
-    few = clicks.join(busy, keys, "left_anti")
-    many = clicks.join(busy, keys, "left_semi")
+    few = rows.join(busy, keys, "left_anti")
+    many = rows.join(busy, keys, "left_semi").groupBy(*keys, at).agg(F.min(id).alias(id))
     return _kept_by_fold(few, keys, at, id, hold).unionByName(
         _kept_by_pointers(many, keys, at, id, hold, max_group_rows)
     )
 
 
-def _kept_by_fold(clicks: DataFrame, keys: list[str], at: str, id: str, hold: timedelta) -> DataFrame:
-    """One ordered pass over each key's array of instants."""
-    row = F.struct(F.col(at), F.col(id))
-    rows = clicks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+def _kept_by_fold(rows: DataFrame, keys: list[str], at: str, id: str, hold: timedelta) -> DataFrame:
+    """One ordered pass over each key's array, of at most ``fold_rows`` items; one shuffle."""
+    item = F.struct(F.col(at), F.col(id))
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     first = F.struct(F.col("_rows")[0][at].alias("anchor"), F.array(F.col("_rows")[0]).alias("kept"))
     kept = F.aggregate(
-        F.slice("_rows", 2, F.greatest(F.size("_rows"), F.lit(1))),
+        F.slice("_rows", 2, F.size("_rows")),
         first,
         lambda acc, x: F.when(
             x[at] >= acc["anchor"] + interval(hold),

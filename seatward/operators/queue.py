@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seatward.functions.dims import HOLD, interval
 from seatward.functions.text import EXPIRED_NOTE, append_note
-from seatward.operators.ordered import count_up_to, rank_rows
+from seatward.operators.ordered import count_up_to, group_sizes, rank_rows
 from seatward.operators.stock import POOL, active_holds, as_instant, hold_start, waiting
 
 
@@ -48,10 +48,12 @@ def _promote(
 ) -> DataFrame:
     """Give each pool's first ``_freed`` live waitlist rows a place. ``freed`` holds one row per pool.
 
-    Pools that freed nothing leave before the ranking.
+    Pools that freed nothing leave before the ranking; the whole waitlist bounds its groups.
     """
-    concerned = waiting(requests).join(freed.select(*keys), list(keys), "left_semi")
-    ranked = rank_rows(concerned.select(*keys, "id", "created_at"), keys, ["created_at", "id"], "_rank", max_group_rows)
+    line = waiting(requests).select(*keys, "id", "created_at")
+    concerned = line.join(freed.select(*keys), list(keys), "left_semi")
+    sizes = group_sizes(line, keys)
+    ranked = rank_rows(concerned, keys, ["created_at", "id"], "_rank", max_group_rows, sizes)
     heads = ranked.join(freed, list(keys)).filter("_rank <= _freed").select("id", F.lit(True).alias("_head"))
     return (
         requests.join(heads, "id", "left")

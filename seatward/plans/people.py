@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from seatward.operators import invites, payments, writes
 from seatward.plans.registry import query
+from seatward.sources.streams import run_folder
+from seatward.sources.tables import export_csv, read_payers_csv, split_bad_records
 
 
 @query(
@@ -156,3 +158,34 @@ def allowed_commands(t):
 )
 def payers_upsert(t):
     return writes.upsert_payers(t.payers.select("id", "email", "pool", "transaction_id", "montant_eur"), t.payers_batch)
+
+
+@query(
+    "payers_csv",
+    """SELECT email, pool, transaction_id, expected_champions, CAST(montant_eur AS DOUBLE) AS montant_eur, imported_at, nom,
+        prenom, team_label FROM payers""",
+    "payers",
+)
+def payers_csv(t):
+    """The payer list written as a CSV export and read back with the declared schema."""
+    path = run_folder(t.payers.sparkSession, "payers")
+    p = t.payers
+    blank = [F.lit(None).cast("string").alias(c) for c in ("adresse", "code_postal", "ville")]
+    export_csv(
+        p.select(
+            "id", "email", "prenom", "nom", *blank, "imported_at", "transaction_id", "pool",
+            F.col("email").alias("acheteur_email"), "expected_champions", "team_label", "montant_eur",
+        ),
+        path,
+    )
+    good = split_bad_records(read_payers_csv(p.sparkSession, path))
+    return good.select(
+        "email", "pool", "transaction_id", "expected_champions", "montant_eur", "imported_at", "nom", "prenom", "team_label"
+    )
+
+
+@query("export_csv", "SELECT email, pseudo, region, invited_by_email FROM champions", "champions")
+def export_champions(t):
+    path = run_folder(t.champions.sparkSession, "champions")
+    export_csv(t.champions.select("email", "pseudo", "region", "invited_by_email"), path)
+    return t.champions.sparkSession.read.option("header", True).csv(path)

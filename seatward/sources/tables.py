@@ -35,17 +35,19 @@ def read_payers_csv(spark: SparkSession, path: str, schema: str | None = None) -
 def split_bad_records(df: DataFrame, bad_path: str | None = None) -> DataFrame:
     """Good rows; bad ones are written to ``bad_path`` when given."""
     if bad_path is not None:
-        df.filter(F.col(BAD_RECORD).isNotNull()).select("*").write.mode("overwrite").json(bad_path)
+        df.filter(F.col(BAD_RECORD).isNotNull()).write.mode("overwrite").json(bad_path)
     return df.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One part file per task. Arrays become ``;``-joined text, which CSV can hold."""
+    # Fields are written as they are; the writer would trim them by default.
     flat = [
         F.array_join(F.col(f.name), ";").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
         for f in df.schema.fields
     ]
-    df.select(*flat).write.mode(mode).option("header", True).csv(path)
+    writer = df.select(*flat).write.mode(mode).option("header", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_field(col: Column, path: str, kind: str = "string") -> Column:

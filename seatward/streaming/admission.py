@@ -40,19 +40,20 @@ class PoolAdmission(StatefulProcessor):
         values = self.rows.getValue((n,)) if self.rows.containsKey((n,)) else None
         return None if values is None else dict(zip(FIELDS, values)) | {"n": n}
 
-    def _newest(self, email: str, count: int) -> Iterator[dict]:
-        """Up to ``count`` newest live rows of an e-mail; cancelled ones, always on top, are popped."""
+    def _live_depth(self, email: str) -> int:
+        """Height of an e-mail's stack after popping rows cancelled meanwhile, which are always on top."""
         d = self.depth.getValue((email,))[0] if self.depth.containsKey((email,)) else 0
-        while d > 0:
-            row = self._row(self.stack.getValue((email, d))[0])
-            if row is not None:
-                break
+        while d > 0 and not self.rows.containsKey(self.stack.getValue((email, d))):
             self.stack.removeKey((email, d))
             d -= 1
         self.depth.updateValue((email,), (d,))
-        while d > 0 and count > 0:
-            yield self._row(self.stack.getValue((email, d))[0])
-            d, count = d - 1, count - 1
+        return d
+
+    def _newest(self, email: str, count: int) -> Iterator[dict]:
+        """Up to ``count`` newest live rows of an e-mail."""
+        d = self._live_depth(email)
+        for level in range(d, max(d - count, 0), -1):
+            yield self._row(self.stack.getValue((email, level))[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
@@ -110,11 +111,11 @@ class PoolAdmission(StatefulProcessor):
         for n in sorted(desk.changed):
             row = desk.rows[n]
             live = row["payment_status"] != "cancelled"
-            if n > before:
-                d = (self.depth.getValue((row["email"],))[0] if self.depth.containsKey((row["email"],)) else 0) + 1
+            if n > before and live:
+                d = self._live_depth(row["email"]) + 1
                 self.depth.updateValue((row["email"],), (d,))
                 self.stack.updateValue((row["email"], d), (n,))
-                if row["is_waitlist"] and live:
+                if row["is_waitlist"]:
                     self.queue.updateValue((tail,), (n,))
                     tail += 1
             if live:
