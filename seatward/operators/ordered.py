@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from seatward.session import group_limit, pin
 
 SLICE = "_slice"
+# More slices than this make the shuffle itself the cost; beyond it slices grow, and a task's sort spills.
+MAX_SLICES = 20_000
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -39,7 +41,7 @@ def slice_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], row
 
     The bounds come from a sample, so a recomputation could move them: the slice numbers are written once.
     """
-    n = max(2, math.ceil(total / rows))
+    n = min(max(2, math.ceil(total / rows)), MAX_SLICES)
     cols = [F.col(k).asc() for k in keys] + [F.col(o).asc_nulls_last() for o in order]
     return pin(df.repartitionByRange(n, *cols).withColumn(SLICE, F.spark_partition_id()))
 

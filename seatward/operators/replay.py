@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatward.functions.dims import HOLD, interval
@@ -279,5 +279,20 @@ def _decisions(out: DataFrame) -> DataFrame:
     return out.filter(F.col("seq").isNotNull()).select("pool", *DECISION_FIELDS)
 
 
+def answers(decisions: DataFrame, price: Column) -> DataFrame:
+    """What each registration is told: row, price, waitlist flag and position.
+
+    A reused hold is quoted the price of today, whatever its row was stored with.
+    """
+    told = decisions.filter(F.col("action").isin("reused", "held", "waitlisted"))
+    return told.select(
+        "seq",
+        "row_id",
+        price.alias("amount_eur"),
+        (F.col("action") == "waitlisted").alias("is_waitlist"),
+        "waitlist_position",
+    )
+
+
 def _rows(out: DataFrame) -> DataFrame:
     return out.filter(F.col("n").isNotNull()).select("pool", *ROW_FIELDS)

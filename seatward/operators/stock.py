@@ -73,9 +73,15 @@ def unpaid_holds(holds: DataFrame, payers: DataFrame) -> DataFrame:
 
 
 def unpaid_hold_counts(holds: DataFrame, payers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts of ``unpaid_holds``; summed per e-mail first, so a busy address crosses the join as few rows."""
-    per_email = holds.groupBy(*keys, F.lower(F.col("email")).alias("email")).agg(F.count(F.lit(1)).alias("_n"))
-    return unpaid_holds(per_email, payers).groupBy(*keys).agg(F.sum("_n").cast("int").alias("_held"))
+    """Counts of ``unpaid_holds`` per pool.
+
+    Counted per e-mail before the join, so a busy address is one row there. An anti join would be pushed below that
+    count; a left join whose matches are dropped is not.
+    """
+    per_email = holds.groupBy(*keys, F.lower(F.col("email")).alias("_mail")).agg(F.count(F.lit(1)).alias("_n"))
+    paid = payers.select(norm_email(F.col("email")).alias("_payer"))
+    unpaid = per_email.join(paid, F.col("_mail") == F.col("_payer"), "left").filter(F.col("_payer").isNull())
+    return unpaid.groupBy(*keys).agg(F.sum("_n").cast("int").alias("_held"))
 
 
 def _zero(name: str) -> Column:

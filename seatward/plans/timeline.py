@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
+from seatward.functions.dims import pool_price
 from seatward.operators import dedupe, replay
 from seatward.plans.registry import query
 from seatward.sources.streams import drain_to_table
@@ -43,6 +46,11 @@ def replay_requests(t):
     return _replay(t)[0]
 
 
+@query("replay_answers")
+def replay_answers(t):
+    return replay.answers(_replay(t)[0], pool_price(F.col("pool")))
+
+
 @query("replay_request_rows")
 def replay_request_rows(t):
     return _replay(t)[1]
