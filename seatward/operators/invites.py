@@ -69,6 +69,7 @@ def redeem_tokens(
         )
         .drop("_known", "_used")
     )
+    checked = pin(checked)
     open_to_win = F.col("_fixed").isNull() & F.col("_champion").isNull()
     left = pin(checked.filter(open_to_win).select("seq", "token", "email"))
     winners = None

@@ -172,12 +172,13 @@ def replay_battles(
                 ),
             ),
         )
-        .withColumn("_contest", F.col("reason").isNull() & (w != l))
+        .withColumn("_contest", F.coalesce(F.col("reason").isNull() & (w != l), F.lit(False)))
     )
-    # Counted on the log as it comes: an upper bound, and a scan of one column.
-    sizes = group_sizes(battles.filter(F.col("cell_id").isNotNull()), ["cell_id"])
+    # Read three times below: the joins run once.
+    checked = pin(checked)
     kept = ["id", "ts", "winner_email", "loser_email", "round", "winner_alliance", "loser_alliance", "_cell_owner"]
     chain = checked.filter("_contest").select("cell_id", *kept, _step(_code(l), _code(w)).alias("_f"))
+    sizes = group_sizes(chain, ["cell_id"])
     starts = cells.select(F.col("id").alias("cell_id"), _code(F.col("current_alliance")).alias("start"))
     held = chain_states(chain, starts, "cell_id", ["ts", "id"], chunk, max_group_rows, sizes)
     held = held.withColumn("_taken", F.col("_state") == _code(l))
@@ -196,7 +197,7 @@ def replay_battles(
         no_text.alias("notes"),
     )
     ally = F.col("reason").isNull()
-    others = checked.filter(~F.coalesce(F.col("_contest"), F.lit(False))).select(
+    others = checked.filter(~F.col("_contest")).select(
         *columns,
         F.when(ally, "same_alliance").otherwise("rejected").alias("outcome"),
         "reason",

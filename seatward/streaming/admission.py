@@ -42,11 +42,12 @@ class PoolAdmission(StatefulProcessor):
 
     def _live_depth(self, email: str) -> int:
         """Height of an e-mail's stack after popping rows cancelled meanwhile, which are always on top."""
-        d = self.depth.getValue((email,))[0] if self.depth.containsKey((email,)) else 0
+        stored = d = self.depth.getValue((email,))[0] if self.depth.containsKey((email,)) else 0
         while d > 0 and not self.rows.containsKey(self.stack.getValue((email, d))):
             self.stack.removeKey((email, d))
             d -= 1
-        self.depth.updateValue((email,), (d,))
+        if d != stored:
+            self.depth.updateValue((email,), (d,))
         return d
 
     def _newest(self, email: str, count: int) -> Iterator[dict]:
@@ -108,25 +109,30 @@ class PoolAdmission(StatefulProcessor):
         return head
 
     def _store(self, desk: PoolDesk, before: int, tail: int, now: int) -> int:
+        """Write changed rows; rows up to number ``before`` are in the store already."""
+        depths: dict[str, int] = {}
         for n in sorted(desk.changed):
-            row = desk.rows[n]
-            live = row["payment_status"] != "cancelled"
-            if n > before and live:
-                d = self._live_depth(row["email"]) + 1
-                self.depth.updateValue((row["email"],), (d,))
-                self.stack.updateValue((row["email"], d), (n,))
-                if row["is_waitlist"]:
-                    self.queue.updateValue((tail,), (n,))
-                    tail += 1
+            row, new = desk.rows[n], n > before
+            email, live = row["email"], row["payment_status"] != "cancelled"
+            if new and not live:
+                continue
             if live:
                 self.rows.updateValue((n,), tuple(row[f] for f in FIELDS))
-            elif self.rows.containsKey((n,)):
+            else:
                 self.rows.removeKey((n,))
+            if new:
+                depths[email] = (depths[email] if email in depths else self._live_depth(email)) + 1
+                self.stack.updateValue((email, depths[email]), (n,))
+            if new and row["is_waitlist"]:
+                self.queue.updateValue((tail,), (n,))
+                tail += 1
             holds = row["payment_status"] == "pending" and not row["is_waitlist"]
             if holds and row["created_at"] > now - self.hold:
                 self.active.updateValue((n,), (row["created_at"],))
-            elif self.active.containsKey((n,)):
+            elif not new and self.active.containsKey((n,)):
                 self.active.removeKey((n,))
+        for email, d in depths.items():
+            self.depth.updateValue((email,), (d,))
         return tail
 
     def close(self) -> None:
