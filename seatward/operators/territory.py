@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatward.functions.dims import ALLIANCES, CELLS_PER_CHAMPION, ROUNDS
+from seatward.functions.dims import ALLIANCES, CELLS_PER_CHAMPION, ROUNDS, dim_df
 from seatward.functions.text import SAME_ALLIANCE_NOTE
 from seatward.operators.ordered import group_sizes, previous_values, rank_rows
 from seatward.operators.writes import expand_slots, insert_ignore
@@ -299,7 +299,7 @@ def cells_per_champion(champions: DataFrame, cells: DataFrame) -> DataFrame:
 def redistribute(neutral: DataFrame, placed: DataFrame, k: int = 3) -> DataFrame:
     """Assign each neutral champion to one of the ``k`` alliances with fewest champions, by a hash of the e-mail."""
     spark = neutral.sparkSession
-    names = spark.createDataFrame([(a,) for a in ALLIANCES], "alliance string")
+    names = dim_df(spark, [(a,) for a in ALLIANCES], [("alliance", "string")])
     counts = placed.groupBy("alliance").agg(F.count(F.lit(1)).alias("_n"))
     fewest = names.join(counts, "alliance", "left").orderBy(F.coalesce(F.col("_n"), F.lit(0)), "alliance").limit(k)
     # At most four rows: one array, looked up by position.

@@ -115,6 +115,22 @@ def test_admission_replay(spark, seed, slice_rows):
     assert got_rows == want_rows
 
 
+@pytest.mark.parametrize("slice_rows", [1_000_000, 1])
+def test_admission_edges(spark, slice_rows):
+    """Commands without a row, a pool without capacity, and missing keys."""
+    log = [
+        (1, START, "pay", "e1@x", "equipe"),
+        (2, START, "create", "e2@x", "jeu_libre"),
+        (3, START, "cancel", "e9@x", "zzz"),
+        (4, START, "create", None, "equipe"),
+        (5, START, "create", "e5@x", None),
+    ]
+    decisions, rows = replay.replay_requests(*admission_frames(spark, log), HOLD, slice_rows)
+    got = {r["seq"]: r["action"] for r in decisions.collect()}
+    assert got == {1: "unmatched", 2: "held", 3: "unmatched", 4: "held", 5: "waitlisted"}
+    assert rows.count() == 3
+
+
 def test_admission_never_exceeds_capacity(spark):
     """With creations only, the holds active after any admission fit the capacity."""
     log = [r for r in request_log(5, 300) if r[2] == "create"]
