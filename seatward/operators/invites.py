@@ -72,8 +72,9 @@ def redeem_tokens(
     checked = pin(checked)
     open_to_win = F.col("_fixed").isNull() & F.col("_champion").isNull()
     left = pin(checked.filter(open_to_win).select("seq", "token", "email"))
-    winners = None
+    winners, rounds = None, 0
     while not left.isEmpty():
+        rounds += 1
         per_token = left.groupBy("token").agg(F.min_by(F.struct("seq", "email"), "seq").alias("_t"))
         per_email = left.groupBy("email").agg(F.min("seq").alias("seq"))
         won = pin(
@@ -82,6 +83,8 @@ def redeem_tokens(
             )
         )
         winners = won if winners is None else winners.unionByName(won)
+        if rounds % 10 == 0:
+            winners = pin(winners)
         left = pin(
             left.join(won.select("token"), "token", "left_anti").join(won.select("email"), "email", "left_anti")
         )

@@ -269,3 +269,13 @@ def test_failed_redemption_keeps_the_token(spark):
     result, created = invites.redeem_tokens(a, inv, spark.createDataFrame([("old@x",)], "email string"))
     assert {r["seq"]: r["reason"] for r in result.collect()} == {1: "email_taken", 2: None}
     assert created.first()["email"] == "new@x"
+
+
+def test_chained_attempts_take_many_rounds(spark):
+    """Each attempt waits for the one before it: the slowest case, still the sequential result."""
+    attempts = [(i, f"t{i // 2}", f"e{(i + 1) // 2}@x", "p", "r") for i in range(26)]
+    a = spark.createDataFrame(attempts, "seq long, token string, email string, pseudo string, region string")
+    tokens = [f"t{i}" for i in range(13)]
+    inv = spark.createDataFrame([(t, "c@x", None, None) for t in tokens], "token string, inviter_email string, used_by_email string, used_at timestamp_ntz")
+    result, _ = invites.redeem_tokens(a, inv, spark.createDataFrame([("none@x",)], "email string"))
+    assert {r["seq"]: r["reason"] for r in result.collect()} == sequential_tokens(attempts, tokens, [], ["none@x"])
