@@ -1,4 +1,4 @@
 """Importing the operator modules fills the registry."""
 
-from seatward.llm import bpe, dedup, mixing, quality, secrets  # noqa: F401
+from seatward.llm import bpe, dedup, jaccard, mixing, quality, secrets  # noqa: F401
 from seatward.llm.common import ORACLES, QUERIES  # noqa: F401
