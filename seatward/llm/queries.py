@@ -1,4 +1,4 @@
 """Importing the operator modules fills the registry."""
 
-from seatward.llm import bpe, dedup, jaccard, language, mixing, quality, resharding, secrets, warc  # noqa: F401
+from seatward.llm import bpe, dedup, jaccard, language, mixing, quality, resharding, secrets, token_files, warc  # noqa: F401
 from seatward.llm.common import ORACLES, QUERIES  # noqa: F401
