@@ -229,11 +229,11 @@ def shared_lists(postings: DataFrame) -> DataFrame:
                 fresh[0] = v[0] != held[5]
             first = np.flatnonzero(new)
             run_of = np.cumsum(new) - 1 + (0 if new[0] else 1)
-            hubs = [held[1:4]] if not new[0] else []
-            hub_v = np.concatenate([[h[0] for h in hubs], v[first]]).astype(np.int64)
-            hub_n = np.concatenate([[h[1] for h in hubs], n[first]]).astype(np.int64)
-            hub_top = np.concatenate([[h[2] for h in hubs], top[first]]).astype(np.int32)
-            hub_token = np.concatenate([[held[0]] if hubs else [], token[first]]).astype(np.int64) if hubs else token[first]
+            # The open list's hub goes before the hubs of the lists that start here; typed, as an empty list would make floats.
+            hubs = [held[:4]] if not new[0] else []
+            hub_token, hub_v, hub_n, hub_top = (
+                np.concatenate([np.array([h[k] for h in hubs], c.dtype), c[first]]) for k, c in enumerate((token, v, n, top))
+            )
             other = fresh & (v != hub_v[run_of])
             joined = np.zeros(len(hub_v), bool)
             joined[run_of[other]] = True
@@ -363,6 +363,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
     bits = min(MAX_COUNTER_BITS, max(12, (COUNTERS_A_ROW * max(rows, 1)).bit_length()))
     logs, sizes = count_tokens(texts, bits)
     counts = spark.sparkContext.broadcast(logs)
+    # The key is evaluated here alone, and stored.
     keyed = docs.select(packed(docs, carry), F.col(key).alias("key"), F.col(text).alias("text"))
     sets = stored(describe(keyed, counts, boundary(sizes)), "jaccard-sets")
 
@@ -377,6 +378,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
     return unpacked(out, "n_shingles", "component_id")
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of every component, with the input's columns: the smallest key, of equal keys any one; null keys come last.
+
+    Rows without words are in no component and all stay.
+    """
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("pos"))
+    wrapped = docs.select(packed(docs), F.col(text).alias("text"), order.alias("rank"))
+    found = near_duplicates(wrapped, key="rank", carry=["row", "rank"])
+    return found.where("rank = component_id").select("row.*")
+
+
 @query("op6_jaccard_components")
 def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), carry=["doc_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seatward.llm.common import WORD
 from seatward.llm.components import components
-from seatward.llm.jaccard import boundary, can_link, needed, near_duplicates, parity, partners, shingles
+from seatward.llm.jaccard import boundary, can_link, needed, near_duplicates, parity, partners, shared_lists, shingles
 
 
 def brute_sets(rows):
@@ -84,6 +84,21 @@ def test_boundary_changes_nothing(docs_df, rows_of, monkeypatch, small):
     assert rows_of(near_duplicates(docs_df(rows)), "doc_id", "n_shingles", "component_id") == brute(rows)
 
 
+def test_lists_hold_shared_tokens_only(spark):
+    ids = spark.range(60_000)
+    postings = ids.select(
+        F.xxhash64(F.when(F.col("id") % 9 == 0, F.lit(-1)).otherwise(F.col("id") % 50_000)).alias("token"),
+        F.xxhash64(F.floor(F.col("id") / 2)).alias("vertex"), F.lit(50).cast("long").alias("n"), F.lit(60).alias("top"), (F.col("id") % 7).alias("rare"),
+    ).repartition(3)
+    postings = spark.createDataFrame(postings.toPandas(), postings.schema)
+    want = postings.select("token", "vertex").distinct()
+    want = want.join(want.groupBy("token").count().where("count > 1"), "token").select("token", "vertex")
+    got = shared_lists(postings)
+    assert sorted(map(tuple, got.select("token", "vertex").collect())) == sorted(map(tuple, want.collect()))
+    hubs = got.groupBy("token").agg(F.countDistinct("hub").alias("hubs"), F.count_if(F.col("hub") == F.col("vertex")).alias("own"))
+    assert hubs.where("hubs <> 1 OR own <> 1").count() == 0
+
+
 def test_boundary_follows_cost():
     assert boundary({}) == 10 and 0 <= boundary({n: 1000 for n in range(1, 20)}) < 10
     assert all(needed(n, m) <= min(n, m) for n in range(1, 60) for m in partners(n))
