@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatward.functions.dims import pool_price, room_price
+from seatward.functions.dims import INSCRIPTION_POOLS, ROOM_POOLS, pool_price, room_price
 from seatward.functions.rules import first_reason
-from seatward.functions.text import blank_to_null, co_occupants_note, norm_email
+from seatward.functions.text import blank_to_null, co_occupants_note, norm_email, normalise_contacts
 from seatward.operators.ordered import rank_rows
 from seatward.operators.stock import POOL, as_instant
 
@@ -53,16 +53,18 @@ def admit_batch(
 def room_requests(
     stock_df: DataFrame, requests: DataFrame, rules, max_group_rows: int | None = None
 ) -> DataFrame:
-    """Room reservations: validate, admit while rooms are left, refuse the rest; priced per room, two nights."""
+    """Room reservations: validate, admit while rooms are left, refuse the rest; priced per room, two nights.
+
+    Contacts are stored normalised: e-mail in lower case, names trimmed, a blank telephone null.
+    """
     checked = requests.withColumn("reason", first_reason(rules))
     valid = checked.filter(F.col("reason").isNull()).drop("reason")
     decided = admit_batch(stock_df, valid, "reject", ["room_type"], max_group_rows=max_group_rows)
     decided = decided.withColumn("reason", F.when(F.col("decision") == "rejected", "sold_out"))
     refused = checked.filter(F.col("reason").isNotNull()).withColumn("decision", F.lit("rejected"))
     held = F.col("decision") == "held"
-    return decided.unionByName(refused).withColumns(
+    return normalise_contacts(decided.unionByName(refused)).withColumns(
         {
-            "email": norm_email(F.col("email")),
             "nights": F.when(held, F.lit(2)).cast("int"),
             "amount_eur": F.when(held, room_price(F.col("room_type"))),
             "payment_status": F.when(held, F.lit("pending")),
@@ -71,6 +73,18 @@ def room_requests(
     )
 
 
+def admin_rules(key: str = "pool", kinds: Sequence[str] | None = None) -> list:
+    """What an administrator's creation is refused for: a type that is not offered, a status it cannot start in; null is neither."""
+    kinds = list(kinds or [p[0] for p in (ROOM_POOLS if key == "room_type" else INSCRIPTION_POOLS)])
+    known = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    return [("type_invalid", ~known(key, kinds)), ("status_invalid", ~known("payment_status", ["pending", "paid", "waived"]))]
+
+
+def admin_rejected(requests: DataFrame, key: str = "pool", kinds: Sequence[str] | None = None) -> DataFrame:
+    """The rows that ``admin_create`` refuses, with ``reason``."""
+    return requests.withColumn("reason", first_reason(admin_rules(key, kinds))).filter(F.col("reason").isNotNull())
+
+
 def admin_create(
     requests: DataFrame,
     as_of: datetime | Column,
@@ -79,14 +93,16 @@ def admin_create(
     price: Column | None = None,
     order: Sequence[str] = ("created_at", "id"),
     max_group_rows: int | None = None,
+    kinds: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows created by an administrator: any stock, ``pending``, ``paid`` or ``waived``.
+    """Rows created by an administrator: any stock, an offered type, ``pending``, ``paid`` or ``waived``.
 
+    Other rows are not created; ``admin_rejected`` gives them with the reason.
     ``paid_at`` is set for ``paid`` only. Given a stock, ``overbooked`` marks the rows made when none was left.
     """
     price = pool_price(F.col(key)) if price is None else price
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = requests.filter(F.col("payment_status").isin("pending", "paid", "waived")).withColumns(
+    rows = requests.filter(first_reason(admin_rules(key, kinds)).isNull()).withColumns(
         {
             "nom": F.trim(text("nom")),
             "prenom": F.trim(text("prenom")),

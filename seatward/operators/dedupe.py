@@ -29,18 +29,37 @@ def dedupe_holds(
     fold_rows: int = FOLD_ROWS,
     max_group_rows: int | None = None,
 ) -> DataFrame:
-    """(keys, ``at``, ``id``) of the kept rows. Of rows at one instant the smallest id counts."""
+    """(keys, ``at``, ``id``) of the kept rows. Of rows at one instant the smallest id counts.
+
+    Null keys are a key like any other. A row without a time has no place in the chain: it neither counts nor is kept.
+    """
     keys = list(keys)
-    rows = requests.select(*keys, at, id)
+    rows = requests.select(*keys, at, id).filter(F.col(at).isNotNull())
     busy = rows.groupBy(*keys).count().filter(F.col("count") > fold_rows).select(*keys)
     if busy.isEmpty():
         return _kept_by_fold(rows, keys, at, id, hold)
-    busy = pin(busy)
-    few = rows.join(busy, keys, "left_anti")
-    many = rows.join(busy, keys, "left_semi").groupBy(*keys, at).agg(F.min(id).alias(id))
-    return _kept_by_fold(few, keys, at, id, hold).unionByName(
-        _kept_by_pointers(many, keys, at, id, hold, max_group_rows)
-    )
+    # Joins drop null keys, so each key goes in as two columns that are never null.
+    busy, whole = pin(_plain(busy, keys)), _plain(rows, keys)
+    plain = _plain_names(keys)
+    few = whole.join(busy, plain, "left_anti")
+    many = whole.join(busy, plain, "left_semi").groupBy(*plain, at).agg(F.min(id).alias(id))
+    kept = _kept_by_fold(few, plain, at, id, hold).unionByName(_kept_by_pointers(many, plain, at, id, hold, max_group_rows))
+    return kept.select(*[F.when(~F.col(f"_key_{k}_null"), F.col(f"_key_{k}")).alias(k) for k in keys], at, id)
+
+
+def _plain_names(keys: list[str]) -> list[str]:
+    return [f"_key_{k}{end}" for k in keys for end in ("_null", "")]
+
+
+def _plain(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys as pairs that are never null: whether the key is null, and the key or a default of its type."""
+    kinds = dict(rows.dtypes)
+    rest = [c for c in rows.columns if c not in keys]
+    pairs = []
+    for k in keys:
+        default = F.lit("").cast("string") if kinds[k] == "string" else F.lit(0).cast(kinds[k])
+        pairs += [F.col(k).isNull().alias(f"_key_{k}_null"), F.coalesce(F.col(k), default).alias(f"_key_{k}")]
+    return rows.select(*pairs, *rest)
 
 
 def _kept_by_fold(rows: DataFrame, keys: list[str], at: str, id: str, hold: timedelta) -> DataFrame:

@@ -112,6 +112,7 @@ def forged_champions(accepted: DataFrame) -> DataFrame:
         "region",
         F.coalesce(has("is_parisian_redistributed", "boolean"), F.lit(False)).alias("is_parisian_redistributed"),
         F.coalesce(has("heroes", "array<string>"), F.array().cast("array<string>")).alias("heroes"),
+        *[has(c, "string").alias(c) for c in ("faction", "story", "blason")],
         F.col("inviter_email").alias("invited_by_email"),
     )
 

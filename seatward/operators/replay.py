@@ -160,19 +160,29 @@ def replay_entries(desk: PoolDesk, log: pd.DataFrame) -> pd.DataFrame:
     for n, seq, now, kind, email, is_payer in entries:
         result = desk.create(n, seq, now, email, is_payer) if kind == "create" else desk.command(kind, now, email)
         decided.append((seq, *result))
-    decisions = pd.DataFrame(decided, columns=list(DECISION_FIELDS))
-    rows = pd.DataFrame([desk.rows[n] for n in sorted(desk.changed)], columns=list(ROW_FIELDS))
-    for c in TIMES:
-        rows[c] = pd.to_datetime(rows[c], unit="us")
-    out = pd.concat([decisions, rows], ignore_index=True)
+    rows = [desk.rows[n] for n in sorted(desk.changed)]
+    # Each column is built with its type: by way of floats, ids above 2^53 would be rounded.
+    columns = {c: [d[i] for d in decided] + [None] * len(rows) for i, c in enumerate(DECISION_FIELDS)}
+    columns |= {c: [None] * len(decided) + [r[c] for r in rows] for c in ROW_FIELDS}
+    out = pd.DataFrame({c: _typed(c, values) for c, values in columns.items()})
     out["pool"] = log["pool"].iloc[0]
-    for c in ("waitlist_position", "row_id", "seq", "n", "id"):
-        out[c] = out[c].astype("Int64")
-    for c in ("is_waitlist", "is_payer"):
-        out[c] = out[c].astype("boolean")
     return out
 
 
+WHOLE = ("waitlist_position", "row_id", "seq", "n", "id")
+FLAGS = ("is_waitlist", "is_payer")
+
+
+def _typed(name: str, values: list):
+    if name in WHOLE:
+        return pd.array(values, dtype="Int64")
+    if name in FLAGS:
+        return pd.array(values, dtype="boolean")
+    if name in TIMES:
+        return pd.Series(pd.array(values, dtype="Int64")).map(lambda v: pd.NaT if pd.isna(v) else pd.Timestamp(int(v), unit="us")).astype("datetime64[us]")
+    return pd.Series(values, dtype="object")
+
+
 def _step(hold_us: int):
     columns = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
 
@@ -188,7 +198,7 @@ def _step(hold_us: int):
 
 def prepare_log(log: DataFrame, cap: DataFrame, payers: DataFrame) -> DataFrame:
     """Log with the fixed facts each decision needs: capacity and payers of the pool, and who is a payer."""
-    paid_mail = payers.select(norm_email(F.col("email")).alias("email")).distinct().withColumn("_p", F.lit(True))
+    paid_mail = payers.select(F.lower(F.col("email")).alias("email")).distinct().withColumn("_p", F.lit(True))
     paid_pool = payers.groupBy("pool").agg(F.count(F.lit(1)).alias("_paid"))
     fixed = cap.join(paid_pool, "pool", "left").select("pool", "capacity", F.coalesce("_paid", F.lit(0)).alias("paid"))
     return (

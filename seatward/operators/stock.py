@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatward.functions.dims import HOLD, interval
-from seatward.functions.text import norm_email
 from seatward.operators.ordered import running_sum
 
 POOL = ("pool",)
@@ -68,7 +67,8 @@ def count_by(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
 
 def unpaid_holds(holds: DataFrame, payers: DataFrame) -> DataFrame:
     """Holds whose e-mail is in no payer row, whatever the pool of either."""
-    paid = payers.select(norm_email(F.col("email")).alias("_payer"))
+    # Compared in lower case, blanks included: a padded payer address is another one.
+    paid = payers.select(F.lower(F.col("email")).alias("_payer"))
     return holds.join(paid, F.lower(F.col("email")) == F.col("_payer"), "left_anti")
 
 
@@ -79,7 +79,7 @@ def unpaid_hold_counts(holds: DataFrame, payers: DataFrame, keys: Sequence[str])
     count; a left join whose matches are dropped is not.
     """
     per_email = holds.groupBy(*keys, F.lower(F.col("email")).alias("_mail")).agg(F.count(F.lit(1)).alias("_n"))
-    paid = payers.select(norm_email(F.col("email")).alias("_payer"))
+    paid = payers.select(F.lower(F.col("email")).alias("_payer"))
     unpaid = per_email.join(paid, F.col("_mail") == F.col("_payer"), "left").filter(F.col("_payer").isNull())
     return unpaid.groupBy(*keys).agg(F.sum("_n").cast("int").alias("_held"))
 

@@ -95,12 +95,12 @@ def stamp_updated(
 
 
 def apply_deletes(
-    deleted: DataFrame, champions: DataFrame, cells: DataFrame, battles: DataFrame, invites: DataFrame | None = None
+    deleted: DataFrame, champions: DataFrame, cells: DataFrame, battles: DataFrame
 ) -> dict[str, DataFrame]:
     """Referential actions for deleted e-mails.
 
     A champion's own cells and battles go with it; cells it merely holds lose their owner but keep their alliance;
-    a battle whose cell went keeps its row without the cell; invitations of a deleted inviter go.
+    a battle whose cell went keeps its row without the cell. Invitations hang on payers, not on champions, and stay.
     """
     gone = deleted.select(F.col("email").alias("_gone")).distinct()
     drop = lambda df, c: df.join(gone, df[c] == gone["_gone"], "left_anti")
@@ -117,10 +117,14 @@ def apply_deletes(
     kept_battles = marked.withColumn(
         "cell_transferred_id", F.when(F.col("_gone_cell").isNull(), F.col("cell_transferred_id"))
     ).select(*battles.columns)
-    out = {"champions": drop(champions, "email"), "cells": kept_cells, "battles": kept_battles}
-    if invites is not None:
-        out["invites"] = drop(invites, "inviter_email")
-    return out
+    return {"champions": drop(champions, "email"), "cells": kept_cells, "battles": kept_battles}
+
+
+def delete_payers(deleted: DataFrame, payers: DataFrame, invites: DataFrame) -> dict[str, DataFrame]:
+    """Payers of the deleted e-mails go, and with them the invitations they issued."""
+    gone = deleted.select(F.col("email").alias("_gone")).distinct()
+    drop = lambda df, c: df.join(gone, df[c] == gone["_gone"], "left_anti")
+    return {"payers": drop(payers, "email"), "invites": drop(invites, "inviter_email")}
 
 
 def allowed(commands: DataFrame, admins: DataFrame, actor: str = "actor") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seatward.operators import invites, payments, writes
-from seatward.plans.registry import query
+from seatward.plans.registry import AS_OF, query
 from seatward.sources.streams import run_folder
 from seatward.sources.tables import export_csv, read_payers_csv, split_bad_records
 
@@ -59,7 +59,8 @@ def invites_by_captain(t):
 
 _REDEEM = """
     WITH RECURSIVE known AS (
-        SELECT a.seq, a.token, lower(a.email) AS email, a.pseudo, a.region, i.inviter_email,
+        SELECT a.seq, a.token, lower(a.email) AS email, a.pseudo, a.region, a.is_parisian_redistributed, a.heroes,
+            a.faction, a.story, a.blason, i.inviter_email,
             CASE WHEN a.token IS NULL OR a.token = '' THEN 'token_blank' WHEN a.email IS NULL OR a.email = '' THEN 'email_blank'
                 WHEN a.pseudo IS NULL OR a.pseudo = '' THEN 'pseudo_blank' WHEN a.region IS NULL OR a.region = '' THEN 'region_blank'
                 WHEN i.token IS NULL THEN 'token_unknown' WHEN i.used_at IS NOT NULL THEN 'token_used' END AS fixed,
@@ -95,8 +96,8 @@ def forge_tokens(t):
 @query(
     "forge_champions",
     _REDEEM
-    + """SELECT k.seq, k.token, k.email, k.pseudo, k.region, false AS is_parisian_redistributed, CAST(0 AS INT) AS heroes,
-            k.inviter_email AS invited_by_email FROM known k JOIN winners w ON w.seq = k.seq""",
+    + """SELECT k.seq, k.token, k.email, k.pseudo, k.region, coalesce(k.is_parisian_redistributed, false) AS is_parisian_redistributed,
+            CAST(coalesce(len(k.heroes), 0) AS INT) AS heroes, k.faction, k.story, k.blason, k.inviter_email AS invited_by_email FROM known k JOIN winners w ON w.seq = k.seq""",
     "attempts",
     "invites",
     "mates",
@@ -106,9 +107,37 @@ def forge_champions(t):
     return created.withColumn("heroes", F.size("heroes"))
 
 
+@query(
+    "invites_after",
+    _REDEEM
+    + f"""SELECT i.token, i.inviter_email, coalesce(w.email, i.used_by_email) AS used_by_email,
+            CASE WHEN w.seq IS NOT NULL THEN {AS_OF} ELSE i.used_at END AS used_at FROM invites i LEFT JOIN winners w ON w.token = i.token""",
+    "attempts",
+    "invites",
+    "mates",
+    "requests",
+)
+def invites_after(t):
+    """Invitations once the attempts are through: who used them, and when."""
+    _, created = invites.redeem_tokens(t.attempts, t.invites, t.mates)
+    return invites.mark_used(t.invites, created, t.as_of)
+
+
+@query(
+    "cascade_delete_invites",
+    """SELECT token, inviter_email FROM invites WHERE inviter_email NOT IN (SELECT email FROM payers WHERE pool = 'narratif')""",
+    "invites",
+    "payers",
+)
+def cascade_delete_invites(t):
+    """Deleting payers takes their invitations along."""
+    gone = t.payers.filter("pool = 'narratif'").select("email")
+    return writes.delete_payers(gone, t.payers, t.invites)["invites"].select("token", "inviter_email")
+
+
 @query(
     "reconcile",
-    """WITH c AS (SELECT DISTINCT lower(trim(email)) AS email FROM champions WHERE nation_key < 12),
+    """WITH c AS (SELECT DISTINCT lower(trim(email)) AS email FROM champions),
         p AS (SELECT DISTINCT lower(trim(email)) AS email FROM payers)
     SELECT coalesce(c.email, p.email) AS email, CASE WHEN p.email IS NULL THEN 'champion_without_payer'
         WHEN c.email IS NULL THEN 'payer_without_champion' ELSE 'matched' END AS status
@@ -117,7 +146,7 @@ def forge_champions(t):
     "payers",
 )
 def reconcile(t):
-    return payments.reconcile(t.champions.filter("nation_key < 12"), t.payers)
+    return payments.reconcile(t.champions, t.payers)
 
 
 @query(

@@ -37,21 +37,83 @@ def dedupe_holds_30min(t):
     return _dedupe(t, 30)
 
 
+# The rules one log row at a time, from the functions that create, pay, cancel and promote: the state of a pool is the list of its
+# live rows. A hold counts for thirty minutes from its creation, unless its e-mail is a payer's; a row's own active hold is reused.
+_SEQUENTIAL = """WITH RECURSIVE mails AS (SELECT DISTINCT lower(email) AS email FROM payers),
+    paid AS (SELECT pool, count(*) AS paid FROM payers GROUP BY pool),
+    entries AS (SELECT l.pool, l.seq, l.ts, l.kind, lower(trim(l.email)) AS email, m.email IS NOT NULL AS payer,
+            coalesce(c.capacity, 0) - coalesce(p.paid, 0) AS places, row_number() OVER (PARTITION BY l.pool ORDER BY l.ts, l.seq) AS n
+        FROM request_log l LEFT JOIN mails m ON m.email = lower(trim(l.email)) LEFT JOIN cap_log c ON c.pool = l.pool LEFT JOIN paid p ON p.pool = l.pool),
+    steps AS (
+        SELECT pool, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS email, false AS payer,
+            CAST(NULL AS VARCHAR) AS action, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS row_n,
+            CAST(NULL AS BIGINT) AS promoted,
+            CAST([] AS STRUCT(n BIGINT, id BIGINT, email VARCHAR, made TIMESTAMP, pending BOOLEAN, wait BOOLEAN, payer BOOLEAN)[]) AS live
+        FROM (SELECT DISTINCT pool FROM entries)
+        UNION ALL
+        SELECT pool, n, seq, ts, email, payer, action,
+            CASE WHEN action IN ('held', 'waitlisted') THEN seq WHEN action = 'reused' THEN own.id ELSE target.id END,
+            CASE WHEN action = 'waitlisted' THEN waiting + 1 END,
+            CASE WHEN action IN ('held', 'waitlisted') THEN n WHEN action NOT IN ('reused', 'unmatched') THEN target.n END,
+            CASE WHEN action = 'cancel' AND NOT target.wait THEN head.n END,
+            CASE WHEN action IN ('held', 'waitlisted')
+                THEN list_append(live, {'n': n, 'id': seq, 'email': email, 'made': ts, 'pending': true, 'wait': action = 'waitlisted', 'payer': payer})
+                WHEN action IN ('pay', 'waive', 'unmark') THEN list_transform(live, lambda r:
+                    {'n': r.n, 'id': r.id, 'email': r.email, 'made': r.made, 'pending': CASE WHEN r.n = target.n THEN action = 'unmark' ELSE r.pending END,
+                     'wait': r.wait, 'payer': r.payer})
+                WHEN action = 'cancel' THEN list_transform(list_filter(live, lambda r: r.n <> target.n), lambda r:
+                    {'n': r.n, 'id': r.id, 'email': r.email, 'made': r.made, 'pending': r.pending,
+                     'wait': r.wait AND NOT (NOT target.wait AND r.n = head.n), 'payer': r.payer})
+                ELSE live END
+        FROM (SELECT *, CASE WHEN kind <> 'create' THEN CASE WHEN target IS NULL THEN 'unmatched' ELSE kind END
+                WHEN own IS NOT NULL THEN 'reused' WHEN places - taken <= 0 THEN 'waitlisted' ELSE 'held' END AS action
+            FROM (SELECT e.*, s.live,
+                    list_filter(s.live, lambda r: r.email = e.email)[-1] AS target,
+                    list_filter(s.live, lambda r: r.email = e.email AND r.pending AND NOT r.wait AND r.made > e.ts - INTERVAL 30 MINUTE)[-1] AS own,
+                    list_filter(s.live, lambda r: r.wait)[1] AS head,
+                    len(list_filter(s.live, lambda r: r.wait)) AS waiting,
+                    len(list_filter(s.live, lambda r: r.pending AND NOT r.wait AND NOT r.payer AND r.made > e.ts - INTERVAL 30 MINUTE)) AS taken
+                FROM steps s JOIN entries e ON e.pool = s.pool AND e.n = s.n + 1)))
+    """
+_DECISIONS = _SEQUENTIAL + "SELECT pool, seq, action, coalesce(row_id, -1) AS row_id, CAST(coalesce(place, 0) AS INT) AS waitlist_position FROM steps WHERE n > 0"
+_ANSWERS = (
+    _SEQUENTIAL
+    + """SELECT seq, row_id, CAST(CASE pool WHEN 'equipe' THEN 325 WHEN 'jeu_libre' THEN 65 WHEN 'narratif' THEN 65 ELSE 65 END AS DOUBLE) AS amount_eur,
+        action = 'waitlisted' AS is_waitlist, CAST(coalesce(place, 0) AS INT) AS waitlist_position FROM steps WHERE action IN ('reused', 'held', 'waitlisted')"""
+)
+_ROWS = (
+    _SEQUENTIAL
+    + """, done AS (SELECT pool, row_n, max_by(action, n) AS last, max(ts) FILTER (WHERE action = 'cancel') AS cancelled_at
+        FROM steps WHERE action IN ('pay', 'waive', 'unmark', 'cancel') GROUP BY pool, row_n),
+    settled AS (SELECT pool, row_n, arg_max_null(CASE WHEN action <> 'unmark' THEN ts END, n) AS paid_at FROM steps
+        WHERE action IN ('pay', 'waive', 'unmark') GROUP BY pool, row_n),
+    moved AS (SELECT pool, promoted, max(ts) AS promoted_at FROM steps WHERE promoted IS NOT NULL GROUP BY pool, promoted)
+    SELECT m.pool, m.n, m.seq AS id, m.email, m.ts AS created_at,
+        CASE d.last WHEN 'pay' THEN 'paid' WHEN 'waive' THEN 'waived' WHEN 'cancel' THEN 'cancelled' ELSE 'pending' END AS payment_status,
+        m.action = 'waitlisted' AND p.promoted IS NULL AS is_waitlist, p.promoted_at, s.paid_at, d.cancelled_at, m.payer AS is_payer
+    FROM steps m LEFT JOIN done d ON d.pool = m.pool AND d.row_n = m.n LEFT JOIN settled s ON s.pool = m.pool AND s.row_n = m.n
+        LEFT JOIN moved p ON p.pool = m.pool AND p.promoted = m.n WHERE m.action IN ('held', 'waitlisted')"""
+)
+# Ids above 2^53 stay whole in a comparison only where no null turns their column into floats.
+ABSENT = {"row_id": -1, "waitlist_position": 0}
+_INPUTS = ("request_log", "cap_log", "payers")
+
+
 def _replay(t):
     return replay.replay_requests(t.request_log, t.cap_log, t.payers)
 
 
-@query("replay_requests")
+@query("replay_requests", _DECISIONS, *_INPUTS)
 def replay_requests(t):
-    return _replay(t)[0]
+    return _replay(t)[0].fillna(ABSENT)
 
 
-@query("replay_answers")
+@query("replay_answers", _ANSWERS, *_INPUTS)
 def replay_answers(t):
-    return replay.answers(_replay(t)[0], pool_price(F.col("pool")))
+    return replay.answers(_replay(t)[0], pool_price(F.col("pool"))).fillna(ABSENT)
 
 
-@query("replay_request_rows")
+@query("replay_request_rows", _ROWS, *_INPUTS)
 def replay_request_rows(t):
     return _replay(t)[1]
 
@@ -64,7 +126,7 @@ def stream_dedupe(t):
     return rows.filter("outcome = 'kept'").drop("outcome", "kept_id")
 
 
-@query("stream_admission")
+@query("stream_admission", _DECISIONS, *_INPUTS)
 def stream_admission(t):
     rows = drain_to_table(admit_stream(t.stream("request_log"), t.cap_log, t.payers), "admission")
-    return rows.filter("seq IS NOT NULL").select("pool", "seq", "action", "row_id", "waitlist_position")
+    return rows.filter("seq IS NOT NULL").select("pool", "seq", "action", "row_id", "waitlist_position").fillna(ABSENT)

@@ -24,19 +24,18 @@ def insert_ignore(t):
     return writes.insert_ignore(t.payers.select("email", "id"), t.requests.select("email", "id"), ["email"], F.col("id"))
 
 
-_BACKFILL = f"""SELECT coalesce(nullif(trim(nom), ''), '—') AS nom, coalesce(nullif(trim(prenom), ''), '—') AS prenom,
+_BACKFILL = """SELECT coalesce(nullif(trim(nom), ''), '—') AS nom, coalesce(nullif(trim(prenom), ''), '—') AS prenom,
         lower(trim(email)) AS email, CAST(NULL AS VARCHAR) AS telephone, pool, nullif(trim(team_label), '') AS team_name,
         CASE WHEN pool = 'equipe' THEN 'capitaine' END AS role, CAST(coalesce(montant_eur, 65.0) AS DOUBLE) AS amount_eur,
         'paid' AS payment_status, imported_at AS paid_at,
         'Backfill phase 7c — depuis paid_users · ' || coalesce('tx=' || transaction_id, 'tx=manuel') AS admin_notes
     FROM payers p WHERE pool IN ('equipe', 'jeu_libre', 'narratif') AND NOT EXISTS (
-        SELECT 1 FROM requests r WHERE lower(r.email) = lower(p.email) AND r.pool = p.pool AND r.created_at > {CUTOFF})"""
+        SELECT 1 FROM requests r WHERE lower(r.email) = lower(p.email) AND r.pool = p.pool)"""
 
 
 @query("backfill", _BACKFILL, "payers", "requests")
 def backfill(t):
-    recent = t.requests.filter(F.col("created_at") > t.as_of - F.lit(LONG_HOLD))
-    return payments.backfill(t.payers, recent, t.cap)
+    return payments.backfill(t.payers, t.requests, t.cap)
 
 
 @query(
@@ -47,9 +46,8 @@ def backfill(t):
     "requests",
 )
 def backfill_append(t):
-    recent = t.requests.filter(F.col("created_at") > t.as_of - F.lit(LONG_HOLD))
     target = t.requests.select("email", "pool", "payment_status", F.col("amount_eur").cast("decimal(12,2)"), "is_waitlist")
-    return writes.append_rows(target, payments.backfill(t.payers, recent, t.cap), {"is_waitlist": False})
+    return writes.append_rows(target, payments.backfill(t.payers, t.requests, t.cap), {"is_waitlist": False})
 
 
 @query(
@@ -243,7 +241,7 @@ _FORM_REASON = """CASE WHEN nom IS NULL OR trim(nom) = '' THEN 'nom_blank' WHEN
     ranked AS (SELECT id, row_number() OVER (PARTITION BY room_type ORDER BY created_at, id) AS rn FROM f WHERE bad IS NULL),
     d AS (SELECT f.*, coalesce(bad, CASE WHEN rn > coalesce(remaining, 0) THEN 'sold_out' END) AS reason
         FROM f LEFT JOIN ranked USING (id) LEFT JOIN s USING (room_type))
-    SELECT id, lower(trim(email)) AS email, room_type, reason, CASE WHEN reason IS NULL THEN 'held' ELSE 'rejected' END AS decision,
+    SELECT id, trim(nom) AS nom, trim(prenom) AS prenom, nullif(trim(telephone), '') AS telephone, lower(trim(email)) AS email, room_type, reason, CASE WHEN reason IS NULL THEN 'held' ELSE 'rejected' END AS decision,
         CAST(CASE WHEN reason IS NULL THEN 2 ELSE 0 END AS INT) AS nights,
         CAST(CASE WHEN reason IS NULL THEN CASE room_type WHEN 'simple' THEN 60 WHEN 'double' THEN 90 ELSE 110 END END AS DOUBLE) AS amount_eur,
         CASE WHEN reason IS NULL AND trim(co_occupants) <> '' THEN 'Co-occupants prévus : ' || trim(co_occupants) END AS admin_notes FROM d""",
@@ -254,13 +252,14 @@ def room_requests(t):
     pending = t.rooms.filter("payment_status = 'pending'").groupBy("room_type")
     places = pending.agg(F.floor(F.count(F.lit(1)) / 2).cast("int").alias("remaining"))
     out = admission.room_requests(places, t.forms, room_rules()).fillna(0, ["nights"])
-    return out.select("id", "email", "room_type", "reason", "decision", "nights", "amount_eur", "admin_notes")
+    return out.select("id", "nom", "prenom", "telephone", "email", "room_type", "reason", "decision", "nights", "amount_eur", "admin_notes")
 
 
 @query(
     "admin_create",
     f"""WITH s AS (SELECT pool, CAST(sum(expected_champions) AS INT) AS remaining FROM payers GROUP BY pool),
-    f AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY created_at, id) AS rn FROM forms WHERE payment_status <> 'cancelled')
+    f AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY created_at, id) AS rn FROM forms
+        WHERE payment_status IN ('pending', 'paid', 'waived') AND pool IN ('equipe', 'jeu_libre', 'narratif'))
     SELECT id, trim(coalesce(nom, '')) AS nom, lower(trim(coalesce(email, ''))) AS email, nullif(trim(telephone), '') AS telephone, pool,
         CAST({_PRICE} AS DOUBLE) AS amount_eur, payment_status,
         CASE WHEN payment_status = 'paid' THEN (SELECT max(created_at) FROM requests) END AS paid_at,
@@ -278,7 +277,8 @@ def admin_create(t):
 @query(
     "admin_create_rooms",
     """SELECT id, room_type, CAST(CASE room_type WHEN 'simple' THEN 60 WHEN 'double' THEN 90 WHEN 'triple' THEN 110 END AS DOUBLE)
-        AS amount_eur, payment_status FROM forms WHERE payment_status <> 'cancelled'""",
+        AS amount_eur, payment_status FROM forms WHERE payment_status IN ('pending', 'paid', 'waived')
+        AND room_type IN ('simple', 'double', 'triple')""",
     "forms",
 )
 def admin_create_rooms(t):
@@ -286,6 +286,17 @@ def admin_create_rooms(t):
     return out.select("id", "room_type", "amount_eur", "payment_status")
 
 
+@query(
+    "admin_rejected",
+    """SELECT id, CASE WHEN pool IS NULL OR pool NOT IN ('equipe', 'jeu_libre', 'narratif') THEN 'type_invalid' ELSE 'status_invalid' END AS reason
+    FROM forms WHERE pool IS NULL OR pool NOT IN ('equipe', 'jeu_libre', 'narratif') OR payment_status IS NULL
+        OR payment_status NOT IN ('pending', 'paid', 'waived')""",
+    "forms",
+)
+def admin_rejected(t):
+    return admission.admin_rejected(t.forms).select("id", "reason")
+
+
 @query(
     "fifo_heads",
     """SELECT pool, id FROM (SELECT pool, id, row_number() OVER (PARTITION BY pool ORDER BY created_at, id) AS rn FROM requests

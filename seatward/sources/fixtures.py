@@ -38,7 +38,8 @@ MAIL = "'user' || CAST({} AS STRING) || '@example.com'"
 SQL = {
     "payers": f"""
         SELECT c_custkey AS id,
-               CASE WHEN c_custkey % 3 = 0 THEN upper({MAIL.format('c_custkey')}) ELSE {MAIL.format('c_custkey')} END AS email,
+               CASE WHEN c_custkey % 17 = 0 THEN ' ' || {MAIL.format('(2 * c_custkey)')}
+                    WHEN c_custkey % 3 = 0 THEN upper({MAIL.format('(2 * c_custkey)')}) ELSE {MAIL.format('(2 * c_custkey)')} END AS email,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'equipe' WHEN 'HOUSEHOLD' THEN 'jeu_libre'
                     WHEN 'MACHINERY' THEN 'narratif' WHEN 'AUTOMOBILE' THEN 'autre' END AS pool,
                CASE WHEN c_custkey % 5 <> 0 THEN 'T' || CAST(c_custkey AS STRING) END AS transaction_id,
@@ -48,7 +49,7 @@ SQL = {
                CASE WHEN c_custkey % 13 <> 0 THEN ' ' || c_mktsegment || ' ' END AS prenom,
                CASE WHEN c_custkey % 2 = 0 THEN ' Team ' || CAST(c_nationkey AS STRING) ELSE ' ' END AS team_label,
                CAST('2024-01-01 00:00:00' AS {{ntz}}) AS imported_at
-        FROM {{customer}} WHERE c_acctbal > 4000""",
+        FROM {{customer}}""",
     "requests": f"""
         SELECT o_orderkey AS id, {MAIL.format('o_custkey')} AS email,
                CASE o_orderkey % 3 WHEN 0 THEN 'equipe' WHEN 1 THEN 'jeu_libre' ELSE 'narratif' END AS pool,
@@ -101,11 +102,12 @@ SQL = {
                CASE WHEN user_id % 5 <> 0 THEN 'admin' || CAST(user_id % 3 AS STRING) ELSE 'guest' END AS actor
         FROM {events}""",
     "request_log": f"""
-        SELECT event_id AS seq, ts,
-               CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'error' THEN 'cancel' ELSE 'create' END AS kind,
+        SELECT event_id + 1152921504606846976 AS seq, ts,
+               CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'error' THEN 'cancel'
+                    WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'unmark' ELSE 'waive' END ELSE 'create' END AS kind,
                {MAIL.format('user_id')} AS email,
                CASE user_id % 3 WHEN 0 THEN 'equipe' WHEN 1 THEN 'jeu_libre' ELSE 'narratif' END AS pool
-        FROM {{events}} WHERE event_type <> 'view'""",
+        FROM {{events}}""",
     "cap_log": """
         SELECT pool, CAST(count(*) + CASE pool WHEN 'equipe' THEN 2 WHEN 'jeu_libre' THEN 5 ELSE 40 END AS INT) AS capacity
         FROM {payers} WHERE pool IN ('equipe', 'jeu_libre', 'narratif') GROUP BY pool""",
@@ -125,16 +127,21 @@ SQL = {
                CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 DAY END AS used_at
         FROM {{orders}}""",
     # Four attempts a token, and one token that a third of all attempts share.
-    "attempts": """
+    "attempts": f"""
         SELECT o_orderkey AS seq,
                CASE WHEN o_orderkey % 3 = 0 THEN md5('0') WHEN o_orderkey % 53 = 0 THEN 'nope'
                     ELSE md5(CAST(CAST(floor(o_orderkey / 4) AS BIGINT) AS STRING)) END AS token,
                'Mate' || CAST(o_custkey + o_orderkey % 8 AS STRING) || '@example.com' AS email,
                CASE WHEN o_orderkey % 59 = 0 THEN '' ELSE 'p' || CAST(o_orderkey AS STRING) END AS pseudo,
-               'Alsace' AS region
-        FROM {orders}""",
+               'Alsace' AS region,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS is_parisian_redistributed,
+               CASE WHEN o_orderkey % 7 <> 0 THEN {{heroes}} END AS heroes,
+               CASE WHEN o_orderkey % 4 <> 0 THEN 'f' || CAST(o_orderkey % 4 AS STRING) END AS faction,
+               CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS story,
+               CASE WHEN o_orderkey % 9 <> 0 THEN 'crest ' || CAST(o_orderkey % 9 AS STRING) END AS blason
+        FROM {{orders}}""",
     "mates": """
-        SELECT 'mate' || CAST(c_custkey AS STRING) || '@example.com' AS email FROM {customer} WHERE c_nationkey < 5""",
+        SELECT 'mate' || CAST(5 * c_custkey AS STRING) || '@example.com' AS email FROM {customer}""",
     "payers_batch": """
         SELECT c_custkey + 1 AS id,
                CASE WHEN c_custkey % 3 = 0 THEN 'user' || CAST(c_custkey AS STRING) || '@EXAMPLE.com'
@@ -142,19 +149,19 @@ SQL = {
                'jeu_libre' AS pool,
                CASE WHEN c_custkey % 4 <> 0 THEN 'T' || CAST(c_custkey - c_custkey % 2 AS STRING) END AS transaction_id,
                CAST(c_acctbal AS DECIMAL(12,2)) AS montant_eur
-        FROM {customer} WHERE c_acctbal <= 6000""",
+        FROM {customer}""",
 }
 
 # Position of each region in the fixed list, for customers' nation keys.
 REGION_LIST = _values([(i, r) for i, (r, _) in enumerate(REGION_ALLIANCE)], "idx, region")
 DIALECT = {
-    "spark": {"ntz": "TIMESTAMP_NTZ", "k": "get_json_object(props, '$.k')"},
-    "duckdb": {"ntz": "TIMESTAMP", "k": "json_extract_string(props, '$.k')"},
+    "spark": {"ntz": "TIMESTAMP_NTZ", "k": "get_json_object(props, '$.k')", "heroes": "array('h1', o_orderpriority)"},
+    "duckdb": {"ntz": "TIMESTAMP", "k": "json_extract_string(props, '$.k')", "heroes": "['h1', o_orderpriority]"},
 }
 
 
 def _names(text: str) -> set[str]:
-    return set(re.findall(r"\{(\w+)\}", text)) - {"ntz", "k"}
+    return set(re.findall(r"\{(\w+)\}", text)) - {"ntz", "k", "heroes"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, scan=load) -> DataFrame:

@@ -12,11 +12,25 @@ from seatward.sources.tables import load
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table as a stream: its file, or the files below a folder of that name."""
-    reader = spark.readStream.schema(load(spark, folder, name).schema).option("recursiveFileLookup", True)
+    """A table as a stream: the files below the folder ``name.parquet``, or the one file of that name.
+
+    Reading the schema fails where the table is missing. A glob over the exact name serves both forms, and takes no other table's files.
+    """
+    table = load(spark, folder, name)
+    reader = spark.readStream.schema(table.schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if _is_file(spark, path):
+        # A file source lists folders: the one file is picked by its whole name.
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Whether all rows of the table come from a file of just that name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -214,11 +214,18 @@ def test_deleting_a_champion(spark, at):
         "id string, cluster_owner_email string, current_alliance string, current_owner_email string",
     )
     battles = spark.createDataFrame([(1, "a", "b", "b#0"), (2, "b", "c", "a#0"), (3, "b", "c", "b#1")], "id long, winner_email string, loser_email string, cell_transferred_id string")
-    invites = spark.createDataFrame([("t", "a"), ("u", "b")], "token string, inviter_email string")
-    out = writes.apply_deletes(spark.createDataFrame([("a",)], "email string"), champions, cells, battles, invites)
+    out = writes.apply_deletes(spark.createDataFrame([("a",)], "email string"), champions, cells, battles)
     assert sorted(map(tuple, out["cells"].collect())) == [("b#0", "b", "A", None), ("b#1", "b", "B", "b")]
     assert sorted(map(tuple, out["battles"].select("id", "cell_transferred_id").collect())) == [(2, None), (3, "b#1")]
-    assert [r["token"] for r in out["invites"].collect()] == ["u"]
+    assert set(out) == {"champions", "cells", "battles"}
+
+
+def test_deleting_a_payer_takes_its_invitations(spark):
+    payers = spark.createDataFrame([("a",), ("b",), (None,)], "email string")
+    invites = spark.createDataFrame([("t", "a"), ("u", "b"), ("v", None)], "token string, inviter_email string")
+    out = writes.delete_payers(spark.createDataFrame([("a",), ("x",)], "email string"), payers, invites)
+    assert sorted(r["token"] for r in out["invites"].collect()) == ["u", "v"]
+    assert sorted(str(r["email"]) for r in out["payers"].collect()) == ["None", "b"]
 
 
 def test_stamp_only_on_change(spark, at):

@@ -279,3 +279,19 @@ def test_chained_attempts_take_many_rounds(spark):
     inv = spark.createDataFrame([(t, "c@x", None, None) for t in tokens], "token string, inviter_email string, used_by_email string, used_at timestamp_ntz")
     result, _ = invites.redeem_tokens(a, inv, spark.createDataFrame([("none@x",)], "email string"))
     assert {r["seq"]: r["reason"] for r in result.collect()} == sequential_tokens(attempts, tokens, [], ["none@x"])
+
+
+@pytest.mark.parametrize("fold_rows", [1, 3, 10_000])
+def test_dedupe_null_keys_and_times(spark, fold_rows):
+    """Null keys are keys; rows without a time are out, however busy their key is."""
+    rows = [(k, p, None if i % 7 == 3 else START + timedelta(minutes=9 * i), i) for i in range(40) for k, p in (("a", "x"), (None, "x"), ("a", None), (None, None), ("", "x"))]
+    df = spark.createDataFrame(rows, "k string, p string, t timestamp_ntz, id long")
+    want = set()
+    for key in {(k, p) for k, p, _, _ in rows}:
+        anchor = None
+        for t, i in sorted((t, i) for k, p, t, i in rows if (k, p) == key and t is not None):
+            if anchor is None or t >= anchor + HOLD:
+                anchor = t
+                want.add((*key, t, i))
+    got = dedupe.dedupe_holds(df, ["k", "p"], "t", "id", HOLD, fold_rows=fold_rows)
+    assert {tuple(r) for r in got.select("k", "p", "t", "id").collect()} == want

@@ -5,10 +5,11 @@ from datetime import timedelta
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 
 from seatward.functions import dims
 from seatward.operators import dedupe, replay, stock
-from seatward.sources.streams import drain, drain_to_table, run_folder
+from seatward.sources.streams import drain, drain_to_table, run_folder, stream_table
 from seatward.streaming.admission import stream_admission
 from seatward.streaming.dedupe import stream_dedupe
 from seatward.streaming.live_stock import stream_stock
@@ -28,6 +29,34 @@ def feed(spark, df, folder, name, parts, order):
     )
 
 
+def test_stream_source_reads_folders_and_files(spark, tmp_path):
+    """A table is a folder of any file names, or one file; neighbours whose names start alike are not read."""
+    spark.range(100).repartition(4).write.parquet(f"{tmp_path}/part.parquet")
+    pq.write_table(spark.range(7).toArrow(), tmp_path / "partial.parquet")
+    pq.write_table(spark.range(9).toArrow(), tmp_path / "orders.parquet")
+    spark.range(50).write.parquet(f"{tmp_path}/orders_old.parquet")
+    for name, rows in (("part", 100), ("partial", 7), ("orders", 9), ("orders_old", 50)):
+        assert drain_to_table(stream_table(spark, str(tmp_path), name, 1), name).count() == rows
+    with pytest.raises(AnalysisException):
+        stream_table(spark, str(tmp_path), "missing")
+
+
+def test_ids_of_any_size(spark, tmp_path):
+    """Batch, slices and stream hand on ids near 2^63 as they are."""
+    log, cap, payers = admission_frames(spark, request_log(3))
+    top = 2**63 - 10_000_000
+    large = log.withColumn("seq", log["seq"] + top)
+    small = {(r["seq"], r["action"], r["row_id"]) for r in replay.replay_requests(log, cap, payers, HOLD)[0].collect()}
+    want = {(s + top, a, None if i is None else i + top) for s, a, i in small}
+    for given in ({}, {"slice_rows": 20}):
+        decisions, rows = replay.replay_requests(large, cap, payers, HOLD, **given)
+        assert {(r["seq"], r["action"], r["row_id"]) for r in decisions.collect()} == want
+        assert all(r["id"] > top - 1 for r in rows.collect())
+    stream = feed(spark, large, tmp_path, "l", 2, ["ts", "seq"])
+    out = drain_to_table(stream_admission(stream, cap, payers, HOLD), "a").filter("seq is not null")
+    assert {(r["seq"], r["action"], r["row_id"]) for r in out.collect()} == want
+
+
 def test_dedupe_stream(spark, tmp_path):
     df = spark.createDataFrame(clicks(7, 200), "k string, t timestamp_ntz, id long")
     out = drain_to_table(stream_dedupe(feed(spark, df, tmp_path, "c", 4, ["t", "id"]), ["k"], "t", "id", HOLD), "t").cache()
