@@ -389,6 +389,18 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return found.where("rank = component_id").select("row.*")
 
 
-@query("op6_jaccard_components")
+CHECK = r"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words),
+    tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY ALL"""
+
+
+@query("op6_jaccard_components", CHECK)
 def op6_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), carry=["doc_id"])

@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from seatward.llm.texts import PIECE
 END = 1
 # Ids of a segment, at least, if there are so many; words remembered per worker in one generation.
 SEGMENT = 64 * BLOCK
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 
 
 class LibraryIds:
@@ -45,8 +45,8 @@ class LibraryIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, word: str) -> bool:
         fixed = word.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))
@@ -56,25 +56,33 @@ class LibraryIds:
         split = [None if t and any(s in t for s in self.special) else Bpe.words(t or "") for t in texts]
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        words = {w for part in split if part is not None for w in part if w not in self.young}
-        known = {w: self.old[w] for w in words if w in self.old}
-        self.young.update(known)
-        new = [w for w in words if w not in known]
+        words: set[str] = set().union(*(part for part in split if part is not None))
+        words.difference_update(self.young.keys())
+        self.young.update((w, self.old[w]) for w in words if w in self.old)
+        new = [w for w in words if w not in self.old]
         odd = {w for w in new if not self._plain(w)}
         new = [w for w in new if w not in odd]
-        found = dict(zip(new, (e.ids for e in self.library.encode_batch(new, add_special_tokens=False)), strict=True))
-        self.young.update((w, ids) for w, ids in found.items() if len(w) <= 64)
-        get = lambda w: self.young.get(w) if len(w) <= 64 else found[w]
+        found = {w: _bytes(e.ids) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        long = {w: ids for w, ids in found.items() if len(w) > 64}
+        self.young.update(found)
         out = []
         for text, part in zip(texts, split, strict=True):
             if part is None or (odd and not odd.isdisjoint(part)):
-                ids = self.library.encode(text, add_special_tokens=False).ids
+                ids = _bytes(self.library.encode(text, add_special_tokens=False).ids)
             else:
-                ids = list(chain.from_iterable(map(get, part)))
-            out.append(np.array(ids, np.int32))
+                ids = b"".join(map(self.young.__getitem__, part))
+            out.append(np.frombuffer(ids, "<u2"))
+        # Only ordinary words are worth remembering.
+        for w in long:
+            del self.young[w]
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as 16-bit numbers; larger ones raise ``OverflowError``."""
+    return array("H", ids).tobytes()
+
+
 def _loaded(path: str) -> LibraryIds:
     cache = worker_cache("library_ids")
     if path not in cache:
@@ -103,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
                 encoded = library.encode(piece.column(1).to_pylist())
                 for k, ids in zip(piece.column(0).to_pylist(), encoded, strict=True):
                     keys.append(k)
-                    parts.append(np.append(ids, np.int32(END)))
+                    parts.append(np.append(ids, np.uint16(END)))
                     size += len(ids) + 1
                     if size >= SEGMENT:
                         yield keys, parts
