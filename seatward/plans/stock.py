@@ -9,6 +9,7 @@ from seatward.functions.dims import STATUSES
 from seatward.operators import payments, queue, stock
 from seatward.plans.registry import AS_OF, CUTOFF, LONG_HOLD, query
 from seatward.sources.streams import drain, run_folder
+from seatward.streaming.live_stock import latest_stock
 from seatward.streaming.live_stock import stream_stock as live_stock
 
 _WAIT = """wait AS (SELECT pool, CAST(count(*) AS INT) AS n FROM requests
@@ -298,4 +299,4 @@ def stream_stock(t):
     base = run_folder(spark, "stock")
     writer = live_stock(t.stream("requests"), t.cap, t.payers, f"{base}/rows", f"{base}/stock", LONG_HOLD)
     drain(spark, writer, f"{base}/progress")
-    return spark.read.option("basePath", f"{base}/stock").parquet(f"{base}/stock/batch=*").drop("batch")
+    return latest_stock(spark, f"{base}/stock")

@@ -1,10 +1,10 @@
-"""Stock kept current while request rows arrive."""
+"""Stock kept current while request rows arrive and change."""
 
 from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,30 +13,44 @@ from seatward.operators.stock import stock
 
 
 def stream_stock(
-    requests: DataFrame, cap: DataFrame, payers: DataFrame, table: str, out: str, hold: timedelta = HOLD
+    requests: DataFrame,
+    cap: DataFrame,
+    payers: DataFrame,
+    table: str,
+    out: str,
+    hold: timedelta = HOLD,
+    id: str = "id",
+    version: str = "created_at",
 ) -> DataStreamWriter:
-    """After each micro-batch, write the stock of the pools it touched to ``out/batch=<n>``.
+    """After each micro-batch, write the stock of all pools to ``out/batch=<n>``.
 
-    Rows land in ``table`` in ranges of (waitlist flag, date), so the files' minima and maxima let the recount skip
-    all but the waitlist and the rows whose hold can still be active. A repeated batch overwrites its own folder.
+    A row that comes again with the same ``id`` replaces the one before; within a micro-batch the largest ``version``
+    counts. The instant of a stock is the latest date seen so far, so it never goes back, and holds that merely
+    expired are let go of. Rows land in ``table`` in ranges of (waitlist flag, date), so the files' minima and maxima let
+    the recount skip all but the waitlist and the rows whose hold can still be active; of the others only ids are
+    read, to find newer versions. A repeated batch overwrites its own folder.
     """
 
     def recount(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         landed = f"{table}/batch={n}"
         ranges = ["is_waitlist", "created_at"]
-        batch.repartitionByRange(*ranges).sortWithinPartitions(*ranges).write.mode("overwrite").parquet(landed)
-        fresh = spark.read.schema(batch.schema).parquet(landed)
-        touched = fresh.select("pool").distinct()
-        if fresh.isEmpty():
-            return
-        as_of = fresh.agg(F.max("created_at")).scalar()
-        everything = spark.read.schema(batch.schema).option("basePath", table).parquet(f"{table}/batch=*")
+        newest = batch.groupBy(id).agg(F.max_by(F.struct(*batch.columns), F.col(version)).alias("row")).select("row.*")
+        newest.repartitionByRange(*ranges).sortWithinPartitions(*ranges).write.mode("overwrite").parquet(landed)
+        schema = batch.schema.add("batch", "long")
+        everything = spark.read.schema(schema).option("basePath", table).parquet(f"{table}/batch=*")
+        as_of = everything.agg(F.max("created_at")).scalar()
         recent = (F.col("created_at") > as_of - interval(hold)) | F.col("is_waitlist")
-        mine = everything.filter(recent).join(touched, "pool", "left_semi")
-        now = stock(cap.join(touched, "pool", "left_semi"), payers, mine, as_of, hold)
-        now.withColumn("as_of", as_of).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        mine = everything.filter(recent)
+        # A version counts only while no later batch has the same row, in whatever state.
+        last = everything.select(id, "batch").join(mine.select(id).distinct(), id, "left_semi").groupBy(id).agg(F.max("batch").alias("batch"))
+        current = mine.join(last, [id, "batch"], "left_semi").drop("batch")
+        stock(cap, payers, current, as_of, hold).withColumn("as_of", as_of).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return requests.writeStream.foreachBatch(recount)
 
 
+def latest_stock(spark: SparkSession, out: str) -> DataFrame:
+    """The stock after the last micro-batch."""
+    every = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
