@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seatward.operators import territory, writes
 from seatward.plans.registry import query
+from seatward.session import pin
 
 _CELLS = """cells AS (SELECT email || '#' || CAST(i AS VARCHAR) AS id, email AS cluster_owner_email, CAST(i AS INT) AS cluster_index,
         alliance AS current_alliance, email AS current_owner_email, alliance AS original_alliance
@@ -55,6 +56,13 @@ def _field(t):
     return cells, *territory.replay_battles(t.battle_log, t.fighters, cells, t.dim)
 
 
+def _decided(t):
+    """The same with the log written once, for queries that read both it and the cells after it."""
+    cells, log, _ = _field(t)
+    log = pin(log)
+    return cells, log, territory.cells_after(cells, log)
+
+
 @query(
     "alliance_of",
     "SELECT email, c.region, alliance FROM champions c LEFT JOIN dim ON dim.region = c.region",
@@ -160,7 +168,7 @@ _UNDO = f"""{_BATTLES},
     "dim",
 )
 def undo_last(t):
-    _, log, after = _field(t)
+    _, log, after = _decided(t)
     _, cells = territory.undo_last(log.filter("outcome <> 'rejected'"), after, 500)
     return cells.select("id", "current_alliance", "current_owner_email")
 
@@ -173,7 +181,7 @@ def undo_last(t):
     "dim",
 )
 def undo_log(t):
-    _, log, after = _field(t)
+    _, log, after = _decided(t)
     return territory.undo_last(log.filter("outcome <> 'rejected'"), after, 500)[0].select("id", "outcome")
 
 
@@ -184,7 +192,7 @@ def undo_log(t):
     "dim",
 )
 def reset_map(t):
-    _, log, after = _field(t)
+    _, log, after = _decided(t)
     seeded = after.withColumns({"seed_x": F.rand(1), "seed_y": F.rand(2)})
     return territory.reset_map(seeded, log)[0]
 
@@ -220,7 +228,7 @@ _GONE = "gone AS (SELECT email AS e FROM fighters WHERE region = 'Centre')"
     "dim",
 )
 def cascade_delete(t):
-    _, log, after = _field(t)
+    _, log, after = _decided(t)
     gone = t.fighters.filter("region = 'Centre'").select("email")
     kept = writes.apply_deletes(gone, t.fighters, after, log)["cells"]
     return kept.select("id", "cluster_owner_email", "current_alliance", "current_owner_email")
@@ -237,7 +245,7 @@ def cascade_delete(t):
     "dim",
 )
 def cascade_delete_battles(t):
-    _, log, after = _field(t)
+    _, log, after = _decided(t)
     gone = t.fighters.filter("region = 'Centre'").select("email")
     kept = writes.apply_deletes(gone, t.fighters, after, log)["battles"]
     return kept.select("id", "winner_email", "loser_email", "cell_transferred_id")
