@@ -24,6 +24,8 @@ MAX_BLOCKS = 4096
 BLOCK_ROWS = 64
 # Passes that fill what is left of a target inside the one block that is not taken whole.
 FILL_PASSES = 6
+# Orders of that block's rows that are tried.
+ATTEMPTS = 24
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -219,11 +221,13 @@ def block_plan(rows: DataFrame, shards: int, seed: int, weights: tuple[int, ...]
 def _fill(cut: DataFrame) -> DataFrame:
     """Rows of the blocks in which a target ends, with ``chosen``: the extra draw, up to the words that are left.
 
-    Each pass takes a leading run of the rows that still fit. At last the smallest row left goes in if that brings the sum nearer.
+    Several orders of a block's rows are tried, the first by size, the others random; the one that ends nearest counts. Each pass takes a leading run of
+    the rows that still fit. At last the smallest row left goes in if that brings the sum nearer.
     """
-    source = Window.partitionBy("no_source", "source_name")
-    order = source.orderBy("h", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = cut.withColumn("chosen", F.lit(False))
+    source = Window.partitionBy("no_source", "source_name", "attempt")
+    order = source.orderBy("turn", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    df = cut.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("chosen", F.lit(False))
+    df = df.withColumn("turn", F.when(F.col("attempt") == 0, -F.col("size")).otherwise(F.xxhash64("h", "attempt")))
     for _ in range(FILL_PASSES):
         fits = ~F.col("chosen") & (F.col("size") <= F.col("left")) & (F.col("size") > 0)
         df = df.withColumn("fits", fits).withColumn("run", F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(order))
@@ -232,7 +236,10 @@ def _fill(cut: DataFrame) -> DataFrame:
         df = df.withColumn("chosen", F.col("chosen") | F.col("now"))
     least = F.min(F.when(~F.col("chosen") & (F.col("size") > 0), F.struct("size", "pos"))).over(source)
     nearer = (F.col("least.pos") == F.col("pos")) & (F.col("size") < 2 * F.col("left"))
-    return df.withColumn("least", least).withColumn("chosen", F.col("chosen") | F.coalesce(nearer, F.lit(False)))
+    df = df.withColumn("least", least).withColumn("last", F.coalesce(nearer, F.lit(False)))
+    df = df.withColumn("off", F.abs(F.col("left") - F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).over(source)))
+    best = F.min(F.struct("off", "attempt")).over(Window.partitionBy("no_source", "source_name"))["attempt"]
+    return df.withColumn("best", best).where("attempt = best").withColumn("chosen", F.col("chosen") | F.col("last"))
 
 
 def mix_sources(
