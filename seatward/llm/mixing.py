@@ -225,7 +225,7 @@ def _fill(cut: DataFrame) -> DataFrame:
     the rows that still fit. At last the smallest row left goes in if that brings the sum nearer.
     """
     source = Window.partitionBy("no_source", "source_name", "attempt")
-    order = source.orderBy("turn", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    order = source.orderBy("turn", "h", "pos").rowsBetween(Window.unboundedPreceding, 0)
     df = cut.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("chosen", F.lit(False))
     df = df.withColumn("turn", F.when(F.col("attempt") == 0, -F.col("size")).otherwise(F.xxhash64("h", "attempt")))
     for _ in range(FILL_PASSES):
@@ -234,7 +234,7 @@ def _fill(cut: DataFrame) -> DataFrame:
         df = df.withColumn("now", F.col("fits") & (F.col("run") <= F.col("left")))
         df = df.withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(source))
         df = df.withColumn("chosen", F.col("chosen") | F.col("now"))
-    least = F.min(F.when(~F.col("chosen") & (F.col("size") > 0), F.struct("size", "pos"))).over(source)
+    least = F.min(F.when(~F.col("chosen") & (F.col("size") > 0), F.struct("size", "h", "pos"))).over(source)
     nearer = (F.col("least.pos") == F.col("pos")) & (F.col("size") < 2 * F.col("left"))
     df = df.withColumn("least", least).withColumn("last", F.coalesce(nearer, F.lit(False)))
     df = df.withColumn("off", F.abs(F.col("left") - F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).over(source)))
