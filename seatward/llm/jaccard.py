@@ -38,6 +38,9 @@ MAX_SMALL, LIST_COST = 10, 4.0
 # Bits of the filter for sets that have to be compared: 2 MB whatever the input.
 NEEDED_BITS = 24
 
+# Positions of 8 bytes up to which a list of rows is broadcast.
+MAX_BROADCAST_ROWS = 2_000_000
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -350,13 +353,8 @@ def jaccard_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """Every row with ``n_shingles`` and ``component_id``, the smallest key that links reach from it, its own included.
-
-    Two rows link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more. A text with fewer words is one shingle; a null
-    text or one without words has none and links with nothing. Null keys count as larger than any; a component of null keys only has a null id.
-    Repeated rows have equal sets, so they share a component. An empty table gives no rows. Input columns named like a result column give way to it.
-    """
+def _described(docs: DataFrame, text: str, key: str, carry: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(stored sets with row and key, (vertex, top) with the smallest key of each vertex's component)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     rows = docs.count()
@@ -372,7 +370,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
     labelled = least.join(linked, least["vertex"] == linked["node"], "left").select("vertex", "least", F.coalesce("label", "vertex").alias("label"))
     labelled = stored(labelled, "jaccard-labels")
     top = labelled.groupBy("label").agg(F.min("least").alias("top"))
-    ids = labelled.join(top, "label").select("vertex", "top")
+    return sets, labelled.join(top, "label").select("vertex", "top")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """Every row with ``n_shingles`` and ``component_id``, the smallest key that links reach from it, its own included.
+
+    Two rows link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more. A text with fewer words is one shingle; a null
+    text or one without words has none and links with nothing. Null keys count as larger than any; a component of null keys only has a null id.
+    Repeated rows have equal sets, so they share a component. An empty table gives no rows. Input columns named like a result column give way to it.
+    """
+    sets, ids = _described(docs, text, key, carry)
     out = sets.select("row", "key", F.col("n").alias("n_shingles"), "vertex").join(ids, "vertex", "left")
     out = out.withColumn("component_id", F.when(F.col("vertex").isNull(), F.col("key")).otherwise(F.col("top")))
     return unpacked(out, "n_shingles", "component_id")
@@ -381,12 +389,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ca
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of every component, with the input's columns: the smallest key, of equal keys any one; null keys come last.
 
-    Rows without words are in no component and all stay.
+    Rows without words are in no component and all stay. Only positions of the rows that go are joined with the texts; they are
+    broadcast up to ``MAX_BROADCAST_ROWS``, and shuffled beyond.
     """
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("pos"))
     wrapped = docs.select(packed(docs), F.col(text).alias("text"), order.alias("rank"))
-    found = near_duplicates(wrapped, key="rank", carry=["row", "rank"])
-    return found.where("rank = component_id").select("row.*")
+    sets, ids = _described(wrapped, "text", "rank", ["row"])
+    gone = sets.select("key", "vertex").join(ids, "vertex").where("key <> top").select(F.col("key.pos").alias("gone"))
+    gone = stored(gone, "jaccard-gone")
+    small = gone.count() <= MAX_BROADCAST_ROWS
+    kept = sets.join(F.broadcast(gone) if small else gone, F.col("key.pos") == F.col("gone"), "left_anti")
+    return kept.select("row.row.*")
 
 
 CHECK = r"""

@@ -24,6 +24,8 @@ MAX_BLOCKS = 4096
 BLOCK_ROWS = 64
 # Passes that fill what is left of a target inside the one block that is not taken whole.
 FILL_PASSES = 6
+# Rows of the plan (about 100 bytes each) up to which it is broadcast.
+MAX_BROADCAST_ROWS = 200_000
 # Orders of that block's rows that are tried.
 ATTEMPTS = 24
 
@@ -264,7 +266,9 @@ def mix_sources(
     narrow = carry is not None and text not in carry
     rows = stored(rows, "mix-rows") if narrow else rows
     plan = stored(block_plan(rows.select("source", "size", "block"), shards, seed, weights, max_repeat), "mix-plan")
-    drawn = _keyed(rows).join(plan, SAME_BLOCK)
+    # Beyond the checked size the plan is shuffled like any table.
+    small = plan.count() <= MAX_BROADCAST_ROWS
+    drawn = _keyed(rows).join(F.broadcast(plan) if small else plan, SAME_BLOCK)
     cut = stored(drawn.where("cut").withColumn("pos", F.monotonically_increasing_id()), "mix-cut")
     filled = cut.join(
         _fill(cut.select("no_source", "source_name", "h", "pos", "size", "left")).where("chosen").select("pos", "chosen"), "pos", "left"
