@@ -22,7 +22,7 @@ SEED = 7
 # Blocks a source can have, and rows below which a block is not split further.
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 64
-# Passes that fill what is left of a target inside the one block that is not taken whole.
+# Passes that fill what is left of a target inside a block that is not taken whole.
 FILL_PASSES = 6
 # Rows of the plan (about 100 bytes each) up to which it is broadcast.
 MAX_BROADCAST_ROWS = 200_000
@@ -146,7 +146,10 @@ def _with_block(docs: DataFrame, text: str, source: str, key: str, seed: int, ca
     )
 
 
-SAME_BLOCK = ["no_source", "source_name", "block"]
+SOURCE = ["no_source", "source_name"]
+SAME_BLOCK = [*SOURCE, "block"]
+# A row of a wide block; equal ones are copies.
+ITEM = [*SOURCE, "at", "block", "h", "size"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -154,10 +157,11 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"no_source": F.col("source").isNull(), "source_name": F.coalesce("source", F.lit(""))})
 
 
-def block_plan(rows: DataFrame, shards: int, seed: int, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
-    """Per (source, block): the shards that draw it (one entry a draw), and whether the target ends inside it.
+def block_plan(rows: DataFrame, shards: int, seed: int, weights: tuple[int, ...], max_repeat: int) -> tuple[DataFrame, DataFrame]:
+    """Per (source, block): the shards that draw it (one entry a draw), and up to which size its rows have the extra draw; and single rows that have it.
 
-    ``rows`` has source, block and size. Everything after the first aggregation has at most ``MAX_BLOCKS`` rows a source.
+    ``rows`` has source, block, size and h. The plan has at most ``MAX_BLOCKS`` rows a source. What is missing when a target ends inside a block is carried on
+    over the rows that are not drawn yet.
     """
     blocks = stored(
         rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "mix-blocks"
@@ -180,22 +184,38 @@ def block_plan(rows: DataFrame, shards: int, seed: int, weights: tuple[int, ...]
     fine = _keyed(blocks).join(per_source.drop("source", "rows"), ["no_source", "source_name"]).withColumn(
         "at", F.expr(f"block * wide DIV {MAX_BLOCKS}")
     )
-    wide = fine.groupBy("no_source", "source_name", "at").agg(
-        F.sum("words").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("number").alias("number")
+    wide = fine.groupBy(*SOURCE, "at").agg(
+        F.sum("words").alias("words"),
+        *(F.first(c).alias(c) for c in ("rest", "passes", "number", "wide")),
     )
-    in_source = Window.partitionBy("no_source", "source_name").orderBy("at")
+    in_source = Window.partitionBy(*SOURCE).orderBy("at")
     wide = (
         wide.withColumn("index", F.row_number().over(in_source).cast("long") - 1)
         .withColumn("upto", F.sum("words").over(in_source.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("whole_extra", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
         .withColumn("cut", (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
         .withColumn("left", F.col("rest") - F.col("upto") + F.col("words"))
-        .withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("no_source", "source_name")))
+        .withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy(*SOURCE)))
     )
     wide = stored(wide, "mix-wide")
-    quota = wide.groupBy("number").agg(
-        (F.first("passes") * F.count(F.lit(1)) + F.count_if(F.col("whole_extra") | F.col("cut"))).alias("draws")
+    cut = _small(stored(wide.where("cut").select(*SOURCE, F.col("at").alias("cut_at"), "wide", "left"), "mix-cut"))
+    undrawn = (
+        _keyed(rows).join(cut, SOURCE).withColumn("at", F.expr(f"block * wide DIV {MAX_BLOCKS}")).where("at >= cut_at AND size > 0")
+        .groupBy(*ITEM).agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"))
+    )
+    limits, picks = _carried(stored(undrawn, "mix-undrawn"), cut.select(*SOURCE, "left"))
+    touched = limits.select(*SOURCE, "at").union(picks.select(*SOURCE, "at")).distinct().withColumn("touched", F.lit(True))
+    # Blocks with an extra draw, in block order; from the one in which the target ends on, those that gave rows.
+    wide = stored(
+        wide.join(touched, [*SOURCE, "at"], "left")
+        .join(limits, [*SOURCE, "at"], "left")
+        .withColumn("extra", F.col("whole_extra") | F.coalesce("touched", F.lit(False)))
+        .withColumn("extra_index", F.sum(F.col("extra").cast("long")).over(in_source.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        # Rows up to this size have the extra draw.
+        .withColumn("upto_size", F.when(F.col("whole_extra"), F.lit(2**63 - 1)).otherwise(F.coalesce("limit", F.lit(-1)))),
+        "mix-extra",
     )
+    quota = wide.groupBy("number").agg((F.first("passes") * F.count(F.lit(1)) + F.count_if("extra")).alias("draws"))
     one = quota.agg(F.transform(F.sort_array(F.collect_list(F.struct("number", "draws"))), lambda s: s["draws"]).alias("quota"))
     leaves = splitting_tree(one, shards, seed)
     # Where each shard's range of draws ends, per source.
@@ -207,28 +227,80 @@ def block_plan(rows: DataFrame, shards: int, seed: int, weights: tuple[int, ...]
     )
     owner = lambda draw: f"size(filter(ends, e -> e <= {draw}))"
     dealt = wide.join(ends, "number").select(
-        "no_source", "source_name", "at", "cut", "left",
+        *SOURCE, "at", "upto_size",
         F.expr(
             f"IF(passes > 0, transform(sequence(0L, passes - 1L), p -> {owner('p * blocks + index')}), CAST(array() AS ARRAY<INT>))"
-        ).alias("full"),
-        F.expr(owner("passes * blocks + index")).alias("extra_shard"),
-        "whole_extra",
+        ).alias("shards"),
+        F.expr(owner("passes * blocks + extra_index")).alias("extra_shard"),
     )
-    return fine.join(dealt, ["no_source", "source_name", "at"]).select(
-        *SAME_BLOCK, "target", "source_size", "cut", "left", "extra_shard",
-        F.expr("IF(whole_extra, array_append(full, extra_shard), full)").alias("shards"),
+    plan = fine.join(dealt, [*SOURCE, "at"]).select(*SAME_BLOCK, "target", "source_size", "upto_size", "extra_shard", "shards")
+    return plan, picks
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast up to the checked size; beyond it ``df`` is shuffled like any table."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def _carried(undrawn: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(limits, picks): which rows have an extra draw, from the block in which a target ends on.
+
+    ``undrawn`` has the rows (``ITEM``, copies) from that block on, ``left`` the words still missing per source. Rows larger than what is
+    left are skipped. Blocks go whole in block order while the rest of their rows fits, as a limit of size per (source, at); the block in which the
+    target ends now is filled row by row (picks: ``ITEM``, copies, take). That is repeated with what is left until no undrawn row of the source fits. At
+    last the smallest undrawn row goes in if that brings the sum nearer.
+    """
+    limits, picks = [], []
+    items = undrawn.where("size <= left")
+    while True:
+        in_source = Window.partitionBy(*SOURCE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        sums = items.groupBy(*SOURCE, "at").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.first("left").alias("left"))
+        sums = sums.withColumn("upto", F.sum("words").over(in_source)).withColumn("before", F.col("upto") - F.col("words"))
+        sums = stored(sums.where("before < left"), "mix-carried")
+        limits.append(sums.where("upto <= left").select(*SOURCE, "at", F.col("left").alias("limit")))
+        last = sums.where("upto > left").select(*SOURCE, "at", (F.col("left") - F.col("before")).alias("left"))
+        filled = stored(_fill(items.drop("left").join(last, [*SOURCE, "at"])), "mix-filled")
+        picks.append(filled.where("chosen").select(*ITEM))
+        # What is left per source: after the filled block, or after the blocks that went whole.
+        now = sums.groupBy(*SOURCE).agg(
+            (F.first("left") - F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto")).otherwise(0))).alias("after")
+        ).join(filled.groupBy(*SOURCE).agg(F.first("left").alias("filled")), SOURCE, "left").select(
+            *SOURCE, F.coalesce("filled", "after").alias("now")
+        )
+        now = stored(now, "mix-now")
+        left = stored(left.join(now, SOURCE, "left").select(*SOURCE, F.coalesce("now", "left").alias("left")), "mix-left")
+        behind = items.drop("left").join(sums.select(*SOURCE, "at"), [*SOURCE, "at"], "left_anti")
+        over = filled.where("NOT chosen").groupBy(*ITEM).agg(F.count(F.lit(1)).alias("copies"))
+        items = behind.unionByName(over).join(_small(left), SOURCE).where("size <= left")
+        items = stored(items, "mix-undrawn")
+        if items.isEmpty():
+            break
+    all_limits, all_picks = limits[0], picks[0]
+    for more_limits, more_picks in zip(limits[1:], picks[1:], strict=True):
+        all_limits, all_picks = all_limits.union(more_limits), all_picks.union(more_picks)
+    all_limits = stored(all_limits.groupBy(*SOURCE, "at").agg(F.max("limit").alias("limit")), "mix-limits")
+    taken = stored(all_picks.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("take")), "mix-taken")
+    nearer = (
+        undrawn.drop("left").join(_small(left), SOURCE).where("size < 2 * left")
+        .join(all_limits, [*SOURCE, "at"], "left").where("limit IS NULL OR size > limit")
+        .join(taken, ITEM, "left").where("copies > coalesce(take, 0)")
+        .groupBy(*SOURCE).agg(F.min(F.struct("size", "h", "at", "block")).alias("least"))
+        .select(*SOURCE, "least.at", "least.block", "least.h", "least.size", F.lit(1).cast("long").alias("take"))
     )
+    takes = taken.unionByName(nearer).groupBy(*ITEM).agg(F.sum("take").alias("take"))
+    return all_limits, stored(takes.join(undrawn.drop("left"), ITEM), "mix-picks")
 
 
 def _fill(cut: DataFrame) -> DataFrame:
-    """Rows of the blocks in which a target ends, with ``chosen``: the extra draw, up to the words that are left.
+    """Rows of the blocks in which a target ends (``ITEM``, one row a copy), with ``chosen``, and ``left`` after it.
 
     Several orders of a block's rows are tried, the first by size, the others random; the one that ends nearest counts. Each pass takes a leading run of
-    the rows that still fit. At last the smallest row left goes in if that brings the sum nearer.
+    the rows that still fit.
     """
-    source = Window.partitionBy("no_source", "source_name", "attempt")
-    order = source.orderBy("turn", "h", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = cut.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("chosen", F.lit(False))
+    source = Window.partitionBy(*SOURCE, "attempt")
+    order = source.orderBy("turn", "h", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    df = cut.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
+    df = df.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)))).withColumn("chosen", F.lit(False))
     df = df.withColumn("turn", F.when(F.col("attempt") == 0, -F.col("size")).otherwise(F.xxhash64("h", "attempt")))
     for _ in range(FILL_PASSES):
         fits = ~F.col("chosen") & (F.col("size") <= F.col("left")) & (F.col("size") > 0)
@@ -236,12 +308,8 @@ def _fill(cut: DataFrame) -> DataFrame:
         df = df.withColumn("now", F.col("fits") & (F.col("run") <= F.col("left")))
         df = df.withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(source))
         df = df.withColumn("chosen", F.col("chosen") | F.col("now"))
-    least = F.min(F.when(~F.col("chosen") & (F.col("size") > 0), F.struct("size", "h", "pos"))).over(source)
-    nearer = (F.col("least.pos") == F.col("pos")) & (F.col("size") < 2 * F.col("left"))
-    df = df.withColumn("least", least).withColumn("last", F.coalesce(nearer, F.lit(False)))
-    df = df.withColumn("off", F.abs(F.col("left") - F.sum(F.when(F.col("last"), F.col("size")).otherwise(0)).over(source)))
-    best = F.min(F.struct("off", "attempt")).over(Window.partitionBy("no_source", "source_name"))["attempt"]
-    return df.withColumn("best", best).where("attempt = best").withColumn("chosen", F.col("chosen") | F.col("last"))
+    best = F.min(F.struct("left", "attempt")).over(Window.partitionBy(*SOURCE))["attempt"]
+    return df.withColumn("best", best).where("attempt = best").select(*ITEM, "copy", "left", "chosen")
 
 
 def mix_sources(
@@ -258,26 +326,29 @@ def mix_sources(
     """Every row with ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``shards``, one entry a draw.
 
     Size is the number of words; a null text has none. A null source is a source. Rows are drawn whole, ``max_repeat`` times at
-    most, and a rerun draws the same. The last block of a source is filled row by row, so its sum ends within the smallest
-    row that is left of the target. Repeated rows are drawn each for itself. An empty table gives no rows. Input columns named like a
+    most, and a rerun draws the same. Where a target ends, rows are taken one by one and past the block until no undrawn row of the source fits, so its sum
+    ends within half the smallest undrawn row of the target, or short of it where no row that would bring it nearer is left. Repeated rows are drawn each for itself. An empty table gives no rows. Input columns named like a
     result column give way to it.
     """
     rows = _with_block(docs, text, source, key, seed, carry)
     narrow = carry is not None and text not in carry
     rows = stored(rows, "mix-rows") if narrow else rows
-    plan = stored(block_plan(rows.select("source", "size", "block"), shards, seed, weights, max_repeat), "mix-plan")
-    # Beyond the checked size the plan is shuffled like any table.
-    small = plan.count() <= MAX_BROADCAST_ROWS
-    drawn = _keyed(rows).join(F.broadcast(plan) if small else plan, SAME_BLOCK)
-    cut = stored(drawn.where("cut").withColumn("pos", F.monotonically_increasing_id()), "mix-cut")
-    filled = cut.join(
-        _fill(cut.select("no_source", "source_name", "h", "pos", "size", "left")).where("chosen").select("pos", "chosen"), "pos", "left"
-    ).withColumn("shards", F.expr("IF(chosen, array_append(shards, extra_shard), shards)"))
-    out = [
-        "row", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", F.col("h").alias("mix_order"),
-    ]
-    both = drawn.where("NOT cut").select(*out).unionByName(filled.select(*out))
-    return unpacked(both, "size", "source_size", "target", "taken", "shards", "mix_order")
+    sizes = rows.select("source", "size", "block", "h")
+    plan, picks = block_plan(sizes if narrow else stored(sizes, "mix-sizes"), shards, seed, weights, max_repeat)
+    drawn = _keyed(rows).join(_small(stored(plan, "mix-plan")), SAME_BLOCK)
+    drawn = drawn.join(_small(picks.select(*SAME_BLOCK, "h", "size", "take", "copies")), [*SAME_BLOCK, "h", "size"], "left")
+    drawn = drawn.withColumn("extra", F.col("take").isNotNull() | (F.col("size") <= F.col("upto_size")))
+    if not picks.where("take < copies").isEmpty():
+        # Of repeated rows that are not all picked, as many as are; any of them.
+        some = F.coalesce(F.col("take") < F.col("copies"), F.lit(False)) & (F.col("size") > F.col("upto_size"))
+        turn = F.row_number().over(Window.partitionBy(*SAME_BLOCK, "h", "size").orderBy("pos"))
+        part = drawn.where(some).withColumn("pos", F.monotonically_increasing_id()).withColumn("extra", turn <= F.col("take")).drop("pos")
+        drawn = drawn.where(~some).unionByName(part)
+    drawn = drawn.withColumn("shards", F.expr("IF(extra, array_append(shards, extra_shard), shards)"))
+    out = drawn.select(
+        "row", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", F.col("h").alias("mix_order")
+    )
+    return unpacked(out, "size", "source_size", "target", "taken", "shards", "mix_order")
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **given) -> DataFrame:

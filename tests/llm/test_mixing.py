@@ -104,3 +104,18 @@ def test_hypergeometric_distribution(spark):
     for x in range(draws + 1):
         mass = comb(good, x) * comb(pool - good, draws - x) / comb(pool, draws)
         assert abs(got[x] / n - mass) < 1e-3
+
+
+def test_missing_words_go_past_the_block_of_a_large_document(spark, docs_df):
+    # About half of a is drawn; a third of it is one document, in one of the middle ones of eight blocks.
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randrange(20, 180), "a") for i in range(600)]
+    large = "w " * (sum(words(t) for _, t, _ in rows) // 2)
+    hashed = lambda seed: F.pmod(F.xxhash64(F.lit(seed).cast("long"), F.lit(9000).cast("long"), F.lit(large)), F.lit(8 * 512))
+    blocks = spark.range(1).select(*(hashed(seed).alias(f"s{seed}") for seed in range(40))).first()
+    seed = next(s for s, block in enumerate(blocks) if block // 512 == 3)
+    df = docs_df([*rows, (9000, large, "a"), *((10_000 + i, "w " * 100, "b") for i in range(50))])
+    out = mix_sources(df, carry=["doc_id", "source"], weights=(1, 1), max_repeat=20, seed=seed)
+    got = [r for r in out.collect() if r["source"] == "a"]
+    assert 0.4 < got[0]["target"] / got[0]["source_size"] < 0.6
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 20
