@@ -1,8 +1,8 @@
 """Secret scans: patterns per kind, then links between the parts of one credential.
 
 Assignments, access identifiers and long hex runs are reported by themselves. Weak candidates (a mixed token that only might be a
-secret, a named client identifier, an endpoint) are reported only where parts that belong together stand in one scope: a paragraph,
-and there no further apart than a fixed distance. Spans are joined as intervals sorted by start, by bisection, so a text with many parts costs
+secret, a named client identifier, an endpoint) are reported only where parts that belong together stand in one scope: a paragraph, or
+paragraphs that braces enclose or that meet in key-value lines. Spans are joined as intervals sorted by start, by bisection, so a text with many parts costs
 no product of them.
 """
 
@@ -30,7 +30,10 @@ CLIENT = re.compile(r"""(?:access_?key_?id|client_?id|account_?id|user_?name|log
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}", re.A)
 ENDPOINT = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,30}://[^\s\"'<>]+", re.A)
 KINDS = ("assign", "access", "hex", "client", "mixed", "endpoint")
+# What ``scan`` takes by itself; tables are scanned without a distance, so that the scope alone decides.
 DISTANCE = 400
+BLANK = re.compile(r"\n[ \t]*\n\s*")
+PAIR = re.compile(r"""[ \t]*(?:[-,{][ \t]*|export[ \t]+)?["']?[A-Za-z_][\w.-]*["']?[ \t]*[:=](?!//)""", re.A)
 
 SCHEMA = (
     "n_assign long, n_access long, n_hex long, base_sha256 string, spans string,"
@@ -52,8 +55,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _scopes(text: str) -> list[int]:
-    """Starts of the paragraphs: what blank lines separate."""
-    return [0, *(m.end() for m in re.finditer(r"\n[ \t]*\n", text))]
+    """Starts of the scopes: paragraphs are what blank lines separate, but for blank lines between key-value lines or inside a pair of braces."""
+    blanks = list(BLANK.finditer(text))
+    if not blanks:
+        return [0]
+    pairs, opened = [], []
+    for m in re.finditer(r"[{}]", text):
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened:
+            pairs.append((opened.pop(), m.start()))
+    pairs.sort()
+    begins, ends, top = [p[0] for p in pairs], [], 0
+    for _, end in pairs:
+        top = max(top, end)
+        ends.append(top)
+    out = [0]
+    for m in blanks:
+        i = bisect_right(begins, m.start()) - 1
+        enclosed = i >= 0 and ends[i] > m.start()
+        if not enclosed and not (PAIR.match(text, text.rfind("\n", 0, m.start()) + 1, m.start()) and PAIR.match(text, m.end())):
+            out.append(m.end())
+    return out
 
 
 class Parts:
@@ -68,24 +91,24 @@ class Parts:
             top = max(top, s[2])
             self.ends.append(top)
 
-    def near(self, span: tuple[int, int, int], distance: int):
-        """A span of this role in the scope of ``span`` and within the distance, not overlapping it; the nearest by start."""
+    def near(self, span: tuple[int, int, int], distance: int | None):
+        """A span of this role in the scope of ``span``, and within the distance if there is one, not overlapping it; the nearest by start."""
         at = bisect_right(self.scopes, span[0]) - 1
-        low = max(self.scopes[at], span[0] - distance)
-        high = min(self.scopes[at + 1] if at + 1 < len(self.scopes) else span[2] + distance, span[2] + distance)
-        best = None
-        for i in range(bisect_left(self.ends, low), bisect_right(self.starts, high)):
-            s = self.spans[i]
-            if s[0] >= self.scopes[at] and s[2] >= low and (s[2] <= span[0] or s[0] >= span[2]):
-                gap = abs(s[0] - span[0])
-                if best is None or gap < best[0]:
-                    best = (gap, s)
-                elif s[0] > span[2]:
-                    break
-        return best and best[1]
-
-
-def linked_spans(text: str, base: list[tuple[int, int, int]], distance: int = DISTANCE) -> list[tuple[tuple[int, int, int], int]]:
+        first = self.scopes[at]
+        end = self.scopes[at + 1] if at + 1 < len(self.scopes) else None
+        i = bisect_right(self.starts, span[0]) - 1
+        while i >= 0 and self.starts[i] >= first and self.spans[i][2] > span[0]:
+            i -= 1
+        j = bisect_left(self.starts, span[2])
+        best = []
+        if i >= 0 and self.starts[i] >= first and (distance is None or self.spans[i][2] >= span[0] - distance):
+            best.append((span[0] - self.starts[i], 0, self.spans[i]))
+        if j < len(self.spans) and (end is None or self.starts[j] < end) and (distance is None or self.starts[j] <= span[2] + distance):
+            best.append((self.starts[j] - span[0], 1, self.spans[j]))
+        return min(best)[2] if best else None
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]], distance: int | None = DISTANCE) -> list[tuple[tuple[int, int, int], int]]:
     """Weak spans that a complementary part stands by, each with the start of that part.
 
     A mixed token needs an identifier (access or client), a client identifier needs a secret (base or mixed), an endpoint needs both.
@@ -127,7 +150,7 @@ def _listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str | None, distance: int = DISTANCE) -> tuple:
+def scan(text: str | None, distance: int | None = DISTANCE) -> tuple:
     """The row of ``SCHEMA`` for one text. Positions are code points, ends exclusive; a null text counts as empty."""
     text = text or ""
     base = base_spans(text)
@@ -138,7 +161,7 @@ def scan(text: str | None, distance: int = DISTANCE) -> tuple:
     return (*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(s for s, _ in every), found)
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None = None, distance: int = DISTANCE) -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None = None, distance: int | None = None) -> DataFrame:
     """Every row with its base counts, ``base_sha256``, ``spans`` and ``found`` (spans with the part they are linked to).
 
     Rows are independent: no shuffle. Null and empty texts have no spans; repeated rows get equal results; an empty table gives no

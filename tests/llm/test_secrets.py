@@ -67,3 +67,15 @@ def test_on_tables(docs_df):
     got = sorted(((r["doc_id"], r["n_access"], r["spans"]) for r in scan_secrets(df).collect()), key=str)
     assert got == [(1, 0, ""), (2, 1, "access:2:22"), (2, 1, "access:2:22"), (None, 0, "assign:50001:50019")]
     assert scan_secrets(docs_df([])).count() == 0
+
+
+def test_the_scope_alone_decides(docs_df):
+    weak = "wJalrXUtnFEMI/K7MDENGbPxRfiCY"
+    texts = {
+        1: f"id {KEY} {'far ' * 300} {weak}", 2: f"aws_id: {KEY}\n\naws_key: {weak}", 3: f'{{"id": "{KEY}",\n\nsome text\n\n"k" "{weak}"}}',
+        4: f"id {KEY}\n\n{weak} starts the next paragraph", 5: f"{{ id {KEY}\n\nnever closed {weak}",
+    }
+    got = {r["doc_id"]: [f["kind"] for f in r["found"]] for r in scan_secrets(docs_df(list(texts.items()))).collect()}
+    assert got == {1: ["access", "mixed"], 2: ["access", "mixed"], 3: ["access", "mixed"], 4: ["access"], 5: ["access"]}
+    many = "client_id=svc-17 wJalrXUtnFEMI/K7MDENGbPxRfiCY https://h/x " * 3000
+    assert len(scan(many, None)[5]) == 9000
