@@ -37,6 +37,9 @@ CHUNK = 1 << 16
 MAX_SMALL, LIST_COST = 10, 4.0
 # Bits of the filter for sets that have to be compared: 2 MB whatever the input.
 NEEDED_BITS = 24
+# Sets of one component that are compared with as many others at once, and their tokens; tokens looked at together. Base of the size classes: above 4/3,
+# so that sets that link are in the same class or in neighbouring ones.
+BLOCK_SETS, BLOCK_TOKENS, COLUMNS, CLASS_BASE = 128, 1 << 20, 4096, 1.34
 
 # Positions of 8 bytes up to which a list of rows is broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
@@ -261,21 +264,11 @@ def shared_lists(postings: DataFrame) -> DataFrame:
 _FITS = "{a}_top >= {b}_n AND {b}_top >= {a}_n AND 4 * {a}_n >= 3 * {b}_n AND 4 * {b}_n >= 3 * {a}_n"
 
 
-def verified(pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. ``bitmaps`` has vertex, n, bits; ``texts`` the texts, for the sets of what the bitmaps let through."""
-    left = bitmaps.select(F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = bitmaps.select(F.col("vertex").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-
-    def sift(batches):
-        for batch in batches:
-            keep = [can_link(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
-
-    open_pairs = stored(wide.mapInArrow(sift, "a long, b long, n_a long, n_b long"), "jaccard-pairs")
+def token_sets(texts: DataFrame, wanted_vertices: DataFrame) -> DataFrame:
+    """(v, tokens) of the vertices in ``wanted_vertices`` (v), and of a few more that share a bit with one."""
     # At most 2^NEEDED_BITS bits come to the driver and go to the tasks.
     size = 1 << NEEDED_BITS
-    spots = open_pairs.select(F.explode(F.array("a", "b")).alias("v")).select(F.pmod("v", F.lit(size)).alias("spot"))
+    spots = wanted_vertices.select(F.pmod("v", F.lit(size)).alias("spot"))
     marks = spots.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("marks"))
     wanted = np.zeros(size // 8 + 4096, np.uint8)
     for row in marks.toLocalIterator():
@@ -285,7 +278,7 @@ def verified(pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame) -> DataFram
         if start is None:
             start = size // 8
         wanted[start : start + 4096] |= piece
-    share = pairs.sparkSession.sparkContext.broadcast(wanted)
+    share = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def marked(v: int) -> bool:
         spot = v % size
@@ -304,7 +297,22 @@ def verified(pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame) -> DataFram
                     out.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["v", "tokens"])
 
-    full = texts.mapInArrow(sets, "v long, tokens array<long>").dropDuplicates(["v"])
+    return texts.mapInArrow(sets, "v long, tokens array<long>").dropDuplicates(["v"])
+
+
+def verified(pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link. ``bitmaps`` has vertex, n, bits; ``texts`` the texts, for the sets of what the bitmaps let through."""
+    left = bitmaps.select(F.col("vertex").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = bitmaps.select(F.col("vertex").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+
+    def sift(batches):
+        for batch in batches:
+            keep = [can_link(*r) for r in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
+
+    open_pairs = stored(wide.mapInArrow(sift, "a long, b long, n_a long, n_b long"), "jaccard-pairs")
+    full = token_sets(texts, open_pairs.select(F.explode(F.array("a", "b")).alias("v")))
     both = (
         open_pairs.join(full.select(F.col("v").alias("a"), F.col("tokens").alias("of_a")), "a")
         .join(full.select(F.col("v").alias("b"), F.col("tokens").alias("of_b")), "b")
@@ -353,8 +361,112 @@ def jaccard_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def _described(docs: DataFrame, text: str, key: str, carry: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """(stored sets with row and key, (vertex, top) with the smallest key of each vertex's component)."""
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    of_a, of_b = (np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (left, right))
+    common = np.intersect1d(a, b)
+    if not len(common):
+        return out
+    at_a, at_b = (np.minimum(np.searchsorted(common, x), len(common) - 1) for x in (a, b))
+    in_a, in_b = common[at_a] == a, common[at_b] == b
+    at_a, of_a, at_b, of_b = at_a[in_a], of_a[in_a], at_b[in_b], of_b[in_b]
+    for low in range(0, len(common), COLUMNS):
+        sides = []
+        for at, of, n in ((at_a, of_a, len(left)), (at_b, of_b, len(right))):
+            here = (at >= low) & (at < low + COLUMNS)
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[of[here], at[here] - low] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def set_links(vertices: DataFrame, found: DataFrame, texts: DataFrame, pairs: bool = False) -> DataFrame:
+    """(vertex, linked): the rows whose other sets link with the vertex's; or with ``pairs`` the links (a, b) themselves.
+
+    ``vertices`` has vertex, n, copies; ``found`` the components, within which all links are. Two sets alone in a component link. Larger components are cut by
+    class of size into salted blocks; each two blocks whose classes are the same or neighbours meet in one group, so each pair of sets
+    is compared once, and no rows are made for pairs unless they are asked for.
+    """
+    members = stored(found.join(vertices, found["node"] == vertices["vertex"]).select("label", "vertex", "n", "copies"), "jaccard-members")
+    sizes = members.groupBy("label").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("copies").alias("all_copies"), F.min("vertex").alias("a"), F.max("vertex").alias("b")
+    )
+    sizes = stored(sizes, "jaccard-sizes")
+    if pairs:
+        two = sizes.where("k = 2").select("a", "b")
+    else:
+        two = members.join(sizes.where("k = 2"), "label").select("vertex", (F.col("all_copies") - F.col("copies")).alias("linked"))
+    many = members.join(sizes.where("k > 2").select("label"), "label")
+    many = stored(many.withColumn("class", F.floor(F.log(CLASS_BASE, "n"))), "jaccard-many")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.pow(F.lit(CLASS_BASE), F.col("class") + 1))))
+    blocks = stored(many.groupBy("label", "class").agg(F.ceil(F.count(F.lit(1)) / F.first(room)).alias("nb")), "jaccard-blocks")
+    near = blocks.select(
+        "label", F.explode(F.expr("array(struct(class, nb AS own, 0L AS above, 0L AS below), struct(class - 1 AS class, 0L AS own, nb AS above, 0L AS below),"
+                                  " struct(class + 1 AS class, 0L AS own, 0L AS above, nb AS below))")).alias("x"),
+    ).groupBy("label", "x.class").agg(*(F.max(f"x.{c}").alias(c) for c in ("own", "above", "below"))).where("own > 0")
+    near = stored(near, "jaccard-near")
+    small = near.count() <= MAX_BROADCAST_ROWS // 10
+    span = lambda n, to: f"IF({n} > 0, transform(sequence(0L, greatest({n}, 1L) - 1L), t -> {to}), array())"
+    to = lambda low, i, high, j, first: f"struct({low} AS low, {i} AS i, {high} AS high, {j} AS j, {first} AS first)"
+    placed = (
+        many.join(F.broadcast(near) if small else near, ["label", "class"])
+        .withColumn("salt", F.pmod(F.xxhash64("vertex"), "own"))
+        .select(
+            "label", "vertex", "copies",
+            F.explode(F.expr(
+                f"concat({span('own', to('class', 'least(salt, t)', 'class', 'greatest(salt, t)', 'salt <= t'))},"
+                f" {span('above', to('class', 'salt', 'class + 1', 't', 'true'))}, {span('below', to('class - 1', 't', 'class', 'salt', 'false'))})"
+            )).alias("x"),
+        ).select("label", "x.*", "vertex", "copies")
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        first = np.array(group.column("first").to_pylist(), bool)
+        same = group.column("low")[0] == group.column("high")[0] and group.column("i")[0] == group.column("j")[0]
+        v, copies = (group.column(c).to_numpy() for c in ("vertex", "copies"))
+        tokens = [np.asarray(t.values.to_numpy(zero_copy_only=False)) for t in group.column("tokens")]
+        n = np.array([len(t) for t in tokens], np.int64)
+        l, r = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+        if not len(l) or not len(r):
+            links = np.zeros((len(l), len(r)), bool)
+        else:
+            links = 7 * shared_tokens([tokens[i] for i in l], [tokens[i] for i in r]) >= 3 * (n[l][:, None] + n[r][None, :])
+        if same:
+            np.fill_diagonal(links, False)
+        if pairs:
+            x, y = np.nonzero(np.triu(links) if same else links)
+            a, b = v[l[x]], v[r[y]]
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        counts = np.zeros(len(v), np.int64)
+        counts[l] = links @ copies[r]
+        if not same:
+            counts[r] = links.T @ copies[l]
+        return pa.table({"vertex": v, "linked": counts})
+
+    full = token_sets(texts, many.select(F.col("vertex").alias("v")))
+    groups = placed.join(full, placed["vertex"] == full["v"]).drop("v").groupBy("label", "low", "i", "high", "j")
+    if pairs:
+        return two.unionByName(groups.applyInArrow(meet, "a long, b long"))
+    met = groups.applyInArrow(meet, "vertex long, linked long")
+    return two.unionByName(met.groupBy("vertex").agg(F.sum("linked").alias("linked")))
+
+
+def linked_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(members, links): the vertex of every row with words (key, vertex), and all links (a, b) between distinct sets, a < b."""
+    sets, _, found = _described(docs, text, key, [key])
+    links = set_links(_vertices(sets), found, docs.select(F.col(text).alias("text")), pairs=True)
+    return sets.where("n > 0").select("key", "vertex"), links
+
+
+def _vertices(sets: DataFrame) -> DataFrame:
+    return stored(sets.where("n > 0").groupBy("vertex").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "jaccard-vertices")
+
+
+def _described(docs: DataFrame, text: str, key: str, carry: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored sets with row and key, (vertex, top) with the smallest key of each vertex's component, components of linked vertices)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     rows = docs.count()
@@ -370,20 +482,24 @@ def _described(docs: DataFrame, text: str, key: str, carry: list[str] | None) ->
     labelled = least.join(linked, least["vertex"] == linked["node"], "left").select("vertex", "least", F.coalesce("label", "vertex").alias("label"))
     labelled = stored(labelled, "jaccard-labels")
     top = labelled.groupBy("label").agg(F.min("least").alias("top"))
-    return sets, labelled.join(top, "label").select("vertex", "top")
+    return sets, labelled.join(top, "label").select("vertex", "top"), linked
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """Every row with ``n_shingles`` and ``component_id``, the smallest key that links reach from it, its own included.
+    """Every row with ``n_shingles``, ``component_id``, the smallest key that links reach from it, its own included, and ``n_links``, the other rows it links with.
 
     Two rows link when their sets of five-word shingles have a Jaccard similarity of 0.75 or more. A text with fewer words is one shingle; a null
     text or one without words has none and links with nothing. Null keys count as larger than any; a component of null keys only has a null id.
     Repeated rows have equal sets, so they share a component. An empty table gives no rows. Input columns named like a result column give way to it.
     """
-    sets, ids = _described(docs, text, key, carry)
-    out = sets.select("row", "key", F.col("n").alias("n_shingles"), "vertex").join(ids, "vertex", "left")
+    sets, ids, found = _described(docs, text, key, carry)
+    vertices = _vertices(sets)
+    linked = set_links(vertices, found, docs.select(F.col(text).alias("text")))
+    counted = vertices.join(linked, "vertex", "left").select("vertex", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("count"))
+    out = sets.select("row", "key", F.col("n").alias("n_shingles"), "vertex").join(ids.join(counted, "vertex"), "vertex", "left")
+    out = out.withColumn("n_links", F.coalesce("count", F.lit(0)).cast("long"))
     out = out.withColumn("component_id", F.when(F.col("vertex").isNull(), F.col("key")).otherwise(F.col("top")))
-    return unpacked(out, "n_shingles", "component_id")
+    return unpacked(out, "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -394,7 +510,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("pos"))
     wrapped = docs.select(packed(docs), F.col(text).alias("text"), order.alias("rank"))
-    sets, ids = _described(wrapped, "text", "rank", ["row"])
+    sets, ids, _ = _described(wrapped, "text", "rank", ["row"])
     gone = sets.select("key", "vertex").join(ids, "vertex").where("key <> top").select(F.col("key.pos").alias("gone"))
     gone = stored(gone, "jaccard-gone")
     small = gone.count() <= MAX_BROADCAST_ROWS

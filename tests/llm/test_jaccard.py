@@ -132,3 +132,21 @@ def test_empty_clashing_and_long(docs_df):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n"]) for r in near_duplicates(df).collect())
     assert got == [(1, 29_996, 1, "n"), (2, 29_997, 1, "n"), (3, 0, 3, "n")]
     assert len(shingles("a b c d e f")) == 2
+
+
+def test_links_against_brute_force(docs_df, monkeypatch):
+    import seatward.llm.jaccard as module
+
+    monkeypatch.setattr(module, "BLOCK_SETS", 7)
+    monkeypatch.setattr(module, "COLUMNS", 50)
+    rows = [(i, text) for i, (_, text) in enumerate(corpus(4))]
+    sets = brute_sets(rows)
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {k: sum(link(a, b) for i, b in sets if i != k) for k, a in sets}
+    out = near_duplicates(docs_df(rows).repartition(4), carry=["doc_id"])
+    assert {r["doc_id"]: r["n_links"] for r in out.collect()} == want
+    members, links = module.linked_sets(docs_df(rows))
+    of = {r["key"]: r["vertex"] for r in members.collect()}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    pairs = {tuple(sorted((of[i], of[j]))) for (i, a), (j, b) in combinations(sets, 2) if link(a, b) and of[i] != of[j]}
+    assert len(got) == len(set(got)) and set(got) == pairs
