@@ -526,8 +526,10 @@ CHECK = r"""
     tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
     links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.x = b.x AND a.doc_id <> b.doc_id
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
     reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
-    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY ALL"""
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id, coalesce(c.n_links, 0) AS n_links
+    FROM sets s JOIN reach r ON r.a = s.doc_id LEFT JOIN counted c ON c.a = s.doc_id GROUP BY ALL"""
 
 
 @query("op6_jaccard_components", CHECK)
