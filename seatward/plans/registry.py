@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from seatward.functions import dims
 from seatward.sources import fixtures
-from seatward.sources.streams import stream_table
+from seatward.sources.streams import shuffled_stream, stream_table
+from seatward.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +39,19 @@ class Inputs:
         """The named input as a file stream."""
         return fixtures.table(self._spark, self._folder, name, stream_table)
 
+    def shuffled(self, name: str, source: str, at: str) -> tuple[DataFrame, timedelta]:
+        """(the named input as a stream of files out of order, by how much): the rows of the given table ``source`` come late, by its time ``at``."""
+        held = []
+
+        def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
+            if table != source:
+                return load(spark, folder, table)
+            stream, delay = shuffled_stream(spark, folder, table, at)
+            held.append(delay)
+            return stream
+
+        return fixtures.table(self._spark, self._folder, name, scan), held[0]
+
     @property
     def cap(self) -> DataFrame:
         return dims.inscription_pools(self._spark)

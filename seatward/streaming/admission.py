@@ -2,6 +2,8 @@
 
 Per pool the store holds the live rows, a stack of row numbers per e-mail (commands take the newest live row), the
 waitlist as numbered entries, and the active holds. A micro-batch reads only what its entries can touch.
+
+Without a ``delay`` entries are served in the micro-batch they come in; with one they wait in the pool's buffer until the watermark has passed them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seatward.functions.dims import HOLD
 from seatward.operators.replay import STEP_SCHEMA, PoolDesk, prepare_log, replay_entries
+from seatward.streaming.reorder import INSTANT, TimeOrdered, with_instant
 
 COLUMNS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
 ROW_STATE = (
@@ -24,11 +27,12 @@ ROW_STATE = (
 FIELDS = [c.split()[0] for c in ROW_STATE.split(", ")]
 
 
-class PoolAdmission(StatefulProcessor):
-    def __init__(self, hold: timedelta):
-        self.hold = int(hold.total_seconds() * 1_000_000)
+class PoolState:
+    """The rows of a pool in the state store, and one step over entries in order."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    hold: int
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.meta = handle.getValueState("meta", "n long, waiting long, head long, tail long, seen long")
         self.rows = handle.getMapState("rows", "n long", ROW_STATE)
         self.depth = handle.getMapState("depth", "email string", "d long")
@@ -56,17 +60,14 @@ class PoolAdmission(StatefulProcessor):
         for level in range(d, max(d - count, 0), -1):
             yield self._row(self.stack.getValue((email, level))[0])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+    def _known(self) -> tuple:
+        return self.meta.get() if self.meta.exists() else (0, 0, 0, 0, None)
+
+    def serve(self, log: pd.DataFrame) -> pd.DataFrame:
+        """Decisions and changed rows for entries sorted by time and ``seq``, none older than those served before."""
         instants = log["ts"].astype("datetime64[us]").astype("int64")
-        n, waiting, head, tail, seen = self.meta.get() if self.meta.exists() else (0, 0, 0, 0, None)
-        late = log["seq"].iloc[:0] if seen is None else log["seq"][instants < seen]
-        if len(late):
-            yield self._late(key[0], late)
-            log, instants = log.drop(late.index), instants.drop(late.index)
-        if log.empty:
-            return
-        log["n"] = range(n + 1, n + 1 + len(log))
+        n, waiting, head, tail, _ = self._known()
+        log = log.assign(n=range(n + 1, n + 1 + len(log)))
         start = int(instants.iloc[0])
         reach: dict[int, dict] = {}
         for (k,), (created,) in list(self.active.iterator()):
@@ -84,9 +85,9 @@ class PoolAdmission(StatefulProcessor):
         out = replay_entries(desk, log)
         tail = self._store(desk, n, tail, int(instants.iloc[-1]))
         self.meta.update((n + len(log), desk.waiting, head, tail, int(instants.iloc[-1])))
-        yield out[COLUMNS]
+        return out[COLUMNS]
 
-    def _late(self, pool: str, seqs: pd.Series) -> pd.DataFrame:
+    def late(self, pool: str, seqs: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame(index=range(len(seqs)), columns=COLUMNS)
         out["pool"], out["seq"], out["action"] = pool, seqs.tolist(), "late"
         return out
@@ -135,19 +136,59 @@ class PoolAdmission(StatefulProcessor):
             self.depth.updateValue((email,), (d,))
         return tail
 
+
+class PoolAdmission(PoolState, StatefulProcessor):
+    """Entries are served as they come."""
+
+    def __init__(self, hold: timedelta):
+        self.hold = int(hold.total_seconds() * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open(handle)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        log = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        seen = self._known()[4]
+        if seen is not None:
+            late = log["ts"].astype("datetime64[us]").astype("int64") < seen
+            if late.any():
+                yield self.late(key[0], log["seq"][late])
+                log = log[~late]
+        if len(log):
+            yield self.serve(log)
+
     def close(self) -> None:
         pass
 
 
-def stream_admission(log: DataFrame, cap: DataFrame, payers: DataFrame, hold: timedelta = HOLD) -> DataFrame:
+class OrderedPoolAdmission(PoolState, TimeOrdered):
+    """Entries are served once the watermark has passed them."""
+
+    def __init__(self, hold: timedelta):
+        TimeOrdered.__init__(self, [INSTANT, "seq"])
+        self.hold = int(hold.total_seconds() * 1_000_000)
+
+    def place(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield self.serve(rows.drop(columns=INSTANT))
+
+    def refuse(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return self.late(key[0], rows["seq"])
+
+
+def stream_admission(
+    log: DataFrame, cap: DataFrame, payers: DataFrame, hold: timedelta = HOLD, delay: timedelta | None = None
+) -> DataFrame:
     """Decisions and changed request rows for a stream of log entries (same columns as the batch step).
 
-    Each pool is served in order; entries older than the pool's last decision leave with action ``late``.
+    Each pool is served in order. Without ``delay``, entries older than the pool's last decision leave with action ``late``. With it, an entry is served
+    once the watermark, that far behind the latest entry of earlier micro-batches, has passed it: entries within the delay are decided as in the batch
+    replay whatever the order of files, and later ones, like entries without a time, leave as ``late``. A pool's waiting entries are read in pieces.
     """
-    return (
-        prepare_log(log, cap, payers)
-        .groupBy("pool")
-        .transformWithStateInPandas(
-            PoolAdmission(hold), outputStructType=STEP_SCHEMA, outputMode="Append", timeMode="None"
-        )
+    known = prepare_log(log, cap, payers)
+    if delay is None:
+        processor, mode = PoolAdmission(hold), "None"
+    else:
+        known, processor, mode = with_instant(known, "ts", delay), OrderedPoolAdmission(hold), "EventTime"
+    return known.groupBy("pool").transformWithStateInPandas(
+        processor, outputStructType=STEP_SCHEMA, outputMode="Append", timeMode=mode
     )
