@@ -3,18 +3,20 @@
 Each decision of a pool depends on all earlier ones (the applicants of a pool are served one at a time), so a pool
 is a sequential chain while pools are independent. A pool's log is cut into slices of ``slice_rows`` rows. One
 round replays one slice of every pool, and hands over a table of request rows. A task sees one slice and the few
-rows that slice can touch: active holds, rows of e-mails it commands, and as many queue heads as it has
-cancellations. So no task holds a whole pool, and a lost executor repeats one round at most.
+rows that slice can touch: active holds, rows it commands by e-mail or by id, and as many queue heads as it has
+cancellations and promotions. So no task holds a whole pool, and a lost executor repeats one round at most.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
-from collections import deque
+import uuid
 from collections.abc import Iterable
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from seatward.functions.dims import HOLD, interval
 from seatward.functions.text import norm_email
 from seatward.operators.ordered import group_sizes, rank_rows
-from seatward.session import pin
+from seatward.session import pin, shared_dir
 
 SLICE_ROWS = 1_000_000
 
@@ -43,19 +45,24 @@ DECISION_FIELDS = {"seq": "long", "action": "string", "row_id": "long", "waitlis
 ROW_SCHEMA = "pool string, " + ", ".join(f"{c} {t}" for c, t in ROW_FIELDS.items())
 STEP_SCHEMA = ROW_SCHEMA + ", " + ", ".join(f"{c} {t}" for c, t in DECISION_FIELDS.items())
 
+CREATIONS = ("create", "admin")
 STATUS_AFTER = {"pay": "paid", "waive": "waived", "unmark": "pending", "cancel": "cancelled"}
 
 
 class PoolDesk:
     """The rows of one pool in reach of a slice, and the decision for one log entry at a time."""
 
-    def __init__(self, capacity: int, paid: int, waiting: int, hold_us: int, rows: Iterable[list] = ()):
+    def __init__(
+        self, capacity: int, paid: int, waiting: int, hold_us: int, rows: Iterable[dict] = (), fair: bool = False, promoted_anew: bool = False
+    ):
         self.places = capacity - paid
         self.waiting = waiting
         self.hold_us = hold_us
+        self.fair, self.promoted_anew = fair, promoted_anew
         self.rows: dict[int, dict] = {}
+        self.by_id: dict[int, int] = {}
         self.by_email: dict[str, list[int]] = {}
-        self.queue: deque[int] = deque()
+        self.queue: list[int] = []
         self.expiry: list[tuple[int, int]] = []
         self.active: dict[str, set[int]] = {}
         self.taken = 0
@@ -65,17 +72,30 @@ class PoolDesk:
 
     def _place(self, row: dict) -> None:
         self.rows[row["n"]] = row
-        self.by_email.setdefault(row["email"], []).append(row["n"])
+        self.by_id[row["id"]] = row["n"]
+        if row["payment_status"] != "cancelled":
+            self._enter(row)
+
+    def _enter(self, row: dict) -> None:
+        """A row that is live from now on: the newest of its e-mail unless a later one is, and in the queue at the place of its date."""
+        mine = self.by_email.setdefault(row["email"], [])
+        if not mine or mine[-1] < row["n"]:
+            mine.append(row["n"])
+        elif row["n"] not in mine:
+            bisect.insort(mine, row["n"])
         if row["is_waitlist"]:
-            self.queue.append(row["n"])
+            heapq.heappush(self.queue, row["n"])
         self._activate(row)
 
+    def _start(self, row: dict) -> int:
+        return row["promoted_at"] if self.promoted_anew and row["promoted_at"] is not None else row["created_at"]
+
     def _activate(self, row: dict) -> None:
         if row["payment_status"] == "pending" and not row["is_waitlist"]:
             mine = self.active.setdefault(row["email"], set())
             if row["n"] not in mine:
                 mine.add(row["n"])
-                heapq.heappush(self.expiry, (row["created_at"], row["n"]))
+                heapq.heappush(self.expiry, (self._start(row), row["n"]))
                 self.taken += not row["is_payer"]
 
     def _deactivate(self, row: dict) -> None:
@@ -86,55 +106,83 @@ class PoolDesk:
 
     def _expire(self, now: int) -> None:
         while self.expiry and self.expiry[0][0] <= now - self.hold_us:
-            self._deactivate(self.rows[heapq.heappop(self.expiry)[1]])
+            start, n = heapq.heappop(self.expiry)
+            # A row that left and came back has an entry for each time.
+            if start == self._start(self.rows[n]):
+                self._deactivate(self.rows[n])
 
-    def create(self, n: int, seq: int, now: int, email: str, is_payer: bool):
+    def create(self, n: int, seq: int, now: int, email: str, is_payer: bool, by_admin: bool = False):
         self._expire(now)
         held = self.active.get(email)
-        if held:
+        if held and not by_admin:
             return "reused", self.rows[max(held)]["id"], None
-        wait = self.places - self.taken <= 0
+        full = self.places - self.taken <= 0 or (self.fair and self.waiting > 0)
+        wait = full and not by_admin
         row = dict(n=n, id=seq, email=email, created_at=now, payment_status="pending", is_waitlist=wait,
                    promoted_at=None, paid_at=None, cancelled_at=None, is_payer=is_payer)
         self._place(row)
         self.changed.add(n)
+        if by_admin:
+            return "created", seq, None
         if not wait:
             return "held", seq, None
         self.waiting += 1
         return "waitlisted", seq, self.waiting
 
-    def command(self, kind: str, now: int, email: str):
-        self._expire(now)
+    def _newest(self, email: str) -> dict | None:
+        """The newest live row of an e-mail."""
         mine = self.by_email.get(email)
         while mine and self.rows[mine[-1]]["payment_status"] == "cancelled":
             mine.pop()
-        if not mine:
+        return self.rows[mine[-1]] if mine else None
+
+    def command(self, kind: str, now: int, email: str, target: int | None = None):
+        """``target`` names a row by its id, cancelled ones too; without it the newest live row of the e-mail is meant."""
+        self._expire(now)
+        if target is None:
+            row = self._newest(email)
+        else:
+            row = self.rows[self.by_id[target]] if target in self.by_id else None
+        if kind == "promote" and row is not None and (row["payment_status"] == "cancelled" or not row["is_waitlist"]):
+            row = None
+        if row is None:
             return "unmatched", None, None
-        row = self.rows[mine[-1]]
+        self.changed.add(row["n"])
+        if kind == "promote":
+            self._let_in(row, now)
+            return kind, row["id"], None
+        was_live = row["payment_status"] != "cancelled"
         row["payment_status"] = STATUS_AFTER[kind]
         row["cancelled_at"] = now if kind == "cancel" else None
         if kind != "cancel":
             row["paid_at"] = now if kind in ("pay", "waive") else None
-        self.changed.add(row["n"])
         self._deactivate(row)
-        if kind == "unmark" and row["created_at"] > now - self.hold_us:
+        if kind == "cancel":
+            if was_live and row["is_waitlist"]:
+                self.waiting -= 1
+            elif was_live:
+                self._promote(now)
+        elif not was_live:
+            # A cancelled row that comes back is not held against the quota; one that had waited waits again.
+            self.waiting += row["is_waitlist"]
+            self._enter(row)
+        elif kind == "unmark" and self._start(row) > now - self.hold_us:
             self._activate(row)
-        if kind == "cancel" and row["is_waitlist"]:
-            self.waiting -= 1
-        elif kind == "cancel":
-            self._promote(now)
         return kind, row["id"], None
 
+    def _let_in(self, row: dict, now: int) -> None:
+        row["is_waitlist"] = False
+        row["promoted_at"] = now
+        self.waiting -= 1
+        self.changed.add(row["n"])
+        if self._start(row) > now - self.hold_us:
+            self._activate(row)
+
     def _promote(self, now: int) -> None:
         while self.queue:
-            row = self.rows[self.queue.popleft()]
+            row = self.rows[heapq.heappop(self.queue)]
             if row["is_waitlist"] and row["payment_status"] != "cancelled":
-                row["is_waitlist"] = False
-                row["promoted_at"] = now
-                self.waiting -= 1
-                self.changed.add(row["n"])
-                if row["created_at"] > now - self.hold_us:
-                    self._activate(row)
+                self._let_in(row, now)
                 return
 
 
@@ -154,11 +202,16 @@ def rows_in(pdf: pd.DataFrame) -> list[dict]:
 def replay_entries(desk: PoolDesk, log: pd.DataFrame) -> pd.DataFrame:
     """Decisions for the log rows, then the request rows made or changed."""
     log = log.sort_values("n")
+    # Targets come as text: by way of floats, ids above 2^53 would be rounded.
+    targets = log["target"].tolist() if "target" in log else [None] * len(log)
     entries = zip(log["n"].tolist(), log["seq"].tolist(), _micros(log["ts"]), log["kind"].tolist(),
-                  log["email"].tolist(), log["is_payer"].tolist())
+                  log["email"].tolist(), log["is_payer"].tolist(), targets, strict=True)
     decided = []
-    for n, seq, now, kind, email, is_payer in entries:
-        result = desk.create(n, seq, now, email, is_payer) if kind == "create" else desk.command(kind, now, email)
+    for n, seq, now, kind, email, is_payer, target in entries:
+        if kind in CREATIONS:
+            result = desk.create(n, seq, now, email, is_payer, kind == "admin")
+        else:
+            result = desk.command(kind, now, email, None if target is None else int(target))
         decided.append((seq, *result))
     rows = [desk.rows[n] for n in sorted(desk.changed)]
     # Each column is built with its type: by way of floats, ids above 2^53 would be rounded.
@@ -179,25 +232,25 @@ def _typed(name: str, values: list):
     if name in FLAGS:
         return pd.array(values, dtype="boolean")
     if name in TIMES:
-        return pd.Series(pd.array(values, dtype="Int64")).map(lambda v: pd.NaT if pd.isna(v) else pd.Timestamp(int(v), unit="us")).astype("datetime64[us]")
+        return pd.Series(pd.array(values, dtype="Int64").to_numpy(np.int64, na_value=np.iinfo(np.int64).min).view("datetime64[us]"))
     return pd.Series(values, dtype="object")
 
 
-def _step(hold_us: int):
+def _step(hold_us: int, fair: bool, promoted_anew: bool):
     columns = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
 
     def step(log: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if log.empty:
             return pd.DataFrame(columns=columns)
         first = log.iloc[0]
-        desk = PoolDesk(int(first["capacity"]), int(first["paid"]), int(first["waiting"]), hold_us, rows_in(rows))
+        desk = PoolDesk(int(first["capacity"]), int(first["paid"]), int(first["waiting"]), hold_us, rows_in(rows), fair, promoted_anew)
         return replay_entries(desk, log)[columns]
 
     return step
 
 
 def prepare_log(log: DataFrame, cap: DataFrame, payers: DataFrame) -> DataFrame:
-    """Log with the fixed facts each decision needs: capacity and payers of the pool, and who is a payer."""
+    """Log with the fixed facts each decision needs: capacity and payers of the pool, and who is a payer. A ``target`` goes on as text."""
     paid_mail = payers.select(F.lower(F.col("email")).alias("email")).distinct().withColumn("_p", F.lit(True))
     paid_pool = payers.groupBy("pool").agg(F.count(F.lit(1)).alias("_paid"))
     fixed = cap.join(paid_pool, "pool", "left").select("pool", "capacity", F.coalesce("_paid", F.lit(0)).alias("paid"))
@@ -210,31 +263,55 @@ def prepare_log(log: DataFrame, cap: DataFrame, payers: DataFrame) -> DataFrame:
             F.coalesce("capacity", F.lit(0)).alias("capacity"),
             F.coalesce("paid", F.lit(0)).alias("paid"),
             F.col("_p").isNotNull().alias("is_payer"),
+            *([F.col("target").cast("string").alias("target")] if "target" in log.columns else []),
         )
     )
 
 
-def _reach(rows: DataFrame, part: DataFrame, hold: timedelta, max_group_rows: int | None) -> DataFrame:
-    """Rows a slice can read or change."""
-    live = rows.filter(F.col("payment_status") != "cancelled")
-    pools = part.groupBy("pool").agg(F.min("ts").alias("_from"), F.count_if(F.col("kind") == "cancel").alias("_cancels"))
+def _reach(
+    rows: DataFrame, gone: DataFrame, part: DataFrame, hold: timedelta, hold_from: str, sizes: tuple[int, int], max_group_rows: int | None
+) -> DataFrame:
+    """Rows a slice can read or change: of the live ``rows``, and of the cancelled ones in ``gone`` those it names.
+
+    ``sizes`` bounds the rows of a pool, and with them those of an e-mail in it.
+    """
+    cols = rows.columns
+    takes = F.col("kind").isin("cancel", "promote")
+    pools = part.groupBy("pool").agg(F.min("ts").alias("_from"), F.count_if(takes).alias("_cancels"))
+    start = F.coalesce("promoted_at", "created_at") if hold_from == "promoted_at" else F.col("created_at")
     active = (
-        live.filter((F.col("payment_status") == "pending") & ~F.col("is_waitlist"))
+        rows.filter((F.col("payment_status") == "pending") & ~F.col("is_waitlist"))
         .join(pools, "pool")
-        .filter(F.col("created_at") > F.col("_from") - interval(hold))
-    )
-    named = (
-        part.filter(F.col("kind") != "create")
-        .groupBy("pool", "email")
-        .agg(F.count_if(F.col("kind") == "cancel").alias("_mine"))
+        .filter(start > F.col("_from") - interval(hold))
     )
+    commands = part.filter(~F.col("kind").isin(*CREATIONS))
+    named = None
+    if "target" in part.columns:
+        ids = commands.filter("target IS NOT NULL").groupBy("pool", F.col("target").cast("long").alias("id")).agg(F.count_if(F.col("kind") == "cancel").alias("_hits"))
+        named = rows.unionByName(gone).join(ids, ["pool", "id"])
+        commands = commands.filter("target IS NULL")
+    wanted = commands.groupBy("pool", "email").agg(F.count_if(F.col("kind") == "cancel").alias("_mine"))
+    if named is not None:
+        # Rows that are cancelled by id no longer stand before older rows of their e-mail.
+        by_id = named.filter("_hits > 0").groupBy("pool", "email").agg(F.count(F.lit(1)).alias("_also"))
+        wanted = wanted.join(by_id, ["pool", "email"], "left").select("pool", "email", (F.col("_mine") + F.coalesce("_also", F.lit(0))).alias("_mine"))
     # A command takes the newest live row of its e-mail, so c cancellations reach c + 1 rows.
-    mine = live.join(named, ["pool", "email"]).withColumn("_back", -F.col("n"))
-    mine = rank_rows(mine, ["pool", "email"], ["_back"], "_r", max_group_rows).filter("_r <= _mine + 1")
-    queue = live.filter("is_waitlist").join(pools.filter("_cancels > 0"), "pool")
-    heads = rank_rows(queue, ["pool"], ["n"], "_r", max_group_rows).filter("_r <= _cancels")
-    cols = rows.columns
-    return active.select(cols).unionByName(mine.select(cols)).unionByName(heads.select(cols)).dropDuplicates(["pool", "n"])
+    mine = rows.join(wanted, ["pool", "email"]).withColumn("_back", -F.col("n"))
+    mine = rank_rows(mine, ["pool", "email"], ["_back"], "_r", max_group_rows, sizes).filter("_r <= _mine + 1")
+    queue = rows.filter("is_waitlist").join(pools.filter("_cancels > 0"), "pool")
+    heads = rank_rows(queue, ["pool"], ["n"], "_r", max_group_rows, sizes).filter("_r <= _cancels")
+    reached = active.select(cols).unionByName(mine.select(cols)).unionByName(heads.select(cols))
+    if named is not None:
+        reached = reached.unionByName(named.select(cols))
+    return reached.dropDuplicates(["pool", "n"])
+
+
+def _slices(ranked: DataFrame, slice_rows: int) -> str:
+    """Write the numbered log, a folder per slice; a round reads its own folder only."""
+    shared = f"{shared_dir(ranked.sparkSession)}/replay-log-{uuid.uuid4().hex}"
+    sliced = ranked.withColumn("_round", F.floor((F.col("n") - 1) / slice_rows).cast("int"))
+    sliced.repartition("_round", "pool").write.partitionBy("_round").parquet(shared)
+    return shared
 
 
 def replay_requests(
@@ -244,45 +321,53 @@ def replay_requests(
     hold: timedelta = HOLD,
     slice_rows: int = SLICE_ROWS,
     max_group_rows: int | None = None,
+    fair: bool = False,
+    hold_from: str = "created_at",
 ) -> tuple[DataFrame, DataFrame]:
-    """Replay ``log`` (seq, ts, kind, email, pool). Returns (decision per log row, request rows at the end).
+    """Replay ``log`` (seq, ts, kind, email, pool, and ``target`` if it has one). Returns (decision per log row, request rows at the end).
 
     ``create`` reuses the e-mail's active hold, else takes a place if one remains, else joins the waitlist.
-    ``pay``, ``waive``, ``unmark`` and ``cancel`` act on the newest live row of the e-mail in the pool; cancelling a
+    ``pay``, ``waive``, ``unmark`` and ``cancel`` act on the row whose id (the ``seq`` that made it) is ``target``, or where that is null on the newest
+    live row of the e-mail in the pool; cancelling a
     row that is not waitlisted promotes the head of the queue. A payment frees its place until the payer list has
     it, and a promoted row keeps its date, so it usually counts no more. Input is validated beforehand.
+
+    By id a cancelled row can be paid, waived or unmarked: it is live again without a look at the quota, and one that waited is back in the queue at the place of its
+    date. ``promote`` lets the named waitlist row in, whoever is before it, and ``admin`` makes a row that is neither refused nor
+    reused. Ids that name no such row of the pool are ``unmatched``.
+
+    With ``fair``, nobody takes a place while others wait. With ``hold_from="promoted_at"`` a promoted row's hold counts from its promotion.
     """
     known = prepare_log(log, cap, payers)
     sizes = group_sizes(log, ["pool"])
     ranked = rank_rows(known, ["pool"], ["ts", "seq"], "n", max_group_rows, sizes)
     rounds = max(1, math.ceil(sizes[0] / slice_rows))
-    step = _step(int(hold.total_seconds() * 1_000_000))
+    step = _step(int(hold.total_seconds() * 1_000_000), fair, hold_from == "promoted_at")
     spark = log.sparkSession
     rows = spark.createDataFrame([], ROW_SCHEMA)
     if rounds == 1:
         part = ranked.withColumn("waiting", F.lit(0).cast("long"))
         out = part.groupBy("pool").cogroup(rows.groupBy("pool")).applyInPandas(step, STEP_SCHEMA)
         return _decisions(out), _rows(out)
-    ranked = pin(ranked.withColumn("_round", F.floor((F.col("n") - 1) / slice_rows)))
-    decisions, closed = None, rows
+    folder = _slices(ranked, slice_rows)
+    decisions, gone = None, rows
     for k in range(rounds):
-        part = ranked.filter(F.col("_round") == k)
-        waiting = (
-            rows.filter(F.col("is_waitlist") & (F.col("payment_status") != "cancelled"))
-            .groupBy("pool")
-            .agg(F.count(F.lit(1)).alias("waiting"))
-        )
-        reach = _reach(rows, part, hold, max_group_rows)
+        part = spark.read.schema(ranked.schema).parquet(f"{folder}/_round={k}")
+        waiting = rows.filter("is_waitlist").groupBy("pool").agg(F.count(F.lit(1)).alias("waiting"))
+        reach = _reach(rows, gone, part, hold, hold_from, sizes, max_group_rows)
         part = part.join(waiting, "pool", "left").fillna(0, ["waiting"])
         out = pin(part.groupBy("pool").cogroup(reach.groupBy("pool")).applyInPandas(step, STEP_SCHEMA))
         changed = _rows(out)
-        now = rows.join(changed.select("pool", "n"), ["pool", "n"], "left_anti").unionByName(changed)
-        # No command reaches a cancelled row again: it leaves the table that is carried on.
-        done = F.col("payment_status") == "cancelled"
-        closed = closed.unionByName(changed.filter(done))
-        rows = pin(now.filter(~done))
         decisions = _decisions(out) if decisions is None else decisions.unionByName(_decisions(out))
-    return decisions, rows.unionByName(closed)
+        keys = changed.select("pool", "n")
+        # Cancelled rows leave the table that is carried on; by id alone they can be reached again.
+        done = F.col("payment_status") == "cancelled"
+        old = gone.join(keys, ["pool", "n"], "left_anti") if "target" in log.columns else gone
+        gone = old.unionByName(changed.filter(done))
+        rows = pin(rows.join(keys, ["pool", "n"], "left_anti").unionByName(changed.filter(~done)))
+        if "target" in log.columns and k % 8 == 7:
+            gone = pin(gone)
+    return decisions, rows.unionByName(gone)
 
 
 def _decisions(out: DataFrame) -> DataFrame:
