@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatward.session import pin
 
+# Attempts that one task decides one after the other.
+FOLD_ATTEMPTS = 500_000
+# Rounds of minima before the attempts left are told apart by component.
+GREEDY_ROUNDS = 3
+
 
 def eligible_inviters(requests: DataFrame, payers: DataFrame) -> DataFrame:
     """Requests whose lower-cased captain e-mail is in the payer list as stored."""
@@ -35,15 +44,112 @@ def _blank(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c) == "")
 
 
+def _one_by_one(seqs: list, tokens: list, emails: list, used: set, made: set) -> list[bool]:
+    """Which attempts win, in order: each takes its token and its e-mail, if both are free."""
+    won = []
+    for _, token, email in zip(seqs, tokens, emails, strict=True):
+        free = token not in used and email not in made
+        if free:
+            used.add(token)
+            made.add(email)
+        won.append(free)
+    return won
+
+
+def _fold_all(left: DataFrame) -> DataFrame:
+    """The winners among attempts that are few enough for one task, which reads them in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: set = set()
+        made: set = set()
+        for batch in batches:
+            yield batch.filter(pa.array(_one_by_one(*(batch.column(i).to_pylist() for i in range(3)), used, made), pa.bool_()))
+
+    return left.select("seq", "token", "email").repartition(1).sortWithinPartitions("seq").mapInArrow(run, left.schema)
+
+
+def _fold_components(labelled: DataFrame) -> DataFrame:
+    """The winners, component by component."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        won = _one_by_one(*(rows[c].tolist() for c in ("seq", "token", "email")), set(), set())
+        return rows.loc[won, ["seq", "token", "email"]]
+
+    schema = labelled.select("seq", "token", "email").schema
+    return labelled.groupBy("component").applyInPandas(run, schema)
+
+
+def attempt_components(left: DataFrame) -> DataFrame:
+    """(seq, token, email, component): attempts that tokens and e-mails connect share the least ``seq`` among them.
+
+    A round takes the least label around each token and e-mail, and then the label of that label, so that chains shorten by doubling.
+    """
+    labels = pin(left.select("seq", "token", "email", F.col("seq").alias("component")))
+    while True:
+        by_token = labels.groupBy("token").agg(F.min("component").alias("_t"))
+        by_email = labels.groupBy("email").agg(F.min("component").alias("_e"))
+        near = labels.join(by_token, "token").join(by_email, "email").select(
+            "seq", "token", "email", F.col("component").alias("_was"), F.least("_t", "_e").alias("_near")
+        )
+        near = pin(near)
+        above = near.select(F.col("seq").alias("_near"), F.col("_near").alias("_above"))
+        jumped = pin(near.join(above, "_near").select("seq", "token", "email", "_was", F.col("_above").alias("component")))
+        labels = jumped.drop("_was")
+        if jumped.filter("component <> _was").isEmpty():
+            return labels
+
+
+def _greedy_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(winners, what is left): attempts that are the earliest left for their token and for their e-mail win."""
+    per_token = left.groupBy("token").agg(F.min_by(F.struct("seq", "email"), "seq").alias("_t"))
+    per_email = left.groupBy("email").agg(F.min("seq").alias("seq"))
+    won = pin(
+        per_token.select(F.col("_t.seq").alias("seq"), "token", F.col("_t.email").alias("email")).join(
+            per_email, ["email", "seq"], "left_semi"
+        ).select("seq", "token", "email")
+    )
+    rest = left.join(won.select("token"), "token", "left_anti").join(won.select("email"), "email", "left_anti")
+    return won, pin(rest.select("seq", "token", "email"))
+
+
+def winning_attempts(left: DataFrame, fold_attempts: int = FOLD_ATTEMPTS) -> tuple[DataFrame, int]:
+    """(seq, token, email of the winners, rounds taken) among attempts whose token and e-mail are free at the start.
+
+    Few attempts are decided in order by one task. More of them go through rounds of minima, which in random order leave a fraction each. What a few rounds
+    leave is told apart by component, as attempts without a token or e-mail in common do not meet: components that fit a task are decided
+    in order side by side, and rounds go on with larger ones only.
+    """
+    left = pin(left.select("seq", "token", "email"))
+    parts, rounds, next_split = [], 0, GREEDY_ROUNDS
+    while (n := left.count()) > fold_attempts:
+        won, left = _greedy_round(left)
+        parts.append(won)
+        rounds += 1
+        if rounds >= next_split and left.count() > fold_attempts:
+            next_split = 2 * rounds
+            labelled = attempt_components(left)
+            sizes = labelled.groupBy("component").count()
+            large = pin(sizes.filter(F.col("count") > fold_attempts).select("component"))
+            parts.append(pin(_fold_components(labelled.join(large, "component", "left_anti"))))
+            left = pin(labelled.join(large, "component", "left_semi").select("seq", "token", "email"))
+            rounds += 1
+    if n:
+        parts.append(pin(_fold_all(left)))
+        rounds += 1
+    winners = left.limit(0)
+    for part in parts:
+        winners = winners.unionByName(part)
+    return winners, rounds
+
+
 def redeem_tokens(
-    attempts: DataFrame, invites: DataFrame, champions: DataFrame
+    attempts: DataFrame, invites: DataFrame, champions: DataFrame, fold_attempts: int = FOLD_ATTEMPTS
 ) -> tuple[DataFrame, DataFrame]:
     """Redeem single-use tokens in ``seq`` order, each creating at most one champion per e-mail.
 
     An attempt wins when its token is unused and its e-mail is no champion yet at its turn; a failed attempt
-    leaves the token usable. Taken one by one this is a greedy matching on two keys. Here every round accepts each
-    attempt that is the earliest left for its token and also for its e-mail, then drops the attempts that now
-    conflict. The earliest attempt left always wins its round, so rounds end, and no order is lost. Minima combine
+    leaves the token usable. Taken one by one this is a greedy matching on two keys, see ``winning_attempts``. Minima combine
     map-side, so a token or e-mail with very many attempts is never gathered.
 
     Returns (attempts with ``reason``, null when accepted; champions created).
@@ -71,25 +177,7 @@ def redeem_tokens(
     )
     checked = pin(checked)
     open_to_win = F.col("_fixed").isNull() & F.col("_champion").isNull()
-    left = pin(checked.filter(open_to_win).select("seq", "token", "email"))
-    winners, rounds = None, 0
-    while not left.isEmpty():
-        rounds += 1
-        per_token = left.groupBy("token").agg(F.min_by(F.struct("seq", "email"), "seq").alias("_t"))
-        per_email = left.groupBy("email").agg(F.min("seq").alias("seq"))
-        won = pin(
-            per_token.select("token", F.col("_t.seq").alias("seq"), F.col("_t.email").alias("email")).join(
-                per_email, ["email", "seq"], "left_semi"
-            )
-        )
-        winners = won if winners is None else winners.unionByName(won)
-        if rounds % 10 == 0:
-            winners = pin(winners)
-        left = pin(
-            left.join(won.select("token"), "token", "left_anti").join(won.select("email"), "email", "left_anti")
-        )
-    if winners is None:
-        winners = left
+    winners, _ = winning_attempts(checked.filter(open_to_win), fold_attempts)
     # A loser met a token already used by an earlier winner, or an e-mail made champion by one.
     by_token = winners.select("token", F.col("seq").alias("_token_seq"))
     won_seq = winners.select("seq", F.lit(True).alias("_won"))

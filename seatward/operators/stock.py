@@ -224,3 +224,44 @@ def stock_timeline(
         taken.cast("int").alias("taken"),
         F.greatest(F.col("capacity") - taken, F.lit(0)).cast("int").alias("remaining"),
     )
+
+
+def stock_history(
+    cap: DataFrame,
+    payers: DataFrame,
+    requests: DataFrame,
+    instants: DataFrame,
+    hold: timedelta = HOLD,
+    keys: Sequence[str] = POOL,
+    imported_at: str = "imported_at",
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """Final stock at many instants, with the payers that were there at each: a payer counts from ``imported_at`` on.
+
+    From the first import of its e-mail (in whatever pool) a hold counts no more, so its interval ends there or at its expiry. Three kinds of steps, payers
+    coming, holds starting and holds ending, are summed per (pool, instant) and swept once. At one instant the steps come before the reading. A payer
+    without a time was there all along.
+    """
+    keys = list(keys)
+    mails = payers.groupBy(F.lower(F.col("email")).alias("_mail")).agg(
+        F.when(F.count_if(F.col(imported_at).isNull()) > 0, F.lit(None)).otherwise(F.min(imported_at)).alias("_paid_at"), F.lit(True).alias("_known")
+    )
+    holds = requests.filter(~F.col("is_waitlist") & (F.col("payment_status") == "pending"))
+    holds = holds.select(*keys, F.lower(F.col("email")).alias("_mail"), "created_at")
+    # Requests of one e-mail and instant are one row in the join.
+    holds = holds.groupBy(*keys, "_mail", "created_at").agg(F.count(F.lit(1)).alias("_n")).join(mails, "_mail", "left")
+    always_paid = F.col("_known").isNotNull() & F.col("_paid_at").isNull()
+    ends = F.least(F.col("created_at") + interval(hold), F.col("_paid_at"))
+    counted = holds.filter(~always_paid & (F.col("_paid_at").isNull() | (F.col("_paid_at") > F.col("created_at"))))
+    starts = counted.select(*keys, F.col("created_at").alias("instant"), F.col("_n").alias("_d"))
+    stops = counted.select(*keys, ends.alias("instant"), (-F.col("_n")).alias("_d"))
+    there = payers.dropna(subset=keys)
+    came = there.filter(F.col(imported_at).isNotNull()).select(*keys, F.col(imported_at).alias("instant"), F.lit(1).cast("long").alias("_d"))
+    steps = starts.unionByName(stops).unionByName(came).groupBy(*keys, "instant").agg(F.sum("_d").alias("_d")).withColumn("_read", F.lit(0))
+    reads = instants.select(*keys, "instant").distinct().select("*", F.lit(0).cast("long").alias("_d"), F.lit(1).alias("_read"))
+    line = running_sum(steps.unionByName(reads), keys, ["instant", "_read"], "_d", "_taken", max_group_rows).filter("_read = 1")
+    first = count_by(there.filter(F.col(imported_at).isNull()), keys, "_first")
+    taken = (F.col("_taken") + F.coalesce("_first", F.lit(0))).cast("int")
+    return line.join(cap, keys).join(first, keys, "left").select(
+        *keys, "instant", taken.alias("taken"), F.greatest(F.col("capacity") - taken, F.lit(0)).alias("remaining")
+    )
