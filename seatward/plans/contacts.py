@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seatward.functions import rules, text
 from seatward.functions.dims import POOL_LABELS, lookup
 from seatward.plans.registry import query
-from seatward.sources.tables import json_field
+from seatward.sources.tables import json_field, parse_crest
 
 
 @query(
@@ -70,6 +70,15 @@ def json_prop(t):
     return t.events.select("event_id", json_field(F.col("props"), "$.k", "int").alias("k"))
 
 
+@query(
+    "crest_fields",
+    "SELECT event_id, json_extract_string(props, '$.k') AS props_k, json_extract_string(props, '$.none') AS props_none FROM events",
+)
+def crest_fields(t):
+    """A JSON column parsed once, with fields pulled out as text; the parsed column itself is no plain value and is left out."""
+    return parse_crest(t.events, "props", ("k", "none")).select("event_id", "props_k", "props_none")
+
+
 @query(
     "cancel_audit",
     """SELECT id, coalesce(admin_notes || chr(10), '') || '↳ Annulée le ' || strftime(created_at, '%d/%m/%Y %H:%M')

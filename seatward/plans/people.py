@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from seatward.operators import invites, payments, writes
 from seatward.plans.registry import AS_OF, query
-from seatward.sources.streams import run_folder
+from seatward.sources.schemas import SCHEMAS
+from seatward.sources.streams import drain, run_folder
 from seatward.sources.tables import export_csv, read_payers_csv, split_bad_records
+from seatward.streaming.imports import import_payers, imported_payers, stream_payers_csv
 
 
 @query(
@@ -189,6 +191,31 @@ def payers_upsert(t):
     return writes.upsert_payers(t.payers.select("id", "email", "pool", "transaction_id", "montant_eur"), t.payers_batch)
 
 
+@query(
+    "payers_import_stream",
+    """WITH keyed AS (SELECT *, coalesce('tx:' || transaction_id, 'em:' || lower(trim(email))) AS k, lower(trim(email)) AS mail FROM payers_batch),
+    once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY id DESC) = 1),
+    fresh AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY mail ORDER BY id DESC) = 1)
+    SELECT id, email, pool, transaction_id, CAST(montant_eur AS DOUBLE) AS montant_eur FROM payers
+        WHERE coalesce('tx:' || transaction_id, 'em:' || lower(trim(email))) NOT IN (SELECT k FROM fresh)
+          AND lower(trim(email)) NOT IN (SELECT mail FROM fresh)
+    UNION ALL SELECT id, email, pool, transaction_id, CAST(montant_eur AS DOUBLE) FROM fresh""",
+    "payers",
+    "payers_batch",
+)
+def payers_import_stream(t):
+    """The payer list and then a batch, as CSV files that arrive one after the other; a file is one micro-batch."""
+    spark = t.payers.sparkSession
+    schema = SCHEMAS["paid_users"].replace("id STRING", "id BIGINT", 1)
+    names = spark.createDataFrame([], schema).columns
+    base = run_folder(spark, "import")
+    for rows in (t.payers, t.payers_batch):
+        has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)  # noqa: B023, E731
+        export_csv(rows.select(*map(has, names)), f"{base}/in", "append")
+    drain(spark, import_payers(stream_payers_csv(spark, f"{base}/in", schema, 1), f"{base}/list"), f"{base}/progress")
+    return imported_payers(spark, f"{base}/list", schema).select("id", "email", "pool", "transaction_id", "montant_eur")
+
+
 @query(
     "payers_csv",
     """SELECT email, pool, transaction_id, expected_champions, CAST(montant_eur AS DOUBLE) AS montant_eur, imported_at, nom,

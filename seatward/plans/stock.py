@@ -9,7 +9,7 @@ from seatward.functions.dims import STATUSES
 from seatward.operators import payments, queue, stock
 from seatward.plans.registry import AS_OF, CUTOFF, LONG_HOLD, query
 from seatward.sources.streams import drain, run_folder
-from seatward.streaming.live_stock import latest_stock
+from seatward.streaming.live_stock import latest_stock, stock_at
 from seatward.streaming.live_stock import stream_stock as live_stock
 
 _WAIT = """wait AS (SELECT pool, CAST(count(*) AS INT) AS n FROM requests
@@ -210,6 +210,28 @@ def stock_timeline(t):
     return stock.stock_timeline(cap, t.payers, t.requests, reads, LONG_HOLD)
 
 
+@query(
+    "stock_history",
+    """WITH reads AS (SELECT DISTINCT pool, created_at AS instant FROM requests),
+    mails AS (SELECT lower(email) AS mail, CASE WHEN count(*) > count(imported_at) THEN TIMESTAMP '1900-01-01' ELSE min(imported_at) END AS since
+        FROM dated_payers GROUP BY 1),
+    holds AS (SELECT r.pool, r.created_at AS a, least(r.created_at + INTERVAL 30 DAY, m.since) AS b FROM requests r LEFT JOIN mails m ON m.mail = lower(r.email)
+        WHERE NOT is_waitlist AND payment_status = 'pending'),
+    held AS (SELECT s.pool, s.instant, count(h.a) AS n FROM reads s LEFT JOIN holds h ON h.pool = s.pool AND h.a <= s.instant AND s.instant < h.b GROUP BY ALL),
+    paid AS (SELECT s.pool, s.instant, count(p.id) AS n FROM reads s
+        LEFT JOIN dated_payers p ON p.pool = s.pool AND coalesce(p.imported_at, TIMESTAMP '1900-01-01') <= s.instant GROUP BY ALL)
+    SELECT pool, instant, CAST(held.n + paid.n AS INT) AS taken, CAST(greatest(capacity + 400 - held.n - paid.n, 0) AS INT) AS remaining
+    FROM held JOIN paid USING (pool, instant) JOIN cap USING (pool)""",
+    "requests",
+    "dated_payers",
+    "cap",
+)
+def stock_history(t):
+    reads = t.requests.select("pool", F.col("created_at").alias("instant"))
+    cap = t.cap.withColumn("capacity", F.col("capacity") + 400)
+    return stock.stock_history(cap, t.dated_payers, t.requests, reads, LONG_HOLD)
+
+
 @query(
     "waitlist_queue",
     """SELECT id, pool, email, created_at, CAST(row_number() OVER (PARTITION BY pool ORDER BY created_at, id) AS INT)
@@ -300,3 +322,23 @@ def stream_stock(t):
     writer = live_stock(t.stream("requests"), t.cap, t.payers, f"{base}/rows", f"{base}/stock", LONG_HOLD)
     drain(spark, writer, f"{base}/progress")
     return latest_stock(spark, f"{base}/stock")
+
+
+_LATER = f"({AS_OF} + INTERVAL 10 DAY)"
+
+
+@query(
+    "stream_stock_later",
+    f"WITH {_WAIT}, {_HELD.replace(CUTOFF, f'({_LATER} - INTERVAL 30 DAY)')}, {_PAID}, {_FINAL} SELECT * FROM final",
+    "cap",
+    "payers",
+    "requests",
+)
+def stream_stock_later(t):
+    """The order table in files out of order; ten days after the last row the stock has let go of more holds, with no row having come."""
+    spark = t.requests.sparkSession
+    base = run_folder(spark, "stock")
+    requests, _ = t.shuffled("requests", "orders", "o_orderdate")
+    drain(spark, live_stock(requests, t.cap, t.payers, f"{base}/rows", f"{base}/stock", LONG_HOLD), f"{base}/progress")
+    later = t.requests.agg(F.max("created_at") + F.expr("INTERVAL 10 DAYS")).scalar()
+    return stock_at(spark, f"{base}/rows", t.cap, t.payers, later)

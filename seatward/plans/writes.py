@@ -116,6 +116,17 @@ def promote_entries(t):
     return queue.promote_entries(t.requests, ids, t.as_of)[0].select(*_SNAP)
 
 
+@query(
+    "promote_unmatched",
+    """SELECT DISTINCT c.id FROM commands c WHERE c.id NOT IN (SELECT id FROM requests WHERE is_waitlist AND payment_status <> 'cancelled')""",
+    "requests",
+    "commands",
+)
+def promote_unmatched(t):
+    """Ids to promote that name no live waitlist row."""
+    return queue.promote_entries(t.requests, t.commands.select("id"), t.as_of)[1]
+
+
 @query(
     "expire_holds",
     f"""WITH hit AS (SELECT id FROM requests WHERE payment_status = 'pending' AND NOT is_waitlist AND created_at < {CUTOFF}),
@@ -193,6 +204,18 @@ def apply_edits(t):
     return payments.apply_edits(rows, t.commands)[0]
 
 
+@query(
+    "edits_unmatched",
+    "SELECT id, seq, action, value FROM commands WHERE action IN ('notes', 'payment_url') AND id NOT IN (SELECT id FROM requests)",
+    "requests",
+    "commands",
+)
+def edits_unmatched(t):
+    edits = t.commands.filter(F.col("action").isin("notes", "payment_url"))
+    rows = t.requests.select("id", "admin_notes", F.lit(None).cast("string").alias("custom_payment_url"))
+    return payments.apply_edits(rows, edits)[1].select("id", "seq", "action", "value")
+
+
 @query(
     "stamp_updated",
     f"""WITH {_STATUS} SELECT a.id, a.payment_status, a.admin_notes, CASE WHEN a.payment_status IS DISTINCT FROM r.payment_status

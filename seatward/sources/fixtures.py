@@ -50,6 +50,11 @@ SQL = {
                CASE WHEN c_custkey % 2 = 0 THEN ' Team ' || CAST(c_nationkey AS STRING) ELSE ' ' END AS team_label,
                CAST('2024-01-01 00:00:00' AS {{ntz}}) AS imported_at
         FROM {{customer}}""",
+    # Payers that come in time: some were always there, the others some days after the first order of their address.
+    "dated_payers": """
+        SELECT p.id, p.email, p.pool, CASE WHEN p.id % 9 <> 0 THEN o.seen END AS imported_at
+        FROM {payers} p LEFT JOIN (SELECT o_custkey, min(o_orderdate) + INTERVAL 12 DAY AS seen FROM {orders} GROUP BY o_custkey) o
+            ON o.o_custkey = 2 * p.id""",
     "requests": f"""
         SELECT o_orderkey AS id, {MAIL.format('o_custkey')} AS email,
                CASE o_orderkey % 3 WHEN 0 THEN 'equipe' WHEN 1 THEN 'jeu_libre' ELSE 'narratif' END AS pool,
@@ -108,6 +113,17 @@ SQL = {
                {MAIL.format('user_id')} AS email,
                CASE user_id % 3 WHEN 0 THEN 'equipe' WHEN 1 THEN 'jeu_libre' ELSE 'narratif' END AS pool
         FROM {{events}}""",
+    # Commands that name a row by the seq that made it: an earlier entry of the same user, which may be no creation.
+    "row_log": f"""
+        SELECT event_id + 1152921504606846976 AS seq, ts,
+               CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'pay' ELSE 'promote' END WHEN 'error' THEN 'cancel'
+                    WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'unmark' WHEN 1 THEN 'waive' ELSE 'cancel' END
+                    ELSE CASE WHEN event_id % 11 = 0 THEN 'admin' ELSE 'create' END END AS kind,
+               {MAIL.format('user_id')} AS email,
+               CASE user_id % 3 WHEN 0 THEN 'equipe' WHEN 1 THEN 'jeu_libre' ELSE 'narratif' END AS pool,
+               CASE event_id % 4 WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p4 END + 1152921504606846976 AS target
+        FROM (SELECT *, lag(event_id, 1) OVER w AS p1, lag(event_id, 2) OVER w AS p2, lag(event_id, 4) OVER w AS p4
+              FROM {{events}} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) AS e""",
     "cap_log": """
         SELECT pool, CAST(count(*) + CASE pool WHEN 'equipe' THEN 2 WHEN 'jeu_libre' THEN 5 ELSE 40 END AS INT) AS capacity
         FROM {payers} WHERE pool IN ('equipe', 'jeu_libre', 'narratif') GROUP BY pool""",
