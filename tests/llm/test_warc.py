@@ -1,8 +1,14 @@
 import gzip
+import random
+import time
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
-from seatward.llm.warc import build, derivatives, derive, digest, http_parts, members, parse, plain_text, read_derivatives, response, response_members
+from seatward.llm.warc import (
+    archive, build, derivatives, derive, digest, http_parts, language_of, links_of, members, parse, plain_text, read_derivatives, response, response_members, title_of,
+)
 
 PAGE = """<!DOCTYPE html><html lang="fr"><head><title>A &amp; B
  c</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><!-- no --><p>One<br>two &lt;3&gt;</p>
@@ -54,3 +60,108 @@ def test_on_tables(spark):
         assert all(data[p["offset"] : p["offset"] + p["length"]] == bytes(p["member"]) for p in parts)
         assert gzip.decompress(data) == b"".join(gzip.decompress(bytes(p["member"])) for p in parts)
     assert read_derivatives(derive(response_members(pages.limit(0)))).count() == 0
+
+
+BROKEN = ["<a ", "<title>", "<script ", "<script>", "<!--", "<p ", "</title ", "<a href=", "<a href='x", "<html lang", "<", "</script", "<title></title ", "<a href  ", "x<style><a>", "&amp", "<a <title <p "]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+@pytest.mark.parametrize("end", ["", ">", "-->", "</script>"])
+def test_broken_pages_take_time_by_length(piece, end):
+    page = piece * (900_000 // len(piece)) + end
+    start = time.process_time()
+    plain_text(page), title_of(page), links_of(page), language_of(page)
+    assert time.process_time() - start < 3
+
+
+BLOCKS = "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer blockquote pre hr title body head main aside".split()
+
+
+class Reader(HTMLParser):
+    """The same from the standard parser's events."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.language, self.title, self.titles, self.off = [], [], None, None, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template"):
+            self.off.append(tag)
+            self.out.append(" ")
+        if self.off:
+            return
+        self.out.append("\n" if tag in BLOCKS else "")
+        values = dict(reversed(attrs))
+        if tag == "a" and "href" in values:
+            self.links.append(values["href"])
+        if tag == "html" and self.language is None:
+            self.language = values.get("lang")
+        if tag == "title" and self.title is None:
+            self.title, self.titles = "", 1
+
+    def handle_endtag(self, tag):
+        if self.off:
+            self.off = [] if tag == self.off[0] else self.off
+            return
+        self.out.append("\n" if tag in BLOCKS else "")
+        self.titles = 0 if tag == "title" else self.titles
+
+    def handle_comment(self, data):
+        self.out.append("" if self.off else " ")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+            self.title = self.title + data if self.titles else self.title
+
+
+def page_of(rng, depth=0):
+    word = lambda: rng.choice(["one", "two &amp; three", "é", "4 &lt; 5", "&eacute;", "a  b\nc", "x"])
+    parts = []
+    for _ in range(rng.randrange(1, 6)):
+        kind = rng.randrange(9)
+        if kind < 3 or depth > 3:
+            parts.append(word())
+        elif kind == 3:
+            parts.append(f"<!-- {word()} <p>no</p> -->")
+        elif kind == 4:
+            parts.append(f"<{rng.choice(['script', 'STYLE'])} type=x>var a = '{rng.choice('pqr')}';</{{0}}>".replace("{0}", "script") if rng.random() < 0.5 else "<style>p{}</style >")
+        elif kind == 5:
+            parts.append(f"<A class=c href={rng.choice(['/q?a=1&amp;b=2', chr(34) + 'with blank' + chr(34), chr(39) + 'é' + chr(39)])}>{word()}</A>")
+        elif kind == 6:
+            parts.append(rng.choice(["<br/>", "<hr>", "<img src=x alt='y'>", "<BR>"]))
+        else:
+            tag = rng.choice(["p", "div", "span", "b", "li", "H2"])
+            parts.append(f"<{tag} id=i>{page_of(rng, depth + 1)}</{tag}>")
+    return rng.choice([" ", "\n", ""]).join(parts)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_the_standard_parser(seed):
+    rng = random.Random(seed)
+    body = page_of(rng).replace("<STYLE type=x>", "<script type=x>")
+    page = f"<!DOCTYPE html><html class=k lang='fr-BE'><head><title>T{seed} &amp; {rng.choice('xyz')}</title></head><body>{body}</body></html>"
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (" ".join(line.split()) for line in "".join(reader.out).split("\n"))
+    assert plain_text(page) == "\n".join(line for line in lines if line)
+    assert title_of(page) == " ".join(reader.title.split()) and language_of(page) == reader.language
+    assert links_of(page) == reader.links
+
+
+def test_archive_in_one_pass(spark):
+    """Members are where file, offset and length say, and equal the ones that separate passes make."""
+    rows = [(1, "http://a/1", PAGE), (1, "http://a/1", PAGE), (2, None, "<p>x</p>"), (3, "http://a/3", None), (None, "http://a/4", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"member": F.lit("clash"), "file": F.lit(1)}).repartition(2)
+    whole = archive(pages, file_bytes=1500).cache()
+    got = whole.collect()
+    assert sorted(r["warc_type"] for r in got) == sorted(["response", "metadata", "conversion"] * 5)
+    for name in {r["file"] for r in got}:
+        parts = sorted((r for r in got if r["file"] == name), key=lambda r: r["offset"])
+        data = b"".join(bytes(p["member"]) for p in parts)
+        assert all(data[p["offset"] : p["offset"] + p["length"]] == bytes(p["member"]) for p in parts)
+    assert len({r["file"] for r in got}) > 2
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(read_derivatives(whole.where("warc_type <> 'response'"))) == plain(read_derivatives(derive(response_members(pages))))
+    assert archive(pages.limit(0)).count() == 0
