@@ -130,20 +130,10 @@ def chain_states(
     )
 
 
-def replay_battles(
-    battles: DataFrame,
-    champions: DataFrame,
-    cells: DataFrame,
-    dim: DataFrame,
-    chunk: int = CHUNK,
-    max_group_rows: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Replay a battle log on the cells. Returns (decided log, cells after).
+def judge_battles(battles: DataFrame, champions: DataFrame, cells: DataFrame, dim: DataFrame) -> DataFrame:
+    """Battles with all rules that do not depend on other battles: ``reason`` of a rejection, and ``_contest`` where the cell's state decides.
 
-    Champions do not change, so all rules but one are columns of joined rows. Only "the cell still belongs to the
-    losing alliance" depends on earlier battles, and only on those of the same cell: ``chain_states`` gives it.
-    Log columns: ``outcome`` (transfer, same_alliance, rejected), ``reason`` of a rejection, the cell handed over
-    and its alliance and owner before.
+    ``_cell_alliance`` and ``_cell_owner`` are the cell's before any battle.
     """
     w, l = F.col("winner_alliance"), F.col("loser_alliance")
     real = lambda c: c.isNotNull() & (c != "IDF")
@@ -152,7 +142,7 @@ def replay_battles(
         F.col("current_alliance").alias("_cell_alliance"),
         F.col("current_owner_email").alias("_cell_owner"),
     )
-    checked = (
+    return (
         enrich_battles(battles, champions, dim)
         .join(known, "cell_id", "left")
         .withColumn(
@@ -174,6 +164,25 @@ def replay_battles(
         )
         .withColumn("_contest", F.coalesce(F.col("reason").isNull() & (w != l), F.lit(False)))
     )
+
+
+def replay_battles(
+    battles: DataFrame,
+    champions: DataFrame,
+    cells: DataFrame,
+    dim: DataFrame,
+    chunk: int = CHUNK,
+    max_group_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Replay a battle log on the cells. Returns (decided log, cells after).
+
+    Champions do not change, so all rules but one are columns of joined rows. Only "the cell still belongs to the
+    losing alliance" depends on earlier battles, and only on those of the same cell: ``chain_states`` gives it.
+    Log columns: ``outcome`` (transfer, same_alliance, rejected), ``reason`` of a rejection, the cell handed over
+    and its alliance and owner before.
+    """
+    w, l = F.col("winner_alliance"), F.col("loser_alliance")
+    checked = judge_battles(battles, champions, cells, dim)
     # Read three times below: the joins run once.
     checked = pin(checked)
     kept = ["id", "ts", "winner_email", "loser_email", "round", "winner_alliance", "loser_alliance", "_cell_owner"]

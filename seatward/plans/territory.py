@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from seatward.operators import territory, writes
 from seatward.plans.registry import query
 from seatward.session import pin
+from seatward.sources.streams import closable, drain_to_table, shuffled_files
+from seatward.streaming.battles import cells_of_stream, stream_battles
 
 _CELLS = """cells AS (SELECT email || '#' || CAST(i AS VARCHAR) AS id, email AS cluster_owner_email, CAST(i AS INT) AS cluster_index,
         alliance AS current_alliance, email AS current_owner_email, alliance AS original_alliance
@@ -122,6 +124,28 @@ def replay_battles(t):
     return _field(t)[1]
 
 
+def _streamed(t):
+    # The log is no plain selection of a given table, so it is written out first.
+    folder, delay = shuffled_files(t.battle_log, "ts", 3, 1)
+    spark = t.battle_log.sparkSession
+    battles = spark.readStream.schema(t.battle_log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    whole, finish = closable(battles, "ts")
+    cells = territory.create_cells(t.fighters, t.dim)
+    log = drain_to_table(stream_battles(whole, t.fighters, cells, t.dim, delay), "battles", finish)
+    return cells, log
+
+
+@query("stream_battles", f"WITH RECURSIVE {_BATTLES} SELECT * FROM log", "battle_log", "fighters", "dim")
+def battles_on_a_stream(t):
+    """The battle log as a stream out of order."""
+    return _streamed(t)[1].drop("now_alliance", "now_owner_email")
+
+
+@query("stream_battle_cells", f"WITH RECURSIVE {_BATTLES} SELECT * FROM after", "battle_log", "fighters", "dim")
+def battle_cells_of_a_stream(t):
+    return cells_of_stream(*_streamed(t))
+
+
 @query("replay_cells", f"WITH RECURSIVE {_BATTLES} SELECT * FROM after", "battle_log", "fighters", "dim")
 def replay_cells(t):
     return _field(t)[2]

@@ -113,7 +113,7 @@ def shuffled_files(df: DataFrame, at: str, files: int, mixed: int) -> tuple[str,
     return folder, timedelta(microseconds=mixed * ((high - low) // (files - mixed) + 2))
 
 
-def shuffled_stream(spark: SparkSession, folder: str, name: str, at: str, files: int = 5, mixed: int = 2) -> tuple[DataFrame, timedelta]:
+def shuffled_stream(spark: SparkSession, folder: str, name: str, at: str, files: int = 4, mixed: int = 1) -> tuple[DataFrame, timedelta]:
     """(a table as a stream whose rows are out of order by up to a delay, that delay)."""
     table = load(spark, folder, name)
     written, delay = shuffled_files(table, at, files, mixed)
