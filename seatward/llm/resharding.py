@@ -3,7 +3,8 @@
 Shards are folders of segments, a segment holds a range of hash blocks, and equal texts fall in one block. The old shards' sizes and the new
 capacities make a transport problem in which staying is free and moving a byte costs one; its graph has a node per shard, so it is
 solved on the driver. Each old shard's blocks lie on a line by block number, and the flow cuts that line. Segments that no cut
-touches keep their files. A block heavier than a small part of a shard is cut further, by a hash of the key.
+touches keep their files. A block heavier than a small part of a shard is cut further, by more bits of the texts' hash; only rows of one text that
+alone is that heavy are told apart by a hash of the key.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seatward.llm.common import documents, new_folder, packed, query, text_or_empty, unpacked
+from seatward.llm.common import documents, new_folder, packed, query, stored, text_or_empty, unpacked
 
 BLOCKS, SEGMENTS, PARTS = 1024, 16, 256
-# A block above this share of a shard is cut by the key's hash; at most HEAVY blocks a shard can be.
+# A block, or a text with its copies, is heavy above this share of a shard; at most HEAVY of them a shard can be.
 HEAVY = 64
 OLD_SHARDS, NEW_SHARDS = 5, 8
 
@@ -90,20 +91,33 @@ def _write(rows: DataFrame, path: str) -> None:
     spread.write.option("compression", "zstd").partitionBy("shard", "segment").parquet(path)
 
 
-def write_shards(docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> Layout:
-    """First layout: the shard and block of a row follow from a hash of its text."""
+def write_shards(
+    docs: DataFrame, shards: int, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, cut_for: int | None = None
+) -> Layout:
+    """First layout: the shard, block and part of a row follow from a hash of its text.
+
+    Copies of a text that weigh more than 1/HEAVY of one of ``cut_for`` shards (``shards`` by default) have parts by a hash of the key.
+    """
     hashed = F.xxhash64(text_or_empty(text))
+    size = (F.octet_length(text_or_empty(text)) + 1).cast("long")
+    sizes = docs.select(hashed.alias("h"), size.alias("size")).groupBy("h").agg(F.sum("size").alias("bytes"))
+    bound = sizes.agg(F.sum("bytes") / (cut_for or shards) / HEAVY).scalar()
+    # At most HEAVY texts a shard.
+    heavy = stored(sizes.where(F.col("bytes") > bound).select("h", F.lit(True).alias("is_heavy")), "heavy-texts")
+    by_key = F.pmod(F.xxhash64(F.col("key"), F.lit(9)), F.lit(PARTS))
+    by_text = F.pmod(F.shiftright("h", 32), F.lit(PARTS))
     block = F.pmod(F.shiftright(hashed, 16), F.lit(BLOCKS)).cast("int")
     rows = docs.select(
         packed(docs, carry),
         F.col(key).alias("key"),
-        (F.octet_length(text_or_empty(text)) + 1).cast("long").alias("size"),
+        hashed.alias("h"),
+        size.alias("size"),
         F.crc32(text_or_empty(text).cast("binary")).alias("text_crc32"),
         F.pmod(hashed, F.lit(shards)).cast("int").alias("shard"),
         block.alias("block"),
         F.floor(block / (BLOCKS // SEGMENTS)).cast("int").alias("segment"),
-        F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(PARTS)).cast("int").alias("part"),
     )
+    rows = rows.join(F.broadcast(heavy), "h", "left").withColumn("part", F.when(F.col("is_heavy"), by_key).otherwise(by_text).cast("int")).drop("h", "is_heavy")
     path = new_folder(docs.sparkSession, "shards")
     _write(rows, path)
     return Layout(docs.sparkSession, rows.schema, [(path, [])])
@@ -200,11 +214,11 @@ def slots(layout: Layout) -> DataFrame:
 def reshard_documents(docs: DataFrame, old: int, new: int, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Every row from the files of the new layout, with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
-    Size is the text's UTF-8 bytes plus one; a null text has none. Equal texts stay together unless their group is heavier than a small part of a
-    shard. Rows with a null key and repeated rows are placed like any other; an empty table gives no rows. Input columns named like a
+    Size is the text's UTF-8 bytes plus one; a null text has none. Equal texts stay together unless their group is heavier than 1/64 of a new
+    shard. A text of any length is one row in one shard; one that is heavier than a shard's share makes that shard larger. Rows with a null key and repeated rows are placed like any other; an empty table gives no rows. Input columns named like a
     result column give way to it.
     """
-    layout = reshard(write_shards(docs, old, text, key, carry), new)
+    layout = reshard(write_shards(docs, old, text, key, carry, new), new)
     return unpacked(slots(layout), "size", "text_crc32", "shard", "slot")
 
 

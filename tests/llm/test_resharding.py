@@ -85,3 +85,20 @@ def test_only_affected_segments_are_rewritten(spark, docs_df):
 def test_edges(docs_df):
     assert reshard_documents(docs_df([]), 5, 8).count() == 0
     assert [(r["shard"] in range(8), r["slot"]) for r in reshard_documents(docs_df([(1, "x")]), 5, 8).collect()] == [(True, 0)]
+
+
+def test_small_groups_of_a_heavy_block_stay_together(docs_df):
+    """Pairs of small texts that share blocks with long ones: no group below 1/64 of a shard is split."""
+    rng = random.Random(9)
+    rows = [(i, f"pair {i // 2} {'x' * 20}") for i in range(60_000)] + [(100_000 + i, f"{i} " + "y" * rng.randrange(20_000, 30_000)) for i in range(100)]
+    out = reshard_documents(docs_df(rows), 5, 8).select("text", "size", "shard").groupBy("text").agg(
+        F.count_distinct("shard").alias("homes"), F.sum("size").alias("bytes")
+    )
+    bound = sum(len(t) + 1 for _, t in rows) / 8 / 64
+    assert out.where(f"homes > 1 AND bytes <= {bound}").count() == 0 and out.where(f"bytes > {bound}").count() > 0
+
+
+def test_copies_of_a_heavy_text_are_spread(docs_df):
+    out = reshard_documents(docs_df([(i, "hot " * 50) for i in range(4000)] + [(9000 + i, f"t{i}") for i in range(500)]), 5, 8)
+    sizes = [r["bytes"] for r in out.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
