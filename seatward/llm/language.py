@@ -18,8 +18,10 @@ from seatward.llm.common import documents, packed, query, unpacked
 from seatward.llm.texts import map_texts
 
 BUCKETS, WIDTH = 1 << 16, 16
-# Bounds of the sample the model is fitted on: rows in all (about), and languages, the most frequent first.
-SAMPLE_ROWS, MAX_LANGUAGES = 3000, 1000
+# Rows of the sample the model is fitted on (about; at least one of each language).
+SAMPLE_ROWS = 3000
+# Languages a model can have: its weights are a column each. More raise an error.
+MAX_LANGUAGES = 20_000
 EPOCHS, RATE, SEED = 8, 2.0, 11
 # Share of accepted predictions that should be right, on the part set aside.
 PRECISION = 0.99
@@ -186,18 +188,25 @@ def calibrate(model: LanguageModel, means: np.ndarray, truth: np.ndarray) -> Non
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on a bounded sample of rows that have a language: about equally many of each, chosen by a hash of the key and taken whole.
+    """Fit on a bounded sample of rows that have a language: about equally many of each, one at least, chosen by a hash of the key and taken whole.
 
-    Executors turn the sampled texts into bucket shares, at most ``BUCKETS`` a row, so the driver's part is bounded by the sample.
+    Executors turn the sampled texts into bucket shares, at most ``BUCKETS`` a row, so the driver's part is bounded by the sample. Rows without a text or a
+    language are left out; with none left the model predicts ``und``. More than ``MAX_LANGUAGES`` languages raise a ``ValueError``.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit(SEED)), 11) / F.lit(float(1 << 53))
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(draw).alias("least"))
+    counts = counted.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return train([])
     quota = max(1, sample_rows // len(counts))
-    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["count"])) for r in counts], "lang string, share double")
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit(SEED)), 11) / F.lit(float(1 << 53))
-    chosen = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
+    # The row of the least draw is taken where the share alone might take none.
+    shares = rows.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, quota / r["count"]), r["least"]) for r in counts], "lang string, share double, least double"
+    )
+    chosen = rows.join(F.broadcast(shares), "lang").where((draw < F.col("share")) | (draw == F.col("least"))).select("lang", "text")
 
     def make():
         def shares_of(texts):
@@ -222,9 +231,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: li
     A null text and one without a letter are ``und`` with score 0. Rows are independent: no shuffle; repeated rows get equal results; an empty
     table gives no rows. Input columns named like a result column give way to it.
     """
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays and numbers travel to workers that have no copy of this package; the model is put together there.
+    parts = (model.labels, model.embeddings, model.weights, model.bias, model.temperature, model.threshold)
+    share = docs.sparkSession.sparkContext.broadcast(parts)
     rows = docs.select(packed(docs, carry), F.col(text).alias("text"))
-    found = map_texts(rows, F.col("text"), lambda: share.value.predict, "lang_pred string, score double, accepted boolean")
+    found = map_texts(rows, F.col("text"), lambda: LanguageModel(*share.value).predict, "lang_pred string, score double, accepted boolean")
     return unpacked(found, "lang_pred", "score", "accepted")
 
 

@@ -78,3 +78,54 @@ def test_nothing_to_learn(docs_df):
     assert isinstance(learn(docs_df([])), LanguageModel) and predict(docs_df([]), learn(docs_df([]))).count() == 0
     one = docs_df([(1, "only one language", "en", "s", 0)])
     assert predict(one, learn(one)).first()["lang_pred"] == "en"
+
+
+def test_many_languages_are_all_learned(docs_df):
+    """Twelve hundred languages, the rare ones with two rows: each is learned, and more than the bound is an error, not a loss."""
+    import seatward.llm.language as module
+
+    rng = random.Random(12)
+    rows = []
+    for n in range(1200):
+        stem = "".join(rng.choice("bcdfghklmnpqrstvwz") + rng.choice("aeiou") for _ in range(3))
+        rows += [(10 * n + i, f"{stem} {stem}{rng.choice('xyz')} {stem}", f"l{n}", "s", 0) for i in range(2 if n % 3 else 6)]
+    df = docs_df(rows)
+    model = learn(df)
+    assert len(model.labels) == 1200
+    most = module.MAX_LANGUAGES
+    try:
+        module.MAX_LANGUAGES = 1199
+        learn(df)
+        raise AssertionError("no error")
+    except ValueError as e:
+        assert "languages" in str(e)
+    finally:
+        module.MAX_LANGUAGES = most
+
+
+def test_gradient_step_against_the_plain_formula():
+    """One sample, one step at a time: embeddings, softmax weights and bias move down the gradient of the log loss."""
+    import seatward.llm.language as module
+
+    samples = [("aa", np.array([5, 9]), np.array([0.25, 0.75], np.float32)), ("bb", np.array([9, 11]), np.array([0.5, 0.5], np.float32))]
+    epochs = module.EPOCHS
+    try:
+        module.EPOCHS = 1
+        model = train(samples)
+    finally:
+        module.EPOCHS = epochs
+    rng = np.random.default_rng(module.SEED)
+    e = rng.normal(0, 0.1, (module.BUCKETS, module.WIDTH)).astype(np.float32).astype(np.float64)
+    w, b = np.zeros((module.WIDTH, 2)), np.zeros(2)
+    order = rng.permutation(2)
+    for step, i in enumerate(rng.permutation(order)):
+        label, buckets, shares = samples[i]
+        rate = module.RATE * (1 - step / 2)
+        mean = sum(s * e[k] for k, s in zip(buckets, shares, strict=True))
+        p = np.exp(mean @ w + b) / np.exp(mean @ w + b).sum()
+        slope = p - np.array([label == "aa", label == "bb"], float)
+        back = w @ slope
+        w, b = w - rate * np.outer(mean, slope), b - 0.1 * rate * slope
+        for k, s in zip(buckets, shares, strict=True):
+            e[k] = e[k] - rate * s * back
+    assert np.allclose(model.weights, w, atol=1e-5) and np.allclose(model.bias, b, atol=1e-5) and np.allclose(model.embeddings, e, atol=1e-5)
