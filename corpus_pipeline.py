@@ -27,8 +27,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time the mix draws a document; documents it does not draw go."""
-    return mixing.mixed_rows(docs).select(docs.columns)
+    """One row for each time the mix draws a document, shard by shard and shuffled; documents it does not draw go."""
+    return mixing.shuffled_shards(mixing.mixed_rows(docs)).select(docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

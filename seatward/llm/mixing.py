@@ -18,6 +18,8 @@ from seatward.llm.common import WORD, documents, packed, query, stored, text_or_
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SHARDS = 8
+# Ranges of a shard's order that tasks shuffle side by side.
+SLICES = 16
 SEED = 7
 # Blocks a source can have, and rows below which a block is not split further.
 MAX_BLOCKS = 4096
@@ -360,11 +362,16 @@ def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", key:
     )
 
 
-def shuffled_shards(mixed: DataFrame) -> DataFrame:
-    """Rows of a shard together and in their order; a shard is as large as the output divided by the number of shards."""
-    return mixed.repartition("shard").sortWithinPartitions("shard", "mix_order")
+def shuffled_shards(mixed: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Rows of a shard in the order of ``mix_order``, in ``slices`` ranges of it: the rows of a range are in one task, and lie there in order.
+
+    ``mix_order`` is a hash, so ranges of equal width hold about equally many rows, whatever the size of a shard.
+    """
+    at = F.floor((F.shiftrightunsigned("mix_order", 33) * slices) / F.lit(1 << 31))
+    return mixed.withColumn("slice", at).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "mix_order").drop("slice")
 
 
 @query("op2_mix_sources")
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(documents(spark, folder), carry=["doc_id"]).drop("mix_order")
+    """Per document its words taken, the shards that its draws went to, and its place in their order."""
+    return mix_sources(documents(spark, folder), carry=["doc_id"])

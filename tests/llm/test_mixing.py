@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatward.llm.common import WORD
-from seatward.llm.mixing import hypergeometric, mix_sources, mixed_rows, source_targets, splitting_tree
+from seatward.llm.mixing import hypergeometric, mix_sources, mixed_rows, shuffled_shards, source_targets, splitting_tree
 
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
@@ -119,3 +119,21 @@ def test_missing_words_go_past_the_block_of_a_large_document(spark, docs_df):
     got = [r for r in out.collect() if r["source"] == "a"]
     assert 0.4 < got[0]["target"] / got[0]["source_size"] < 0.6
     assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 20
+
+
+def test_shards_are_shuffled_in_slices(docs_df):
+    """Every row once; each task holds whole ranges of a shard's order, and has them in order."""
+    mixed = mixed_rows(docs_df(corpus(4, 900)))
+    out = shuffled_shards(mixed, 4).withColumn("task", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()).collect()
+    assert len(out) == mixed.count()
+    unsigned = lambda r: r["mix_order"] % (1 << 64)
+    homes = {}
+    for r in out:
+        homes.setdefault((r["shard"], unsigned(r) >> 62), set()).add(r["task"])
+    assert all(len(h) == 1 for h in homes.values()) and len(homes) == 32
+    for place in homes:
+        lines = [r for r in sorted(out, key=lambda r: r["line"]) if (r["shard"], unsigned(r) >> 62) == place]
+        assert [r["mix_order"] for r in lines] == sorted(r["mix_order"] for r in lines)
+    # The order is not the input's.
+    first = [r["doc_id"] for r in sorted(out, key=lambda r: r["line"]) if r["doc_id"] is not None]
+    assert first != sorted(first)
