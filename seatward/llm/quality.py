@@ -205,8 +205,10 @@ def quality(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows that are kept, with the input's columns. Texts are measured twice rather than stored once more."""
-    model = fit_quality(with_features(docs.select(F.col(text).alias("text")), "text").drop("text"))
-    measured = with_features(docs.select(packed(docs), F.col(text).alias("text")), "text").drop("text")
+    # Texts do not pass through Python where only their counts are wanted.
+    model = fit_quality(map_texts(docs, F.col(text), each(features), FEATURES, keep=[]))
+    # The text is read out of the row: one more copy of it in a batch is what an executor has no room for.
+    measured = with_features(docs.select(packed(docs)), f"row.`{text}`")
     return verdict(measured, model, threshold).where("kept").select("row.*")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -13,15 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 PIECE = 512
 
 
-def map_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list], list[tuple]]], schema: str) -> DataFrame:
-    """``df`` with the columns ``schema`` that ``make()`` computes from a list of texts (None for null), one tuple a text.
+def map_texts(
+    df: DataFrame, text: Column, make: Callable[[], Callable[[list], list[tuple]]], schema: str, keep: list[str] | None = None
+) -> DataFrame:
+    """``df`` (its columns ``keep``, all by default) with the columns ``schema`` that ``make()`` computes from a list of texts (None for null), one tuple a text.
 
     ``make`` runs once a task. The other columns pass through Python untouched, as Arrow buffers.
     """
     added = T.StructType.fromDDL(schema)
-    out = T.StructType([*df.schema.fields, *added.fields])
+    kept = df.columns if keep is None else keep
+    out = T.StructType([*(df.schema[c] for c in kept), *added.fields])
     arrow = to_arrow_schema(out)
-    kept, types = df.columns, [arrow.field(f.name).type for f in added.fields]
+    types = [arrow.field(f.name).type for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
@@ -35,7 +39,7 @@ def map_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list], l
                     names=[*kept, *(f.name for f in added.fields)],
                 )
 
-    return df.select("*", text.alias("__text")).mapInArrow(run, out)
+    return df.select(*(F.col(f"`{c}`") for c in kept), text.alias("__text")).mapInArrow(run, out)
 
 
 def each(function: Callable, *given) -> Callable[[], Callable[[list], list[tuple]]]:
