@@ -82,6 +82,23 @@ def upsert_payers(current: DataFrame, batch: DataFrame, order: str = "id") -> Da
     return kept.select(*current.columns).unionByName(fresh.select(*current.columns))
 
 
+def upsert_payers_batches(current: DataFrame, batches: DataFrame, number: str, order: str = "id") -> DataFrame:
+    """``upsert_payers`` for each batch of ``batches`` in the order of the column ``number`` (0 or more), in one step.
+
+    A row stays where no later batch has a row that counts of its key or its e-mail.
+    """
+    key = F.coalesce(F.concat(F.lit("tx:"), F.col("transaction_id")), F.concat(F.lit("em:"), norm_email(F.col("email"))))
+    mail = norm_email(F.col("email"))
+    fresh = first_per_key(batches.withColumn("_key", key), [number, "_key"], F.col(order), newest=True)
+    fresh = first_per_key(fresh.withColumn("_mail", mail), [number, "_mail"], F.col(order), newest=True)
+    known = current.withColumns({number: F.lit(-1).cast("long"), "_key": key, "_mail": mail})
+    rows = known.unionByName(fresh.select(*known.columns))
+    for c in ("_key", "_mail"):
+        last = fresh.groupBy(c).agg(F.max(number).alias(f"{c}_last"))
+        rows = rows.join(last, c, "left").filter(F.coalesce(F.col(number) >= F.col(f"{c}_last"), F.lit(True)))
+    return rows.select(*current.columns)
+
+
 def stamp_updated(
     old: DataFrame, new: DataFrame, as_of: datetime | Column, key: str = "id", stamp: str = "updated_at"
 ) -> DataFrame:

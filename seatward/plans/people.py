@@ -204,7 +204,7 @@ def payers_upsert(t):
     "payers_batch",
 )
 def payers_import_stream(t):
-    """The payer list and then a batch, as CSV files that arrive one after the other; a file is one micro-batch."""
+    """The payer list and then a batch, as CSV files that arrive one after the other; the files of an arrival are one micro-batch."""
     spark = t.payers.sparkSession
     schema = SCHEMAS["paid_users"].replace("id STRING", "id BIGINT", 1)
     names = spark.createDataFrame([], schema).columns
@@ -212,7 +212,7 @@ def payers_import_stream(t):
     for rows in (t.payers, t.payers_batch):
         has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)  # noqa: B023, E731
         export_csv(rows.select(*map(has, names)), f"{base}/in", "append")
-    drain(spark, import_payers(stream_payers_csv(spark, f"{base}/in", schema, 1), f"{base}/list"), f"{base}/progress")
+        drain(spark, import_payers(stream_payers_csv(spark, f"{base}/in", schema), f"{base}/list"), f"{base}/progress")
     return imported_payers(spark, f"{base}/list", schema).select("id", "email", "pool", "transaction_id", "montant_eur")
 
 

@@ -1,7 +1,7 @@
 """Import of payer files as they arrive, each exactly once.
 
-A micro-batch parses its files once, into a folder of its own that is divided into good and bad rows. Good rows become one version per key; a list of
-versions on a base is the table. Everything is written under the number of the micro-batch, and a ledger entry comes last, so a batch that runs again
+A micro-batch parses its files once, into a folder of its own that is divided into good and bad rows. Good rows become one version per key; the versions
+since a base and the base are the table: one flat plan, however many batches there are. Everything is written under the number of the micro-batch, and a ledger entry comes last, so a batch that runs again
 after a failure writes what it wrote, and readers see whole batches only.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from seatward.functions.text import norm_email
-from seatward.operators.writes import upsert_payers
+from seatward.operators.writes import upsert_payers_batches
 from seatward.sources.schemas import SCHEMAS
 from seatward.sources.tables import BAD_RECORD
 
@@ -41,19 +41,20 @@ class ImportTable:
         found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
         return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
-    def landed(self, n: int, bad: bool) -> DataFrame:
+    def landed(self, batches: list[int], bad: bool) -> DataFrame:
+        """Rows of the batches with the number of theirs in ``batch``."""
         schema = f"{BAD_RECORD} STRING" if bad else self.schema
         # A batch without rows of the kind has no such folder.
-        reader = self.spark.read.schema(schema).option("ignoreMissingFiles", True).option("basePath", f"{self.folder}/landed/batch={n}")
-        return reader.parquet(f"{self.folder}/landed/batch={n}").filter(F.col("is_bad") == bad).drop("is_bad")
+        reader = self.spark.read.schema(schema).option("ignoreMissingFiles", True).option("basePath", f"{self.folder}/landed")
+        rows = reader.parquet(*(f"{self.folder}/landed/batch={n}" for n in batches))
+        return rows.filter(F.col("is_bad") == bad).withColumn("batch", F.col("batch").cast("long")).drop("is_bad")
 
     def as_of(self, n: int, order: str) -> DataFrame:
-        """The list after batch ``n``: the newest base up to it, and the batches since, one after the other."""
+        """The list after batch ``n``: the newest base up to it, and the batches since."""
         base = max((b for b in self._done("base") if b <= n), default=None)
         table = self.spark.createDataFrame([], self.schema) if base is None else self.spark.read.schema(self.schema).parquet(f"{self.folder}/base/batch={base}")
-        for k in range(0 if base is None else base + 1, n + 1):
-            table = upsert_payers(table, self.landed(k, False), order)
-        return table
+        since = list(range(0 if base is None else base + 1, n + 1))
+        return upsert_payers_batches(table, self.landed(since, False), "batch", order) if since else table
 
     def batches(self) -> list[int]:
         return self._done("ledger")
@@ -91,9 +92,8 @@ def rejected_rows(spark: SparkSession, folder: str, schema: str | None = None) -
     """(batch, text of the row) for the rows of finished batches that did not fit the schema."""
     empty = spark.createDataFrame([], f"batch long, {BAD_RECORD} string")
     table = ImportTable(spark, folder, spark.createDataFrame([], schema or SCHEMAS["paid_users"]).schema)
-    for n in table.batches():
-        empty = empty.unionByName(table.landed(n, True).withColumn("batch", F.lit(n).cast("long")))
-    return empty
+    done = table.batches()
+    return empty.unionByName(table.landed(done, True)) if done else empty
 
 
 def import_ledger(spark: SparkSession, folder: str) -> DataFrame:
