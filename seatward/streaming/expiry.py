@@ -17,13 +17,15 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 from seatward.functions.dims import HOLD, interval
 from seatward.functions.text import EXPIRED_NOTE, append_note
 from seatward.operators.stock import POOL
-from seatward.streaming.reorder import INSTANT, TimeOrdered, from_bytes, from_micros, micros, to_bytes, with_instant
+from seatward.streaming.reorder import INSTANT, Paged, TimeOrdered, from_bytes, from_micros, micros, to_bytes, with_instant
 
 PERIOD = timedelta(minutes=10)
 # Start of a row that is no hold once it is promoted: it was paid while it waited.
 NO_HOLD = 1 << 62
 # Entries of a piece of a list in state.
 ENTRIES = 4096
+# Neighbouring ids whose marks are one page of state.
+MARKED = 4096
 
 
 class Line:
@@ -92,24 +94,21 @@ class ExpireAndPromote(TimeOrdered):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.made, self.moved, self.queue = (Line(handle, name) for name in ("made", "moved", "queue"))
         # Rows whose entry in a list no longer counts, as cancelled ("c") or paid ("d"); rows promoted here ("p") or expired here ("x").
-        self.marks = handle.getMapState("marks", "id long", "mark string")
+        self.marks = Paged(handle, "marks", lambda id: id // MARKED)
         # The last instant of the job, and the instant of the last row.
         self.clock = handle.getValueState("clock", "job long, row long")
 
     def begin(self, key) -> None:
         self.job, self.row = self.stored_clock = self.clock.get() if self.clock.exists() else (-NO_HOLD, -NO_HOLD)
-        for line in (self.made, self.moved, self.queue):
-            line.load()
-
-    def _mark(self, id: int) -> str | None:
-        return self.marks.getValue((id,))[0] if self.marks.containsKey((id,)) else None
+        for x in (self.made, self.moved, self.queue, self.marks):
+            x.load()
 
     def _first(self, line: Line, counts: str | None) -> tuple[int, int] | None:
         """The first entry that still counts; entries of rows cancelled or paid meanwhile go, and their marks."""
         while (entry := line.first()) is not None:
-            mark = self._mark(entry[1])
+            mark = self.marks.get(entry[1])
             if mark in ("c", "d"):
-                self.marks.removeKey((entry[1],))
+                self.marks.remove(entry[1])
             elif mark == counts:
                 return entry
             line.pop()
@@ -129,7 +128,7 @@ class ExpireAndPromote(TimeOrdered):
             if entry is None:
                 return
             self.queue.pop()
-            self.marks.updateValue((entry[1],), ("p",))
+            self.marks.put(entry[1], "p")
             if entry[0] < NO_HOLD:
                 self.moved.push(now if self.promoted_anew else entry[0], entry[1])
             out.append((entry[1], "promoted", now))
@@ -140,7 +139,7 @@ class ExpireAndPromote(TimeOrdered):
         for line, counts in ((self.made, None), (self.moved, "p")):
             while (entry := self._first(line, counts)) is not None and entry[0] < now - self.hold:
                 line.pop()
-                self.marks.updateValue((entry[1],), ("x",))
+                self.marks.put(entry[1], "x")
                 out.append((entry[1], "expired", now))
                 stale += 1
         self._promote(stale, now, out)
@@ -151,17 +150,19 @@ class ExpireAndPromote(TimeOrdered):
 
     def place(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        columns = (rows[c].tolist() for c in (INSTANT, "id", "start", "is_waitlist", "open", "cancelled", "changed"))
-        for t, id, start, waits, is_open, cancelled, changed in zip(*columns, strict=True):
+        # A row that is closed from the start changes nothing: the job runs at the same instants without it.
+        rows = rows[rows["open"] | rows["changed"]]
+        columns = (rows[c].tolist() for c in (INSTANT, "id", "start", "is_waitlist", "open", "cancelled"))
+        for t, id, start, waits, is_open, cancelled in zip(*columns, strict=True):
             self._runs_before(t, out)
             self.row = t
             if is_open:
                 (self.queue if waits else self.made).push(start, id)
                 continue
-            mark = self._mark(id)
-            if mark in ("x", "c") or not changed:
+            mark = self.marks.get(id)
+            if mark in ("x", "c"):
                 continue
-            self.marks.updateValue((id,), ("c" if cancelled else "d",))
+            self.marks.put(id, "c" if cancelled else "d")
             if cancelled and (not waits or mark == "p"):
                 self._promote(1, t, out)
         if out:
@@ -176,8 +177,8 @@ class ExpireAndPromote(TimeOrdered):
     def _save(self) -> None:
         # The timer stands just past the instant, when the watermark has left no row up to it behind.
         self.due = self._next()
-        for line in (self.made, self.moved, self.queue):
-            line.save()
+        for x in (self.made, self.moved, self.queue, self.marks):
+            x.save()
         if (self.job, self.row) != tuple(self.stored_clock):
             self.clock.update((self.job, self.row))
         super()._save()

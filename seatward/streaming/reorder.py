@@ -8,7 +8,8 @@ last instants in an index. One timer a key stands at the earliest of what waits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -37,6 +38,52 @@ def from_bytes(data: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(bytes(data)).read_pandas()
 
 
+# Pages of a dictionary in memory at a time.
+PAGES = 4096
+
+
+class Paged:
+    """A dictionary in state, cut in pages: a call reads and writes the pages it touches, one state call each way, whatever the entries in them."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, page_of: Callable[..., int]):
+        self.state = handle.getMapState(name, "page long", "entries binary")
+        self.page_of = page_of
+
+    def load(self) -> None:
+        self.pages: dict[int, dict] = {}
+        self.changed: set[int] = set()
+
+    def _page(self, key) -> tuple[int, dict]:
+        at = self.page_of(key)
+        if at not in self.pages:
+            if len(self.pages) >= PAGES:
+                self.save()
+            stored = self.state.getValue((at,))
+            self.pages[at] = {} if stored is None else pickle.loads(bytes(stored[0]))
+        return at, self.pages[at]
+
+    def get(self, key):
+        return self._page(key)[1].get(key)
+
+    def put(self, key, value) -> None:
+        at, page = self._page(key)
+        page[key] = value
+        self.changed.add(at)
+
+    def remove(self, key) -> None:
+        at, page = self._page(key)
+        if page.pop(key, None) is not None:
+            self.changed.add(at)
+
+    def save(self) -> None:
+        for at in self.changed:
+            if self.pages[at]:
+                self.state.updateValue((at,), (pickle.dumps(self.pages[at], 5),))
+            else:
+                self.state.removeKey((at,))
+        self.load()
+
+
 class TimeOrdered(StatefulProcessor):
     """Hands the rows of a key to ``place`` in the order of ``order``, whose first column is the instant in microseconds."""
 
