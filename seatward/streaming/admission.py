@@ -1,30 +1,41 @@
 """Admission on a stream: the batch replay's decisions, with the request rows in the state store.
 
-Per pool the store holds the live rows, a stack of row numbers per e-mail (commands take the newest live row), the
-waitlist as numbered entries, and the active holds. A micro-batch reads only what its entries can touch.
+Per pool the store holds the live rows as a stack per e-mail (commands take the newest live row), cut in pieces and kept in pages of many e-mails, the
+waitlist as numbered entries, and the active holds. A step over entries reads and writes the pages it touches, once each.
 
-Without a ``delay`` entries are served in the micro-batch they come in; with one they wait in the pool's buffer until the watermark has passed them.
+Without a ``delay`` entries are served in the micro-batch they come in; with one they wait in the pool's buffer until the watermark has passed them. Either
+way a pool's entries are sorted in runs and served in steps, so a task holds no micro-batch whole.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from seatward.functions.dims import HOLD
 from seatward.operators.replay import STEP_SCHEMA, PoolDesk, prepare_log, replay_entries
-from seatward.streaming.reorder import INSTANT, TimeOrdered, with_instant
+from seatward.streaming import reorder
+from seatward.streaming.reorder import INSTANT, Paged, TimeOrdered, with_instant
 
 COLUMNS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
-ROW_STATE = (
-    "id long, email string, created_at long, payment_status string, is_waitlist boolean, promoted_at long, "
-    "paid_at long, cancelled_at long, is_payer boolean"
-)
-FIELDS = [c.split()[0] for c in ROW_STATE.split(", ")]
+# A row in state; its e-mail is in its key.
+FIELDS = ("n", "id", "created_at", "payment_status", "is_waitlist", "promoted_at", "paid_at", "cancelled_at", "is_payer")
+# Rows of a piece of a stack, entries of a piece of the waitlist, pages of e-mails.
+STACK, ENTRIES, MAIL_PAGES = 256, 4096, 2048
+# After all instants, for entries without one and for a buffer that is emptied.
+LAST = np.iinfo(np.int64).max
+
+
+def _page(key: tuple) -> int:
+    email, piece = key
+    return zlib.crc32(f"{piece}:{email}".encode("utf-8", "surrogatepass")) % MAIL_PAGES
 
 
 class PoolState:
@@ -34,32 +45,50 @@ class PoolState:
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.meta = handle.getValueState("meta", "n long, waiting long, head long, tail long, seen long")
-        self.rows = handle.getMapState("rows", "n long", ROW_STATE)
-        self.depth = handle.getMapState("depth", "email string", "d long")
-        self.stack = handle.getMapState("stack", "email string, d long", "n long")
-        self.queue = handle.getMapState("queue", "pos long", "n long")
-        self.active = handle.getMapState("active", "n long", "created_at long")
-
-    def _row(self, n: int) -> dict | None:
-        values = self.rows.getValue((n,)) if self.rows.containsKey((n,)) else None
-        return None if values is None else dict(zip(FIELDS, values)) | {"n": n}
-
-    def _live_depth(self, email: str) -> int:
-        """Height of an e-mail's stack after popping rows cancelled meanwhile, which are always on top."""
-        stored = d = self.depth.getValue((email,))[0] if self.depth.containsKey((email,)) else 0
-        while d > 0 and not self.rows.containsKey(self.stack.getValue((email, d))):
-            self.stack.removeKey((email, d))
+        # (email, piece) -> rows, as bytes until a step needs them; (email, -1) -> height of the stack.
+        self.stacks = Paged(handle, "stacks", _page)
+        self.queue = handle.getMapState("queue", "piece long", "entries binary")
+        self.active = handle.getValueState("active", "holds binary")
+
+    def _piece(self, email: str, piece: int) -> list:
+        at = (email, piece)
+        if at not in self.opened:
+            stored = self.stacks.get(at)
+            self.opened[at] = [] if stored is None else pickle.loads(stored)
+        return self.opened[at]
+
+    def _depth(self, email: str) -> int:
+        if email not in self.depths:
+            self.depths[email] = self.stacks.get((email, -1)) or 0
+        return self.depths[email]
+
+    def _row(self, email: str, level: int) -> dict | None:
+        """The row at a height of its e-mail's stack, from 1; with its height, by which it is written back."""
+        rows, at = self._piece(email, (level - 1) // STACK), (level - 1) % STACK
+        if at >= len(rows) or rows[at] is None:
+            return None
+        return dict(zip(FIELDS, rows[at], strict=True)) | {"email": email, "level": level}
+
+    def _set(self, email: str, level: int, row: dict | None) -> None:
+        at = (email, (level - 1) // STACK)
+        rows = self._piece(*at)
+        values = None if row is None else tuple(row[f] for f in FIELDS)
+        if (level - 1) % STACK == len(rows):
+            rows.append(values)
+        else:
+            rows[(level - 1) % STACK] = values
+        self.dirty.add(at)
+
+    def _trim(self, email: str) -> int:
+        """Height of a stack after dropping rows cancelled meanwhile, which are always on top."""
+        d = self._depth(email)
+        while d > 0 and self._row(email, d) is None:
+            self._piece(email, (d - 1) // STACK).pop()
+            self.dirty.add((email, (d - 1) // STACK))
             d -= 1
-        if d != stored:
-            self.depth.updateValue((email,), (d,))
+        self.depths[email] = d
         return d
 
-    def _newest(self, email: str, count: int) -> Iterator[dict]:
-        """Up to ``count`` newest live rows of an e-mail."""
-        d = self._live_depth(email)
-        for level in range(d, max(d - count, 0), -1):
-            yield self._row(self.stack.getValue((email, level))[0])
-
     def _known(self) -> tuple:
         return self.meta.get() if self.meta.exists() else (0, 0, 0, 0, None)
 
@@ -69,21 +98,24 @@ class PoolState:
         n, waiting, head, tail, _ = self._known()
         log = log.assign(n=range(n + 1, n + 1 + len(log)))
         start = int(instants.iloc[0])
-        reach: dict[int, dict] = {}
-        for (k,), (created,) in list(self.active.iterator()):
-            if created <= start - self.hold:
-                self.active.removeKey((k,))
-            else:
-                reach[k] = self._row(k)
+        self.stacks.load()
+        self.opened, self.dirty, self.depths = {}, set(), {}
+        self.line, self.line_dirty = {}, set()
+        holds = pickle.loads(bytes(self.active.get()[0])) if self.active.exists() else {}
+        holds = {k: h for k, h in holds.items() if h[0] > start - self.hold}
+        reach = {k: self._row(email, level) for k, (_, email, level) in holds.items()}
         commands = log[log["kind"] != "create"]
-        for email, mine in commands.groupby("email"):
-            for row in self._newest(email, int((mine["kind"] == "cancel").sum()) + 1):
+        cancels = (commands["kind"] == "cancel").groupby(commands["email"]).sum()
+        for email, count in zip(cancels.index.tolist(), cancels.tolist(), strict=True):
+            d = self._depth(email)
+            for level in range(d, max(d - int(count) - 1, 0), -1):
+                row = self._row(email, level)
                 reach[row["n"]] = row
         head = self._heads(reach, head, tail, int((log["kind"] == "cancel").sum()))
         first = log.iloc[0]
         desk = PoolDesk(int(first["capacity"]), int(first["paid"]), waiting, self.hold, reach.values())
         out = replay_entries(desk, log)
-        tail = self._store(desk, n, tail, int(instants.iloc[-1]))
+        tail = self._store(desk, n, tail, int(instants.iloc[-1]), holds)
         self.meta.update((n + len(log), desk.waiting, head, tail, int(instants.iloc[-1])))
         return out[COLUMNS]
 
@@ -92,73 +124,108 @@ class PoolState:
         out["pool"], out["seq"], out["action"] = pool, seqs.tolist(), "late"
         return out
 
+    def _entries(self, piece: int) -> list:
+        if piece not in self.line:
+            stored = self.queue.getValue((piece,))
+            self.line[piece] = [] if stored is None else pickle.loads(bytes(stored[0]))
+        return self.line[piece]
+
     def _heads(self, reach: dict[int, dict], head: int, tail: int, needed: int) -> int:
-        """Add the first ``needed`` live queue entries; dead entries in front of them are dropped."""
-        pos, dead_front = head, True
+        """Add the first ``needed`` live queue entries; dead entries are blanked, and dropped in front of them."""
+        pos, dead_front, before = head, True, head // ENTRIES
         while pos < tail and needed > 0:
-            n = self.queue.getValue((pos,))[0] if self.queue.containsKey((pos,)) else None
-            row = None if n is None else self._row(n)
-            if row is not None and row["is_waitlist"]:
-                reach[n] = row
-                needed -= 1
-                dead_front = False
-            elif n is not None:
-                self.queue.removeKey((pos,))
+            entries = self._entries(pos // ENTRIES)
+            entry = entries[pos % ENTRIES]
+            if entry is not None:
+                n, email, level = entry
+                row = self._row(email, level)
+                if row is not None and row["n"] == n and row["is_waitlist"]:
+                    reach[n] = row
+                    needed -= 1
+                    dead_front = False
+                else:
+                    entries[pos % ENTRIES] = None
+                    self.line_dirty.add(pos // ENTRIES)
             pos += 1
             if dead_front:
                 head = pos
+        for piece in range(before, head // ENTRIES):
+            self.queue.removeKey((piece,))
+            self.line_dirty.discard(piece)
         return head
 
-    def _store(self, desk: PoolDesk, before: int, tail: int, now: int) -> int:
-        """Write changed rows; rows up to number ``before`` are in the store already."""
-        depths: dict[str, int] = {}
+    def _store(self, desk: PoolDesk, before: int, tail: int, now: int, holds: dict[int, tuple]) -> int:
+        """Write changed rows; rows up to number ``before`` are in the store already, and come before the new ones."""
+        thinned = set()
         for n in sorted(desk.changed):
             row, new = desk.rows[n], n > before
             email, live = row["email"], row["payment_status"] != "cancelled"
             if new and not live:
                 continue
-            if live:
-                self.rows.updateValue((n,), tuple(row[f] for f in FIELDS))
-            else:
-                self.rows.removeKey((n,))
             if new:
-                depths[email] = (depths[email] if email in depths else self._live_depth(email)) + 1
-                self.stack.updateValue((email, depths[email]), (n,))
+                row["level"] = self.depths[email] = self._trim(email) + 1
+            self._set(email, row["level"], row if live else None)
+            if not live:
+                thinned.add(email)
             if new and row["is_waitlist"]:
-                self.queue.updateValue((tail,), (n,))
+                self._entries(tail // ENTRIES).append((n, email, row["level"]))
+                self.line_dirty.add(tail // ENTRIES)
                 tail += 1
-            holds = row["payment_status"] == "pending" and not row["is_waitlist"]
-            if holds and row["created_at"] > now - self.hold:
-                self.active.updateValue((n,), (row["created_at"],))
-            elif not new and self.active.containsKey((n,)):
-                self.active.removeKey((n,))
-        for email, d in depths.items():
-            self.depth.updateValue((email,), (d,))
+            if row["payment_status"] == "pending" and not row["is_waitlist"] and row["created_at"] > now - self.hold:
+                holds[n] = (row["created_at"], email, row["level"])
+            else:
+                holds.pop(n, None)
+        for email in thinned:
+            self._trim(email)
+        for at in self.dirty:
+            if self.opened[at]:
+                self.stacks.put(at, pickle.dumps(self.opened[at], 5))
+            else:
+                self.stacks.remove(at)
+            email = at[0]
+            if self.depths.get(email):
+                self.stacks.put((email, -1), self.depths[email])
+            elif email in self.depths:
+                self.stacks.remove((email, -1))
+        self.stacks.save()
+        for piece in self.line_dirty:
+            self.queue.updateValue((piece,), (pickle.dumps(self.line[piece], 5),))
+        self.active.update((pickle.dumps(holds, 5),))
         return tail
 
 
-class PoolAdmission(PoolState, StatefulProcessor):
-    """Entries are served as they come."""
+class PoolAdmission(PoolState, TimeOrdered):
+    """Entries are served in the micro-batch they come in. More than a run of them pass through the buffer, which is empty again at the end."""
 
     def __init__(self, hold: timedelta):
+        TimeOrdered.__init__(self, [INSTANT, "seq"])
         self.hold = int(hold.total_seconds() * 1_000_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open(handle)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        self.number, self.waiting = 0, []
         seen = self._known()[4]
-        if seen is not None:
-            late = log["ts"].astype("datetime64[us]").astype("int64") < seen
-            if late.any():
-                yield self.late(key[0], log["seq"][late])
-                log = log[~late]
-        if len(log):
-            yield self.serve(log)
-
-    def close(self) -> None:
-        pass
+        held, n = [], 0
+        for frame in rows:
+            instants = frame["ts"].astype("datetime64[us]").astype("int64")
+            if seen is not None:
+                late = instants < seen
+                if late.any():
+                    yield self.late(key[0], frame["seq"][late])
+                    frame, instants = frame[~late], instants[~late]
+            if len(frame):
+                held.append(frame.assign(**{INSTANT: instants.where(frame["ts"].notna(), LAST - 1)}))
+                n += len(frame)
+            if n >= reorder.RUN_ROWS:
+                self._keep(held)
+                held, n = [], 0
+        if n and not self.waiting:
+            yield self.serve(pd.concat(held).sort_values(self.order, ignore_index=True).drop(columns=INSTANT))
+            return
+        if n:
+            self._keep(held)
+        held = []
+        for due in self._due(LAST):
+            yield self.serve(due.drop(columns=INSTANT))
 
 
 class OrderedPoolAdmission(PoolState, TimeOrdered):

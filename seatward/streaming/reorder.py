@@ -2,8 +2,8 @@
 
 Files arrive in any order. A row waits in its key's buffer until the watermark has passed it, that is until no row before it
 can come any more within the given delay; then the key's rows are handed on in order. A row that the watermark has passed already when it
-comes is too late to be placed and leaves at once. The buffer is a few sorted pieces (Arrow bytes, one state call each), with their first and
-last instants in an index. One timer a key stands at the earliest of what waits.
+comes is too late to be placed and leaves at once. The buffer is sorted runs in small pieces (Arrow bytes, one state call each), with their first and
+last instants in an index, so that runs that overlap in time are merged piece by piece. One timer a key stands at the earliest of what waits.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# Rows of a piece of the buffer; a few pieces are in memory at a time where the input is roughly in order.
-PIECE_ROWS = 50_000
+# Rows that are sorted at a time, and handed on at least where as many are due.
+RUN_ROWS = 200_000
+# Rows of a piece of the buffer, a stretch of such a run. In memory at a time are a run's rows and a piece of each run they overlap with.
+PIECE_ROWS = 10_000
 # Names with a leading underscore do not reach a processor as they are.
 INSTANT = "t_us"
 # Instant of a row without one: before any watermark.
@@ -159,7 +161,7 @@ class TimeOrdered(StatefulProcessor):
             if len(frame):
                 held.append(frame)
                 n += len(frame)
-            if n >= PIECE_ROWS:
+            if n >= RUN_ROWS:
                 self._keep(held)
                 held, n = [], 0
         if n:
@@ -183,7 +185,7 @@ class TimeOrdered(StatefulProcessor):
         carried: list[pd.DataFrame] = []
         while todo:
             n = 0
-            while todo and n < PIECE_ROWS:
+            while todo and n < RUN_ROWS:
                 piece = (todo.pop(0)[2],)
                 carried.append(from_bytes(self.pieces.getValue(piece)[0]))
                 self.pieces.removeKey(piece)

@@ -1,10 +1,14 @@
 """Stateful rules on a store of plain dictionaries that counts its calls: they go by pages and pieces, not by rows."""
 
+import random
 from datetime import timedelta
 
 import pandas as pd
 import pytest
 
+from seatward.operators.replay import PoolDesk, replay_entries
+from seatward.streaming import admission, reorder
+from seatward.streaming.admission import OrderedPoolAdmission, PoolAdmission
 from seatward.streaming.expiry import ExpireAndPromote
 from seatward.streaming.reorder import INSTANT, Paged
 
@@ -112,3 +116,56 @@ def test_expiry_calls_go_by_pages(n):
     assert sorted(out["id"][out["action"] == "promoted"]) == [i for i in opened if i % 3 == 0]
     # Index, buffer, lists, clock and marks; one call a row or more before.
     assert store.calls < 60
+
+
+def _served(processor, frames, late):
+    """Rows through a processor, each frame a micro-batch; the decisions by ``seq``."""
+    store, out = Store(), []
+    processor.init(store)
+    for frame in frames:
+        cut = [frame.iloc[i : i + 50] for i in range(0, len(frame), 50)]
+        out += list(processor.handleInputRows(("equipe",), iter(cut), store))
+        if late:
+            store.mark = int(frame["ts"].max().timestamp() * 1000)
+            out += list(processor.handleExpiredTimer(("equipe",), store, None))
+    if late:
+        store.mark = 10**14
+        out += list(processor.handleExpiredTimer(("equipe",), store, None))
+    told = pd.concat(out)
+    return {r["seq"]: (r["action"], r["row_id"]) for r in told[told["seq"].notna()].to_dict("records")}, store, processor
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(("run", "piece", "stack"), [(200_000, 10_000, 256), (120, 17, 2)])
+def test_admission_in_runs_equals_one_step(monkeypatch, seed, run, piece, stack):
+    """Entries in any order within a micro-batch, served in steps with little state in memory, as in one step over all."""
+    monkeypatch.setattr(reorder, "RUN_ROWS", run)
+    monkeypatch.setattr(reorder, "PIECE_ROWS", piece)
+    monkeypatch.setattr(admission, "STACK", stack)
+    monkeypatch.setattr(admission, "ENTRIES", 5)
+    rng = random.Random(seed)
+    kinds = ["create"] * 6 + ["pay", "cancel", "cancel", "unmark", "waive"]
+    start = pd.Timestamp("2026-05-01")
+    rows = [(s, start + pd.Timedelta(minutes=s // 3), rng.choice(kinds), f"e{rng.randrange(25)}") for s in range(1500)]
+    log = pd.DataFrame(rows, columns=["seq", "ts", "kind", "email"]).assign(pool="equipe", capacity=9, paid=1, is_payer=False)
+    hold = timedelta(minutes=30)
+    desk = PoolDesk(9, 1, 0, int(hold.total_seconds() * 1_000_000))
+    whole = replay_entries(desk, log.assign(n=range(1, len(log) + 1)))
+    want = {r["seq"]: (r["action"], r["row_id"]) for r in whole[whole["seq"].notna()].to_dict("records")}
+    norm = lambda d: {k: (a, None if pd.isna(i) else int(i)) for k, (a, i) in d.items()}
+    parts = [log.iloc[i : i + 500].sample(frac=1, random_state=seed) for i in range(0, 1500, 500)]
+    got, store, _ = _served(PoolAdmission(hold), parts, False)
+    assert norm(got) == norm(want)
+    mixed = [p.assign(t_us=p["ts"].astype("datetime64[us]").astype("int64")) for p in parts]
+    got, *_ = _served(OrderedPoolAdmission(hold), mixed, True)
+    assert norm(got) == norm(want)
+
+
+def test_admission_calls_go_by_pages():
+    rng = random.Random(3)
+    start = pd.Timestamp("2026-05-01")
+    rows = [(s, start + pd.Timedelta(seconds=s), rng.choice(["create", "create", "pay", "cancel"]), f"e{rng.randrange(3000)}") for s in range(20_000)]
+    log = pd.DataFrame(rows, columns=["seq", "ts", "kind", "email"]).assign(pool="equipe", capacity=50, paid=0, is_payer=False)
+    _, store, _ = _served(PoolAdmission(timedelta(minutes=30)), [log], False)
+    # Two calls a page at most, some more for the rest; several a row before.
+    assert store.calls < 3 * admission.MAIL_PAGES
