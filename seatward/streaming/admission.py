@@ -14,23 +14,19 @@ import zlib
 from collections.abc import Iterator
 from datetime import timedelta
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from seatward.functions.dims import HOLD
 from seatward.operators.replay import STEP_SCHEMA, PoolDesk, prepare_log, replay_entries
-from seatward.streaming import reorder
-from seatward.streaming.reorder import INSTANT, Paged, TimeOrdered, with_instant
+from seatward.streaming.reorder import INSTANT, LAST, NEVER, BatchOrdered, Paged, TimeOrdered, with_instant
 
 COLUMNS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
 # A row in state; its e-mail is in its key.
 FIELDS = ("n", "id", "created_at", "payment_status", "is_waitlist", "promoted_at", "paid_at", "cancelled_at", "is_payer")
 # Rows of a piece of a stack, entries of a piece of the waitlist, pages of e-mails.
 STACK, ENTRIES, MAIL_PAGES = 256, 4096, 2048
-# After all instants, for entries without one and for a buffer that is emptied.
-LAST = np.iinfo(np.int64).max
 
 
 def _page(key: tuple) -> int:
@@ -194,38 +190,25 @@ class PoolState:
         return tail
 
 
-class PoolAdmission(PoolState, TimeOrdered):
-    """Entries are served in the micro-batch they come in. More than a run of them pass through the buffer, which is empty again at the end."""
+class PoolAdmission(PoolState, BatchOrdered):
+    """Entries are served in the micro-batch they come in."""
 
     def __init__(self, hold: timedelta):
-        TimeOrdered.__init__(self, [INSTANT, "seq"])
+        BatchOrdered.__init__(self, [INSTANT, "seq"])
         self.hold = int(hold.total_seconds() * 1_000_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.number, self.waiting = 0, []
-        seen = self._known()[4]
-        held, n = [], 0
-        for frame in rows:
-            instants = frame["ts"].astype("datetime64[us]").astype("int64")
-            if seen is not None:
-                late = instants < seen
-                if late.any():
-                    yield self.late(key[0], frame["seq"][late])
-                    frame, instants = frame[~late], instants[~late]
-            if len(frame):
-                held.append(frame.assign(**{INSTANT: instants.where(frame["ts"].notna(), LAST - 1)}))
-                n += len(frame)
-            if n >= reorder.RUN_ROWS:
-                self._keep(held)
-                held, n = [], 0
-        if n and not self.waiting:
-            yield self.serve(pd.concat(held).sort_values(self.order, ignore_index=True).drop(columns=INSTANT))
-            return
-        if n:
-            self._keep(held)
-        held = []
-        for due in self._due(LAST):
-            yield self.serve(due.drop(columns=INSTANT))
+    def begin(self, key) -> None:
+        self.seen = self._known()[4]
+
+    def screen(self, key, frame: pd.DataFrame) -> tuple[pd.DataFrame | None, pd.DataFrame]:
+        instants = frame["ts"].astype("datetime64[us]").astype("int64")
+        # Entries without a time come last.
+        frame = frame.assign(**{INSTANT: instants.where(frame["ts"].notna(), LAST - 1)})
+        late = instants < (NEVER if self.seen is None else self.seen)
+        return self.late(key[0], frame["seq"][late]) if late.any() else None, frame[~late]
+
+    def place(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield self.serve(rows.drop(columns=INSTANT))
 
 
 class OrderedPoolAdmission(PoolState, TimeOrdered):

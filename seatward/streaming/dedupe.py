@@ -6,55 +6,67 @@ one, rows wait until the watermark has passed them, and files may come in any or
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from seatward.functions.dims import HOLD
-from seatward.streaming.reorder import INSTANT, TimeOrdered, from_bytes, from_micros, to_bytes, with_instant
+from seatward.streaming.reorder import INSTANT, LAST, NEVER, BatchOrdered, Paged, TimeOrdered, from_bytes, from_micros, micros, to_bytes, with_instant
 
-STATE = "anchor long, anchor_id long, seen long"
+# Pages of a bucket's keys.
+KEY_PAGES = 16
 
 
-class KeepFirstOfHold(StatefulProcessor):
-    def __init__(self, keys: list[str], at: str, id: str, hold: timedelta):
-        self.keys, self.at, self.id = keys, at, id
+def _page(key_json: str) -> int:
+    return zlib.crc32(key_json.encode("utf-8", "surrogatepass")) % KEY_PAGES
+
+
+class KeepFirstOfHold(BatchOrdered):
+    """The rule over many keys at once, micro-batch by micro-batch; per key the state has its anchor and the last instant decided."""
+
+    def __init__(self, hold: timedelta):
+        super().__init__([INSTANT, "row_id"])
         self.hold = int(hold.total_seconds() * 1_000_000)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("anchor", STATE)
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.keys = Paged(handle, "keys", _page)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values([self.at, self.id])
-        instants = batch[self.at].astype("datetime64[us]").astype("int64").tolist()
-        anchor, anchor_id, seen = self.state.get() if self.state.exists() else (None, None, None)
+    def begin(self, key) -> None:
+        self.keys.load()
+
+    def screen(self, key, frame: pd.DataFrame) -> tuple[pd.DataFrame | None, pd.DataFrame]:
+        # Rows without a time come last.
+        return None, frame.assign(**{INSTANT: frame[INSTANT].where(frame[INSTANT] != NEVER, LAST - 1)})
+
+    def place(self, key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        keys, hold = self.keys, self.hold
         outcome, holders = [], []
-        for now, row_id in zip(instants, batch[self.id].tolist()):
+        instants = rows[INSTANT].where(rows[INSTANT] != LAST - 1, NEVER)
+        for k, now, row_id in zip(rows["key_json"].tolist(), instants.tolist(), rows["row_id"].tolist(), strict=True):
+            anchor, anchor_id, seen = keys.get(k) or (None, None, None)
             if seen is not None and now < seen:
                 outcome.append("late")
                 holders.append(None)
                 continue
-            seen = now
-            if anchor is None or now >= anchor + self.hold:
+            if anchor is None or now >= anchor + hold:
                 anchor, anchor_id = now, row_id
                 outcome.append("kept")
             else:
                 outcome.append("reused")
+            keys.put(k, (anchor, anchor_id, now))
             holders.append(anchor_id)
-        self.state.update((anchor, anchor_id, seen))
-        out = batch[[self.at, self.id]].copy()
-        for name, value in zip(self.keys, key):
-            out[name] = value
-        out["outcome"] = outcome
-        out["kept_id"] = pd.array(holders, dtype="Int64")
-        yield out[[*self.keys, self.at, self.id, "outcome", "kept_id"]]
+        out = rows[["key_json", INSTANT, "row_id"]].copy()
+        out[INSTANT], out["outcome"], out["kept_id"] = instants, outcome, pd.Series(holders, index=out.index, dtype="object")
+        yield out
 
-    def close(self) -> None:
-        pass
+    def settle(self, key, now: int) -> Iterator[pd.DataFrame]:
+        self.keys.save()
+        return iter(())
 
 
 class KeepFirstInOrder(TimeOrdered):
@@ -121,8 +133,8 @@ def stream_dedupe(
     """Every row with ``outcome`` kept, reused or late, and the id of the row whose hold it falls under.
 
     Without ``delay``, rows are ordered inside a micro-batch. A row older than one already decided for its key cannot be placed any
-    more and leaves as ``late``. Size a trigger with ``maxFilesPerTrigger`` so that one key's rows of a batch fit a
-    task.
+    more and leaves as ``late``. State has one anchor a key, in ``buckets`` groups of keys; a group's rows of a micro-batch are sorted in runs, so that no
+    task holds them whole.
 
     With ``delay``, a row is decided once the watermark, that far behind the latest row of earlier micro-batches, has passed it. Rows within the delay
     come out as in the batch operator whatever the order of files; later ones, and rows without a time, leave as ``late``. State
@@ -133,28 +145,31 @@ def stream_dedupe(
     types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     if delay is not None:
         return _dedupe_in_order(requests, keys, at, id, hold, delay, buckets, types)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, at, id]) + ", outcome string, kept_id long"
-    return (
-        requests.select(*keys, at, id)
-        .groupBy(*keys)
-        .transformWithStateInPandas(
-            KeepFirstOfHold(keys, at, id, hold), outputStructType=schema, outputMode="Append", timeMode="None"
-        )
+    marked = _by_bucket(requests.select(*keys, at, id).withColumn(INSTANT, micros(F.col(at), types[at])), keys, id, buckets).transformWithStateInPandas(
+        KeepFirstOfHold(hold), outputStructType=_MARKED.format(types[id]), outputMode="Append", timeMode="None"
     )
+    return _with_keys(marked, keys, at, id, types).withColumn("kept_id", F.col("kept_id").cast("long"))
 
 
-def _dedupe_in_order(requests: DataFrame, keys: list[str], at: str, id: str, hold: timedelta, delay: timedelta, buckets: int, types: dict) -> DataFrame:
-    # As JSON, keys of any types and nulls pass through Python unchanged.
-    rows = with_instant(requests.select(*keys, at, id), at, delay).select(
+# Rows with their keys as JSON: keys of any types and nulls pass through Python unchanged.
+_MARKED = f"key_json string, {INSTANT} long, row_id {{0}}, outcome string, kept_id {{0}}"
+
+
+def _by_bucket(rows: DataFrame, keys: list[str], id: str, buckets: int):
+    return rows.select(
         F.to_json(F.struct(*keys)).alias("key_json"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket"), INSTANT, F.col(id).alias("row_id")
-    )
-    marked = rows.groupBy("bucket").transformWithStateInPandas(
-        KeepFirstInOrder(hold),
-        outputStructType=f"key_json string, {INSTANT} long, row_id {types[id]}, outcome string, kept_id {types[id]}",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    ).groupBy("bucket")
+
+
+def _with_keys(marked: DataFrame, keys: list[str], at: str, id: str, types: dict) -> DataFrame:
     back = F.from_json("key_json", ", ".join(f"{k} {types[k]}" for k in keys))
     return marked.withColumn("key_json", back).select(
         *(F.col("key_json")[k].alias(k) for k in keys), from_micros(F.col(INSTANT), types[at]).alias(at), F.col("row_id").alias(id), "outcome", "kept_id"
     )
+
+
+def _dedupe_in_order(requests: DataFrame, keys: list[str], at: str, id: str, hold: timedelta, delay: timedelta, buckets: int, types: dict) -> DataFrame:
+    marked = _by_bucket(with_instant(requests.select(*keys, at, id), at, delay), keys, id, buckets).transformWithStateInPandas(
+        KeepFirstInOrder(hold), outputStructType=_MARKED.format(types[id]), outputMode="Append", timeMode="EventTime"
+    )
+    return _with_keys(marked, keys, at, id, types)

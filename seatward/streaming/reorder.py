@@ -26,6 +26,8 @@ PIECE_ROWS = 10_000
 INSTANT = "t_us"
 # Instant of a row without one: before any watermark.
 NEVER = -(1 << 63)
+# After all instants.
+LAST = (1 << 63) - 1
 
 
 def to_bytes(frame: pd.DataFrame) -> bytes:
@@ -203,6 +205,38 @@ class TimeOrdered(StatefulProcessor):
         pass
 
 
+class BatchOrdered(TimeOrdered):
+    """Hands over the rows of a key in order within each micro-batch. More than a run of them pass through the buffer, which is empty again at the end."""
+
+    def screen(self, key, frame: pd.DataFrame) -> tuple[pd.DataFrame | None, pd.DataFrame]:
+        """(answers to rows that cannot be placed any more, the other rows)."""
+        return None, frame
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.number, self.waiting = 0, []
+        self.begin(key)
+        held, n = [], 0
+        for frame in rows:
+            refused, frame = self.screen(key, frame)
+            if refused is not None:
+                yield refused
+            if len(frame):
+                held.append(frame)
+                n += len(frame)
+            if n >= RUN_ROWS:
+                self._keep(held)
+                held, n = [], 0
+        if n and not self.waiting:
+            yield from self.place(key, pd.concat(held).sort_values(self.order, ignore_index=True))
+        else:
+            if n:
+                self._keep(held)
+            held = []
+            for due in self._due(LAST):
+                yield from self.place(key, due)
+        yield from self.settle(key, LAST)
+
+
 def micros(at: Column, kind: str) -> Column:
     """Microseconds since 1970 of a timestamp, with or without zone; ``NEVER`` for null."""
     value = F.unix_micros(at) if kind == "timestamp" else F.expr("timestamp_ntz'1970-01-01 00:00:00'")

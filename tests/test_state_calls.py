@@ -9,8 +9,10 @@ import pytest
 from seatward.operators.replay import PoolDesk, replay_entries
 from seatward.streaming import admission, reorder
 from seatward.streaming.admission import OrderedPoolAdmission, PoolAdmission
+from seatward.streaming.battles import CellsInOrder
+from seatward.streaming.dedupe import KeepFirstOfHold
 from seatward.streaming.expiry import ExpireAndPromote
-from seatward.streaming.reorder import INSTANT, Paged
+from seatward.streaming.reorder import INSTANT, NEVER, Paged
 
 
 class Store:
@@ -169,3 +171,40 @@ def test_admission_calls_go_by_pages():
     _, store, _ = _served(PoolAdmission(timedelta(minutes=30)), [log], False)
     # Two calls a page at most, some more for the rest; several a row before.
     assert store.calls < 3 * admission.MAIL_PAGES
+
+
+def test_dedupe_calls_go_by_pages(monkeypatch):
+    """A group of keys in runs gives what one step gives, null times last, and its calls do not grow with its keys."""
+    rng = random.Random(9)
+    rows = [(f"k{rng.randrange(900)}", rng.choice([NEVER, *[10**9 * i for i in range(1, 400)]]), i) for i in range(3000)]
+    frame = pd.DataFrame(rows, columns=["key_json", INSTANT, "row_id"])
+    found = []
+    for run, piece in ((200_000, 10_000), (500, 60)):
+        monkeypatch.setattr(reorder, "RUN_ROWS", run)
+        monkeypatch.setattr(reorder, "PIECE_ROWS", piece)
+        store, rule = Store(), KeepFirstOfHold(timedelta(minutes=60))
+        rule.init(store)
+        out = []
+        for half in (frame[frame[INSTANT] < 2 * 10**11], frame[frame[INSTANT] >= 2 * 10**11]):
+            out += list(rule.handleInputRows((0,), iter([half.iloc[i : i + 250] for i in range(0, len(half), 250)]), store))
+        told = pd.concat(out).sort_values("row_id")
+        found.append([(r, t, o, None if pd.isna(k) else int(k)) for r, t, o, k in zip(told["row_id"], told[INSTANT], told["outcome"], told["kept_id"], strict=True)])
+        if run == 200_000:
+            assert store.calls <= 2 * 2 * 16
+    assert len(found[0]) == 3000 and found[0] == found[1]
+
+
+def test_battle_calls_go_by_pages():
+    n = 3000
+    rows = pd.DataFrame({INSTANT: range(n), "id": range(n), "cell_id": [f"c{i % 1000}" for i in range(n)], "winner_email": "w", "winner_alliance": ["B", "A", "B"] * (n // 3),
+                         "loser_alliance": ["A", "B", "A"] * (n // 3), "cell_alliance": "A", "cell_owner": "o", "undo_of": None, "loser_email": "l", "round": 1})
+    store, rule = Store(), CellsInOrder(16)
+    rule.init(store)
+    out = pd.concat(feed(rule, store, (0,), rows, 10**9))
+    owner, want = {}, []
+    for cell, won, lost in zip(rows["cell_id"], rows["winner_alliance"], rows["loser_alliance"], strict=True):
+        good = owner.get(cell, "A") == lost
+        want.append("transfer" if good else "rejected")
+        if good:
+            owner[cell] = won
+    assert out["outcome"].tolist() == want and store.calls < 200
