@@ -26,7 +26,7 @@ from seatward.functions.text import norm_email
 from seatward.operators.ordered import group_sizes, rank_rows
 from seatward.session import pin, shared_dir
 
-SLICE_ROWS = 1_000_000
+SLICE_ROWS = 250_000
 
 # Request row as the replay keeps it: number in the pool's log, seq of the request, ...
 ROW_FIELDS = {
