@@ -1,15 +1,15 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-A state of the tree is a context of up to ``DEPTH`` words (the start of a text counts as the end token before it). Contexts and their next words are
-grown level by level, one pass over the corpus each: only what is frequent enough at one level can be at the next. A state
+A state of the tree is a context of up to ``DEPTH`` words (the start of a text counts as the end token before it) that was seen twice or more. A state
 gives a next word that it has seen n times out of N the share (n - 1) / N, and hands what is left to the state one word shorter, down to
 the single words; so a word seen once is evidence of novelty only, and every state is a proper distribution. A state is
 retained where the counts diverge from its parent's prediction by enough per word (in nats, after smoothing, so that chance
 does not pass); its suffixes are retained with it. A word is scored in the longest retained suffix of what stands before it.
 
-Frequent means a share of ``1 / MAX_STATES`` of all training tokens, two at least, so a level has at most ``MAX_STATES`` states and as many next
-words: that bounds what is broadcast at any corpus size. Counts of single words have no such bound. The rare ones stay distributed, and each text's
-rare words are joined with them; a rare word is no frequent next word, so its part of the score needs its count only.
+All contexts that end in the same word meet in one task, with every token after them: their counts, shares and divergences follow there, for rare and frequent ones alike,
+and the tokens get their parts of the score. Contexts of ``HEAVY`` tokens and more would be too many for one task: their tokens are dealt by the shortest context that is
+lighter, and what follows a heavy context is counted by a table (``facts``) from which each task gets the rows that it needs. Only heavy contexts, at most one in ``HEAVY`` tokens
+a level, and the ``FREQUENT`` most frequent words are broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import chain, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,16 +28,22 @@ from seatward.llm.common import documents, packed, query, stored, unpacked
 from seatward.llm.texts import PIECE, map_texts
 
 DEPTH = 2
-MAX_STATES = 1 << 20
+# Words with a short code, which are broadcast.
+FREQUENT = 1 << 20
+# Tokens that meet in one task, about, and those of a context that is dealt out to several.
+BUCKET = 1 << 20
+HEAVY = BUCKET // 2
 # Nats a word by which a state must diverge from its parent.
 MIN_DIVERGENCE = 0.02
 FOLDS, HELD = 7, 2
 # Distinct words a task remembers, and context-word pairs it gathers before it counts them.
-MEMORY = 400_000
-GATHER = 1 << 22
+MEMORY = 200_000
+GATHER = 1 << 20
 # The end token; no word has a blank.
 END = b" "
-# Logarithms of rare words are added up as multiples of 2^-40, so that no order of addition shows.
+# What stands before the start of a text; the number of the context without words.
+NONE, ROOT = -(1 << 63), 0
+# Logarithms are added up as multiples of 2^-40, so that no order of addition shows.
 UNIT = float(1 << 40)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -115,16 +122,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class Level:
-    """Next words at one depth: sorted ``keys`` (state << 32 | word) and their ``shares``; per state the share ``rest`` that goes to its parent, -1 where not retained.
-
-    A state at depth one is the place of a word among the frequent ones; at depth d the place of its last word's key at depth d - 1.
-    """
-
-    def __init__(self, keys: np.ndarray, shares: np.ndarray, rest: np.ndarray):
-        self.keys, self.shares, self.rest = keys, shares, rest
-
-
 def walk(levels: list[np.ndarray], words: np.ndarray, starts: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each level (its sorted keys) and one level beyond: (state before each token, place of the token's key in the level), -1 for none.
 
@@ -156,7 +153,7 @@ def _starts(sizes: list[int]) -> np.ndarray:
 
 def next_word_counts(texts: DataFrame, hashes: np.ndarray, levels: list[np.ndarray]) -> DataFrame:
     """(key, n) at the level after ``levels``: frequent states with the frequent words after them. A key can only be frequent where its suffix is."""
-    share = texts.sparkSession.sparkContext.broadcast((hashes, levels))  # at most MAX_STATES numbers each
+    share = texts.sparkSession.sparkContext.broadcast((hashes, levels))  # frequent ones only
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = share.value
@@ -187,21 +184,13 @@ def next_word_counts(texts: DataFrame, hashes: np.ndarray, levels: list[np.ndarr
 
 
 def _frequent(counts: DataFrame, column: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values of ``column`` with a count of ``least`` or more; as the counts sum to the tokens at most, there are at most MAX_STATES."""
-    rows = counts.where(F.col("n") >= least).toPandas()
-    values, n = rows[column].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    """Sorted values of ``column`` with a count of ``least`` or more; as the counts sum to the tokens at most, there are at most one in ``least`` tokens."""
+    rows = counts.where(F.col("n") >= least).select(column, "n").toArrow()
+    values, n = rows[column].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(values)
     return values[order], n[order]
 
 
-def grow_level(keys: np.ndarray, n: np.ndarray, state_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, rest): what a state gives each frequent next word, and what it leaves to its parent."""
-    state = keys >> 32
-    shares = (n - 1) / state_counts[state]
-    rest = 1 - np.bincount(state, weights=shares, minlength=len(state_counts))
-    return shares, rest
-
-
 def divergence(keys: np.ndarray, n: np.ndarray, state_counts: np.ndarray, shares: np.ndarray, rest: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Per state the mean log ratio of its smoothed prediction to its parent's over the words counted after it, in nats.
 
@@ -214,98 +203,96 @@ def divergence(keys: np.ndarray, n: np.ndarray, state_counts: np.ndarray, shares
     return (inside + others * np.log(rest)) / state_counts
 
 
+class Level:
+    """Frequent contexts one word longer than those of the level before: sorted ``keys`` (context << 32 | word) and how often each was seen.
+
+    A context of one word is the place of the word among the frequent ones; a longer one is the place of its last word's key.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+
 class SuffixTree:
-    """Frequent words (sorted hashes with counts), levels from the shortest contexts on, and the denominator of single words."""
+    """The frequent part of the tree: single words (sorted hashes with counts) and levels of longer contexts; with the counts of all training tokens and distinct words."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, levels: list[Level], total: int, distinct: int):
         self.hashes, self.counts, self.levels = hashes, counts, levels
         self.total, self.distinct = total, distinct
 
-    def arrays(self) -> tuple:
-        """Plain arrays, which travel to workers that lack this package."""
-        return self.hashes, self.counts, [(x.keys, x.shares, x.rest) for x in self.levels], self.total, self.distinct
 
+def fit_tree(texts: DataFrame, depth: int = DEPTH, max_states: int | None = None) -> tuple[SuffixTree, DataFrame]:
+    """The contexts of up to ``depth`` words with ``HEAVY`` tokens or more (or a share of ``1 / max_states`` of all), and the stored counts (h, n) of all words.
 
-def fit_tree(
-    texts: DataFrame, depth: int = DEPTH, max_states: int = MAX_STATES, min_divergence: float = MIN_DIVERGENCE
-) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the stored counts (h, n) of the tokens that are not frequent. ``texts`` has the one text column."""
+    ``texts`` has the one text column.
+    """
     counts = stored(word_counts(texts), "tree-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, -(-total // max_states))
+    least = HEAVY if max_states is None else max(2, -(-total // max_states))
     hashes, n_words = _frequent(counts, "h", least)
-    single = (n_words + 1) / (total + distinct + 1)
-    state_counts = n_words
-    grown: list[tuple] = []
-    for _ in range(depth):
-        keys, n = _frequent(next_word_counts(texts, hashes, [g[0] for g in grown]), "key", least)
-        shares, rest = grow_level(keys, n, state_counts)
-        parent = single[keys & 0xFFFFFFFF]
-        for below_keys, below_shares, below_rest, _ in grown:
-            # The parent's prediction, from the shortest context on.
-            state, place = _suffix(keys, [g[0] for g in grown], below_keys)
-            parent = np.where(place >= 0, below_shares[place], 0.0) + below_rest[state] * parent
-        grown.append((keys, shares, rest, divergence(keys, n, state_counts, shares, rest, parent)))
-        state_counts = n
-    levels, kept_below = [], None
-    for d in range(depth - 1, -1, -1):
-        keys, shares, rest, gain = grown[d]
-        kept = gain >= min_divergence
-        if kept_below is not None:
-            # A state's parent drops its first word; retained states keep their parents.
-            longer = grown[d][0][kept_below]
-            kept[_parent_state(longer, [g[0] for g in grown[:d]])] = True
-        kept_below = np.flatnonzero(kept)
-        levels.insert(0, Level(keys, shares, np.where(kept, rest, -1.0)))
-    return SuffixTree(hashes, n_words, levels, total, distinct), counts.where(F.col("n") < least)
-
-
-def _symbols(keys: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
-    """The words of keys of the level after ``levels``, first to last: a state is a place in the level before, at depth one a word."""
-    out = [keys & 0xFFFFFFFF]
-    state = keys >> 32
-    for level in reversed(levels):
-        here = level[state]
-        out.insert(0, here & 0xFFFFFFFF)
-        state = here >> 32
-    out.insert(0, state)
-    return out
+    levels: list[Level] = []
+    while len(levels) < depth - 1 and len(levels[-1].keys if levels else hashes):
+        levels.append(Level(*_frequent(next_word_counts(texts, hashes, [x.keys for x in levels]), "key", least)))
+    return SuffixTree(hashes, n_words, levels, total, distinct), counts
 
 
 def _place(words: list[np.ndarray], levels: list[np.ndarray]) -> np.ndarray:
-    """The state that ``words`` in a row are: a word, or the place of their key."""
+    """The context that ``words`` in a row are: the place of a word, or of their key; -1 for none."""
     state = words[0]
     for level, word in zip(levels, words[1:], strict=False):
-        state = np.where(state >= 0, find(level, (np.maximum(state, 0) << 32) | word), -1)
+        state = np.where((state >= 0) & (word >= 0), find(level, (np.maximum(state, 0) << 32) | np.maximum(word, 0)), -1)
     return state
 
 
-def _suffix(keys: np.ndarray, levels: list[np.ndarray], level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For keys of the level after ``levels``: the state and place of the same word in the shorter context of ``level``."""
-    d = next(i for i, x in enumerate(levels) if x is level)
-    words = _symbols(keys, levels)[-(d + 2) :]
-    state = _place(words[:-1], levels[:d])
-    return state, find(level, (state << 32) | words[-1])
+class Codes:
+    """Words as numbers: the rank of a frequent one, the hash of any other."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        """``hashes`` and ``counts`` of the frequent words, the most frequent first."""
+        self.hashes, self.counts = hashes, counts
+        self.rank = np.argsort(hashes)
+        self.table = hashes[self.rank]
 
-def _parent_state(keys: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """For states that are ``keys`` of the level after ``levels``: the states one word shorter."""
-    return _place(_symbols(keys, levels)[1:], levels)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        place = find(self.table, hashes)
+        return np.where(place >= 0, self._at(self.rank, place), hashes)
 
+    def _at(self, values: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return values[np.maximum(place, 0)] if len(values) else np.zeros(len(place), np.int64)
 
-def score_texts(df: DataFrame, text: Column, tree: SuffixTree) -> DataFrame:
-    """``df`` with n_tokens, known, base and score over the frequent tokens, and the hashes of the others in ``rare``.
+    def frequent(self, codes: np.ndarray) -> np.ndarray:
+        return (codes >= 0) & (codes < len(self.hashes))
 
-    The score of a rare token lacks its own count's part; what its contexts leave to it is in.
+    def hash(self, codes: np.ndarray) -> np.ndarray:
+        known = self.frequent(codes)
+        return np.where(known, self._at(self.hashes, np.where(known, codes, 0)), codes)
+
+    def count(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of frequent words, 0 for others."""
+        known = self.frequent(codes)
+        return np.where(known, self._at(self.counts, np.where(known, codes, 0)), 0)
+
+
+def frequent_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words seen ``least`` times, and of as many more as come to ``FREQUENT``, the most frequent first.
+
+    There are fewer different counts than twice the square root of the number of tokens; they come to the driver.
     """
-    share = df.sparkSession.sparkContext.broadcast(tree.arrays())  # bounded by MAX_STATES a level
+    sizes = counts.groupBy("n").count().toPandas().sort_values("n", ascending=False)
+    fit = sizes["n"].to_numpy()[np.cumsum(sizes["count"].to_numpy()) <= FREQUENT]
+    hashes, n = _frequent(counts, "h", min(least, int(fit[-1]) if len(fit) else least))
+    order = np.argsort(-n, kind="stable")
+    return hashes[order], n[order]
+
+
+def coded_texts(df: DataFrame, text: Column, frequent: tuple, total: int, distinct: int) -> DataFrame:
+    """``df`` with n_tokens, known and base over the frequent tokens, the codes of the tokens (32 bits each, -1 for a rare one) and the hashes of the rare ones."""
+    share = df.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
-        hashes, counts, levels, total, distinct = share.value
-        words, first = Words(hashes), find(hashes, np.array([word_hash(END)]))[0]
-        log_single = np.log10((counts + 1) / (total + distinct + 1))
-        single = (counts + 1) / (total + distinct + 1)
-        keys = [k for k, _, _ in levels]
+        codes = Codes(*share.value)
+        words = Words(codes.table)
+        logs = np.log10((codes.counts + 1) / (total + distinct + 1))
 
         def compute(texts: list) -> list[tuple]:
             if words.full():
@@ -313,27 +300,357 @@ def score_texts(df: DataFrame, text: Column, tree: SuffixTree) -> DataFrame:
             lists = list(map(tokens, texts))
             sizes = [len(x) for x in lists]
             ids = words.ids(list(chain.from_iterable(lists)))
-            places, starts = words.places[ids], _starts(sizes)
-            frequent = places >= 0
-            base = np.where(frequent, log_single[places] if len(single) else 0.0, 0.0)
-            # Shares of the levels go on top of what is left for shorter contexts; a rare word has none, so only the product of what is left counts.
-            p = np.where(frequent, single[places] if len(single) else 1.0, 1.0)
-            for (state, place), (_, shares, rest) in zip(walk(keys, places, starts, first), levels, strict=False):
-                left = np.where(state >= 0, rest[state], -1.0) if len(rest) else np.full(len(p), -1.0)
-                given = np.where(place >= 0, shares[place], 0.0) if len(shares) else 0.0
-                p = np.where(left >= 0, given + left * p, p)
-            score = np.log10(p)
-            sums = [np.add.reduceat(x, starts) for x in (frequent, base, score)]
-            rare = words.hashes[ids]
-            out = []
+            place, starts = words.places[ids], _starts(sizes)
+            known = place >= 0
+            code = np.where(known, codes.rank[place] if len(logs) else 0, -1).astype(np.int32)
+            base = np.where(known, logs[code] if len(logs) else 0.0, 0.0)
+            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base)]
+            hashes, out = words.hashes[ids], []
             for i, (at, size) in enumerate(zip(starts.tolist(), sizes, strict=True)):
                 here = slice(at, at + size)
-                out.append((size, int(sums[0][i]), float(sums[1][i]), float(sums[2][i]), rare[here][~frequent[here]]))
+                out.append((size, int(sums[0][i]), float(sums[1][i]), code[here].tobytes(), hashes[here][~known[here]]))
             return out
 
         return compute
 
-    return map_texts(df, text, make, "n_tokens long, known long, base double, score double, rare array<long>")
+    return map_texts(df, text, make, "n_tokens long, known long, base double, codes binary, rare array<long>")
+
+
+class Deal:
+    """How tokens go to tasks: codes of words, the heavy contexts (words by rank, then levels of keys), and the number of tasks' shares (buckets)."""
+
+    def __init__(self, frequent: tuple, heavy: tuple, depth: int, buckets: int):
+        self.codes = Codes(*frequent)
+        hashes, self.levels = heavy
+        # Heavy words are the first by rank.
+        self.heavy = find(hashes, self.codes.hashes[: len(hashes)])
+        self.offsets = np.cumsum([ROOT + 1, len(hashes), *(len(x) for x in self.levels)])
+        self.depth, self.buckets = depth, buckets
+        self.end = self.codes.of(np.array([word_hash(END)]))[0]
+
+    def contexts(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """The words one, two, ... before each token."""
+        out, last = [], words
+        for d in range(self.depth):
+            here = np.empty_like(words)
+            here[1:] = last[:-1]
+            here[starts] = NONE if d else self.end
+            out.append(here)
+            last = here
+        return out
+
+    def heavy_contexts(self, context: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length the number of the heavy context before a token, -1 where it is not heavy."""
+        if not len(self.heavy):
+            return [np.full(len(c), -1, np.int64) for c in context]
+        places = []
+        for c in context:
+            known = (c >= 0) & (c < len(self.heavy))
+            places.append(np.where(known, self.heavy[np.where(known, c, 0)], -1))
+        out = []
+        for d in range(self.depth):
+            state = _place(places[d::-1], self.levels[:d]) if d <= len(self.levels) else np.full(len(places[0]), -1, np.int64)
+            out.append(np.where(state >= 0, state + self.offsets[min(d, len(self.levels))], -1))
+        return out
+
+    def bucket(self, words: np.ndarray, context: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
+        """By the shortest context that is not heavy; where all are, by the longest and the word."""
+        key = _mix(np.zeros(len(words), np.uint64), context[0])
+        for d in range(self.depth):
+            longer = context[d + 1] if d + 1 < self.depth else words
+            key = np.where(heavy[d] >= 0, _mix(key, np.where(longer == NONE, words, longer)), key)
+        return ((key >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(words, contexts, heavy contexts, buckets, documents) of many tokens at a time; a document is ``pos`` << 1 | whether it is learned from."""
+        held, size = [], 0
+
+        def out():
+            words, sizes, docs = (np.concatenate([h[i] for h in held]) for i in range(3))
+            context = self.contexts(words, np.cumsum(sizes) - sizes)
+            heavy = self.heavy_contexts(context)
+            return words, context, heavy, self.bucket(words, context, heavy), np.repeat(docs, sizes)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                pos, held_out, codes, rare = batch.slice(at, PIECE).columns
+                codes = codes.to_pylist()
+                words = np.frombuffer(b"".join(codes), np.int32).astype(np.int64)
+                words[words < 0] = rare.flatten().to_numpy()
+                docs = pos.to_numpy() << 1 | ~held_out.to_numpy(zero_copy_only=False)
+                held.append((words, np.array([len(c) // 4 for c in codes]), docs))
+                size += len(words)
+                if size > GATHER:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+
+def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = (key ^ word.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(29))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, their first bytes together, then their second bytes and so on, compressed."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+
+
+def _unpack(packed: bytes, size: int) -> np.ndarray:
+    flat = np.frombuffer(pa.Codec("zstd").decompress(packed, size * 8), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the place of each value among them; faster than sorting where there are few."""
+    codes, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[codes]
+
+
+def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of two columns, with how often each occurs."""
+    (a, a_of), (b, b_of) = _numbered(first), _numbered(second)
+    keys, n = np.unique(a_of << 32 | b_of, return_counts=True)
+    return a[keys >> 32], b[keys & 0xFFFFFFFF], n
+
+
+TOKENS = ("pos", "held_out", "codes", "rare")
+
+
+def dealt_tokens(rows: DataFrame, given: tuple) -> DataFrame:
+    """(bucket, size, doc, words): the tokens of a bucket with the words before them, packed."""
+    share = rows.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Deal(*share.value)
+        for words, context, _, bucket, docs in deal.chunks(batches):
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(deal.buckets + 1))
+            columns = [x[order] for x in (words, *context)]
+            docs, out = docs[order], []
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                here = slice(edges[b], edges[b + 1])
+                out.append((b, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), [_pack(x[here]) for x in columns]))
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "size", "doc", "words"]
+            )
+
+    return rows.select(*TOKENS).mapInArrow(run, "bucket int, size long, doc binary, words array<binary>")
+
+
+def wanted_facts(rows: DataFrame, given: tuple) -> DataFrame:
+    """(bucket, context, h): rare words of a bucket (context ROOT) and words after a heavy context, distinct per chunk."""
+    share = rows.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Deal(*share.value)
+        for words, _, heavy, bucket, _ in deal.chunks(batches):
+            hashes, bucket = deal.codes.hash(words), bucket.astype(np.int64)
+            for state in (np.where(deal.codes.frequent(words), -1, ROOT), *heavy):
+                here = np.flatnonzero(state >= 0)
+                if not len(here):
+                    continue
+                target, h, _ = _pairs(bucket[here] << 32 | state[here], hashes[here])
+                columns = [pa.array(target >> 32, pa.int32()), pa.array(target & 0xFFFFFFFF, pa.int32()), pa.array(h)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "context", "h"])
+
+    return rows.select(*TOKENS).mapInArrow(run, "bucket int, context int, h long")
+
+
+def words_after_heavy(rows: DataFrame, given: tuple) -> DataFrame:
+    """(context, h, n): how often a word follows a heavy context in the training texts."""
+    share = rows.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = Deal(*share.value)
+        for words, _, heavy, _, docs in deal.chunks(batches):
+            for state in heavy:
+                here = np.flatnonzero((state >= 0) & (docs & 1 == 1))
+                context, h, n = _pairs(state[here], deal.codes.hash(words[here]))
+                yield pa.RecordBatch.from_arrays([pa.array(context, pa.int32()), pa.array(h), pa.array(n.astype(np.int64))], ["context", "h", "n"])
+
+    return rows.select(*TOKENS).mapInArrow(run, "context int, h long, n long").groupBy("context", "h").agg(F.sum("n").alias("n"))
+
+
+def heavy_states(facts: DataFrame, counts: DataFrame, tree: SuffixTree, least: int, min_divergence: float) -> tuple[np.ndarray, ...]:
+    """By the number of a heavy context (ROOT first): its size, what it leaves to its parent, the parent's number, and whether it diverges enough.
+
+    ``facts`` are (context, h, n) of the contexts but ROOT, words seen ``least`` times.
+    """
+    spark, keys = facts.sparkSession, [x.keys for x in tree.levels]
+    sizes = np.concatenate([[0], tree.counts, *(x.counts for x in tree.levels)])
+    first = np.cumsum([ROOT + 1, len(tree.hashes), *map(len, keys)])
+    parents = np.zeros(len(sizes), np.int64)
+    for d, level in enumerate(keys):
+        # A context's parent drops its first word.
+        parents[first[d + 1] : first[d + 2]] = first[d] + _place(_symbols(level, keys[:d])[1:], keys[:d])
+    given = np.zeros(len(sizes))
+    for r in facts.groupBy("context").agg(F.sum(F.col("n") - 1).alias("n")).toPandas().itertuples():
+        given[r.context] = r.n
+    rest = 1 - given / np.maximum(sizes, 1)
+    known = spark.createDataFrame(
+        list(zip(range(len(sizes)), parents.tolist(), sizes.tolist(), rest.tolist(), strict=True)), "context int, parent int, size long, rest double"
+    )
+    facts = facts.join(F.broadcast(known), "context")
+    before = counts.select(F.lit(ROOT).alias("parent"), "h", ((F.col("n") + 1) / (tree.total + tree.distinct + 1)).alias("q"))
+    diverges = np.zeros(len(sizes), bool)
+    for d in range(len(first) - 1):
+        here = facts.where(F.col("context").between(int(first[d]), int(first[d + 1]) - 1)).join(before, ["parent", "h"])
+        here = here.withColumn("p", (F.col("n") - 1) / F.col("size") + F.col("rest") * F.col("q"))
+        here = stored(here.select("context", "h", "n", "p", "q"), "tree-heavy")
+        sums = here.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("inside"), F.sum("n").alias("n"))
+        inside, seen = np.zeros(len(sizes)), np.zeros(len(sizes))
+        for r in sums.toPandas().itertuples():
+            inside[r.context], seen[r.context] = r.inside, r.n
+        at = slice(first[d], first[d + 1])
+        diverges[at] = (inside[at] + (sizes[at] - seen[at]) * np.log(rest[at])) / sizes[at] >= min_divergence
+        before = here.select(F.col("context").alias("parent"), "h", F.col("p").alias("q"))
+    return sizes, rest, parents, diverges
+
+
+def _symbols(keys: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
+    """The words of keys of the level after ``levels``, first to last: a context is a place in the level before, at depth one a word."""
+    out = [keys & 0xFFFFFFFF]
+    state = keys >> 32
+    for level in reversed(levels):
+        here = level[state]
+        out.insert(0, here & 0xFFFFFFFF)
+        state = here >> 32
+    out.insert(0, state)
+    return out
+
+
+def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tuple) -> DataFrame:
+    """(pos, needs, part, logs, seen): what contexts add to the scores of documents, and the logarithms of one more than the counts of their rare words
+    (``seen`` words with any), in multiples of 2^-40.
+
+    A part that holds only if a heavy context is retained ``needs`` it (else ROOT). Rows without a ``pos`` name heavy contexts that longer ones retain.
+    """
+    share = tokens_.sparkSession.sparkContext.broadcast((given, model))
+
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        given, (sizes, rest_of, diverges, total, distinct, least, min_divergence) = share.value
+        deal = Deal(*given)
+        size, packed = dealt["size"].to_pylist(), dealt["words"].to_pylist()
+        docs = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x, n)) for x, n in zip(dealt["doc"].to_pylist(), size, strict=True))])
+        words, *context = (
+            np.concatenate([np.empty(0, np.int64), *(_unpack(x[i], n) for x, n in zip(packed, size, strict=True))]) for i in range(deal.depth + 1)
+        )
+        heavy, train = deal.heavy_contexts(context), docs & 1 == 1
+        distinct_words, word = _numbered(words)
+
+        # Facts by context and word.
+        place = find(distinct_words, deal.codes.of(answers["h"].to_numpy()))
+        fact = answers["context"].to_numpy().astype(np.int64) << 32 | place
+        order = np.argsort(fact)
+        fact, fact_n = fact[order], answers["n"].to_numpy()[order]
+
+        def told(contexts: np.ndarray, word: np.ndarray) -> np.ndarray:
+            at = find(fact, contexts << 32 | word)
+            return np.where(at >= 0, fact_n[at], 0) if len(fact_n) else np.zeros(len(word), np.int64)
+
+        rare = ~deal.codes.frequent(distinct_words)
+        count = np.where(rare, told(np.full(len(distinct_words), ROOT), np.arange(len(distinct_words))), deal.codes.count(distinct_words))
+        before = ((count + 1) / (total + distinct + 1))[word]
+        state, levels, live = np.zeros(len(word), np.int64), [], (count >= least)[word]
+        del words
+        for d in range(deal.depth):
+            here = _numbered(context[d])[1]
+            _, one, state = np.unique(state << 32 | here, return_index=True, return_inverse=True)
+            seen_before = np.bincount(state[train], minlength=len(one))
+            number = heavy[d][one]
+            light = (number < 0) & (context[d][one] != NONE) & (seen_before >= least)
+            context[d] = None
+            # A word that is rare after the shorter context is rare here.
+            live = np.flatnonzero(live & (light | (number >= 0))[state])
+            keys, first, key = np.unique(state[live] << 32 | word[live], return_index=True, return_inverse=True)
+            first, states, seen_before = live[first], keys >> 32, np.maximum(seen_before, 1)
+            n = np.bincount(key[train[live]], minlength=len(keys))
+            far = np.flatnonzero(number[states] >= 0)
+            n[far] = 0
+            counted = n >= least
+            shares = np.where(counted, (n - 1) / seen_before[states], 0.0)
+            rest = 1 - np.bincount(states, weights=shares, minlength=len(one))
+            gain = divergence(keys[counted], n[counted], seen_before, shares[counted], rest, before[first][counted])
+            # Of a heavy context only some tokens are here; the facts have them all.
+            n[far] = told(number[states[far]], word[first[far]])
+            shares[far] = np.where(n[far] >= least, (n[far] - 1) / sizes[number[states[far]]], 0.0)
+            rest = np.where(number >= 0, rest_of[np.maximum(number, 0)], rest)
+            after = np.where((light | (number >= 0))[state], rest[state] * before, before)
+            after[live] += shares[key]
+            known, live = live, np.zeros(len(word), bool)
+            live[known] = (n >= least)[key]
+            levels.append((state, number, light & (gain >= min_divergence), np.rint(np.log10(after / before) * UNIT).astype(np.int64)))
+            before = after
+
+        out = []
+        sure, longer = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        for state, number, kept, part in reversed(levels):
+            kept[state[longer]] = True
+            told_by = np.unique(number[state[longer]])
+            out.append((None, told_by[told_by >= 0]))
+            far = number[state]
+            known = kept[state] & (far < 0) | (far >= 0) & diverges[np.maximum(far, 0)]
+            sure += np.where(known, part, 0)
+            open_ = np.flatnonzero((far >= 0) & ~known & (part != 0))
+            out.append((docs[open_] >> 1, far[open_], part[open_]))
+            longer = kept[state] & (far < 0)
+        logs = np.where(rare, np.rint(np.log10(count + 1) * UNIT).astype(np.int64), 0)[word]
+        some = np.flatnonzero((sure != 0) | (logs != 0))
+        out.append((docs[some] >> 1, np.full(len(some), ROOT), sure[some], logs[some]))
+        return pa.concat_tables([_sums(*x) for x in out])
+
+    return tokens_.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, "pos long, needs int, part long, logs long, seen long")
+
+
+def _sums(pos: np.ndarray | None, needs: np.ndarray, part: np.ndarray | None = None, logs: np.ndarray | None = None) -> pa.Table:
+    """Parts and logarithms added up by document and needed context, with how many logarithms there are."""
+    if pos is None:
+        columns = [pa.nulls(len(needs), pa.int64()), pa.array(needs, pa.int32()), *[pa.nulls(len(needs), pa.int64())] * 3]
+    else:
+        order = np.lexsort((needs, pos))
+        logs = np.zeros(len(pos), np.int64) if logs is None else logs
+        pos, needs, values = pos[order], needs[order], [part[order], logs[order], (logs != 0).astype(np.int64)[order]]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(pos), 1), bool), (pos[1:] != pos[:-1]) | (needs[1:] != needs[:-1])]))
+        values = [np.add.reduceat(x, first) if len(first) else x for x in values]
+        columns = [pa.array(pos[first]), pa.array(needs[first], pa.int32()), *map(pa.array, values)]
+    return pa.Table.from_arrays(columns, ["pos", "needs", "part", "logs", "seen"])
+
+
+def context_parts(rows: DataFrame, counts: DataFrame, frequent: tuple, tree: SuffixTree, depth: int, least: int, min_divergence: float) -> DataFrame:
+    """(pos, part, logs, seen): what the retained contexts and the counts of rare words add to the scores of the coded ``rows``, as ``context_scores`` has it."""
+    n_tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    given = (frequent, (tree.hashes, [x.keys for x in tree.levels]), depth, max(1, -(-n_tokens // BUCKET)))
+    facts = counts.select(F.lit(ROOT).alias("context"), "h", "n")
+    if len(tree.hashes):
+        after = stored(words_after_heavy(rows, given).where(F.col("n") >= least), "tree-facts")
+        sizes, rest, parents, diverges = heavy_states(after, counts, tree, least, min_divergence)
+        facts = facts.union(after)
+    else:
+        sizes, rest, parents, diverges = np.zeros(1, np.int64), np.ones(1), np.zeros(1, np.int64), np.zeros(1, bool)
+
+    def with_parents(numbers) -> set[int]:
+        kept = set()
+        for c in numbers:
+            while c != ROOT and c not in kept:
+                kept.add(c)
+                c = int(parents[c])
+        return kept
+
+    for c in with_parents(np.flatnonzero(diverges).tolist()):
+        diverges[c] = True
+    wanted = wanted_facts(rows, given).join(facts, ["context", "h"])
+    model = (sizes, rest, diverges, tree.total, tree.distinct, least, min_divergence)
+    parts = stored(context_scores(dealt_tokens(rows, given), wanted, given, model), "tree-parts")
+    told = [r["needs"] for r in parts.where(F.col("pos").isNull()).select("needs").distinct().collect()]
+    kept = rows.sparkSession.createDataFrame([(c,) for c in sorted({ROOT, *with_parents(told)})], "needs int")
+    return parts.where(F.col("pos").isNotNull()).join(F.broadcast(kept), "needs").groupBy("pos").agg(*(F.sum(c).alias(c) for c in ("part", "logs", "seen")))
 
 
 def lm_scores(
@@ -342,7 +659,7 @@ def lm_scores(
     key: str = "doc_id",
     carry: list[str] | None = None,
     depth: int = DEPTH,
-    max_states: int = MAX_STATES,
+    max_states: int | None = None,
     min_divergence: float = MIN_DIVERGENCE,
     folds: int = FOLDS,
     held: int = HELD,
@@ -352,21 +669,23 @@ def lm_scores(
     Rows whose key's CRC-32 (null: of the empty text) modulo ``folds`` is ``held`` are scored but not learned from. A null or empty text is the end token alone.
     Repeated rows are learned from and scored each. With nothing to learn from every probability is that of an unseen word. An empty table gives
     no rows. Texts are read whole, of any length. Input columns named like a result column give way to it.
+
+    With ``max_states`` a context, and a word after it, counts only with a share of ``1 / max_states`` of the training tokens; without, whenever it was seen twice.
     """
     held_out = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == held
-    tree, rare = fit_tree(docs.where(~held_out).select(F.col(text)), depth, max_states, min_divergence)
+    tree, counts = fit_tree(docs.where(~held_out).select(F.col(text)), depth)
+    least = 2 if max_states is None else max(2, -(-tree.total // max_states))
+    frequent = frequent_words(counts, HEAVY)
     rows = docs.select(packed(docs, carry), held_out.alias("held_out"), F.col(text).alias("text"))
-    scored = score_texts(rows, F.col("text"), tree).drop("text").withColumn("pos", F.monotonically_increasing_id())
-    scored = stored(scored, "tree-scores")
-    wanted = scored.select("pos", F.explode("rare").alias("h"))
-    found = wanted.join(rare, "h", "left").groupBy("pos").agg(
-        F.sum(F.round(F.log10(F.coalesce("n", F.lit(0)) + 1) * UNIT).cast("long")).alias("logs"), F.count("n").alias("seen")
-    )
+    rows = coded_texts(rows, F.col("text"), frequent, tree.total, tree.distinct).drop("text").withColumn("pos", F.monotonically_increasing_id())
+    rows = stored(rows, "tree-codes")
+    parts = context_parts(rows, counts, frequent, tree, depth, least, min_divergence)
     zero = F.lit(0).cast("long")
-    others = F.coalesce("logs", zero) / UNIT - F.size("rare") * float(np.log10(tree.total + tree.distinct + 1))
-    out = scored.join(found, "pos", "left").select(
+    base = F.col("base") + F.coalesce("logs", zero) / UNIT - (F.col("n_tokens") - F.col("known")) * float(np.log10(tree.total + tree.distinct + 1))
+    scored = rows.select("row", "held_out", "n_tokens", "known", "base", "pos").join(parts, "pos", "left")
+    out = scored.select(
         "row", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", zero)).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + others).alias("base_score"), (F.col("score") + others).alias("score"),
+        base.alias("base_score"), (base + F.coalesce("part", zero) / UNIT).alias("score"),
     )
     return unpacked(out, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

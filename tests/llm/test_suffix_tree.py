@@ -144,3 +144,38 @@ def test_tokens():
     assert tokens("A É b\x85\x1cC\x0bd") == [b"a", "É b\x85\x1cc".encode(), b"d", END]
     assert tokens(None) == tokens("") == [END]
     assert -(1 << 63) <= word_hash(b"a") < 1 << 63
+
+
+def scores_as_brute(model, rows, out, leave=()):
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for key, text in rows:
+        if key not in leave:
+            line = words(text)
+            assert got[key]["n_known"] == sum(model.single[w] > 0 for w in line)
+            assert got[key]["base_score"] == pytest.approx(sum(math.log10(model.p((), w)) for w in line), abs=1e-6)
+            assert got[key]["score"] == pytest.approx(model.score(text), abs=1e-6)
+
+
+def test_contexts_rarer_than_a_share_of_the_tokens_count(docs_df):
+    """Of 2.3 million tokens a context that was seen twice still predicts."""
+    filler = range(9000, 37_000)
+    rows = corpus(9) + [(i, "filler " * 99) for i in filler]
+    held = lambda key: zlib.crc32(str(key).encode()) % 7 == 2
+    model = Brute([t for k, t in rows if not held(k)], 2, 1 << 40, 0.02)
+    assert model.least == 2 and model.total > 2 << 20
+    assert sum(n == 2 for c in model.kept for n in model.next[c].values()) > 10
+    scores_as_brute(model, rows, lm_scores(docs_df(rows)), leave=filler)
+
+
+@pytest.mark.parametrize(("depth", "gain"), [(1, 0.02), (2, 0.02), (2, 0.9), (3, 0.4), (3, -9.0)])
+def test_contexts_too_heavy_for_one_task(docs_df, monkeypatch, depth, gain):
+    """Dealt out, with what follows them from a table, they score the same; words without a short code, too."""
+    for name, value in (("HEAVY", 25), ("BUCKET", 150), ("FREQUENT", 9), ("GATHER", 700)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = corpus(10 + depth) + [(6000 + i, "w1 w2 w3 w4 " * 9) for i in range(12)] + EDGES
+    held = lambda key: zlib.crc32(("" if key is None else str(key)).encode()) % 7 == 2
+    model = Brute([t for k, t in rows if not held(k)], depth, 1 << 40, gain)
+    tree, _ = fit_tree(docs_df([(k, t) for k, t in rows if not held(k)]).select("text"), depth)
+    assert len(tree.hashes) > 9 and len(tree.levels) == depth - 1 and all(len(x.keys) for x in tree.levels)
+    scores_as_brute(model, rows, lm_scores(docs_df(rows).repartition(3), depth=depth, min_divergence=gain))
