@@ -31,8 +31,8 @@ DEPTH = 2
 # Words with a short code, which are broadcast.
 FREQUENT = 1 << 20
 # Tokens that meet in one task, about, and those of a context that is dealt out to several.
-BUCKET = 1 << 20
-HEAVY = BUCKET // 2
+BUCKET = 3 << 18
+HEAVY = BUCKET
 # Nats a word by which a state must diverge from its parent.
 MIN_DIVERGENCE = 0.02
 FOLDS, HELD = 7, 2
@@ -586,8 +586,9 @@ def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tu
             after[live] += shares[key]
             known, live = live, np.zeros(len(word), bool)
             live[known] = (n >= least)[key]
-            levels.append((state, number, light & (gain >= min_divergence), np.rint(np.log10(after / before) * UNIT).astype(np.int64)))
+            levels.append((state.astype(np.int32), number, light & (gain >= min_divergence), np.rint(np.log10(after / before) * UNIT).astype(np.int64)))
             before = after
+            del here, keys, first, key, states, shares, known, after
 
         out = []
         sure, longer = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
