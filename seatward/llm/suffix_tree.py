@@ -21,11 +21,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seatward.llm.common import documents, packed, query, stored, unpacked
-from seatward.llm.texts import PIECE, map_texts
+from seatward.llm.texts import PIECE
 
 DEPTH = 2
 # Words with a short code, which are broadcast.
@@ -45,6 +48,8 @@ END = b" "
 NONE, ROOT = -(1 << 63), 0
 # Logarithms are added up as multiples of 2^-40, so that no order of addition shows.
 UNIT = float(1 << 40)
+# The document of what is told of contexts, and to how many groups that goes.
+NOBODY, SHARES = -1, 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -93,33 +98,107 @@ class Words:
         return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+def chunked_texts(df: DataFrame) -> DataFrame:
+    """Texts as numbers, many documents a row, so that later passes need not split them again: ``df`` has the columns row (any struct), held_out and text.
+
+    A chunk has its documents' rows, held_out and sizes in tokens, the tokens as numbers (packed) of its distinct words, whose hashes follow, and the number ``pos`` of
+    its first document; the others follow in order. A chunk ends at ``GATHER`` tokens or ``MEMORY`` words.
+    """
+    schema = T.StructType.fromDDL("held_out array<boolean>, sizes array<int>, ids binary, hashes binary, pos long")
+    schema = T.StructType([T.StructField("rows", T.ArrayType(df.schema["row"].dataType)), *schema.fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos = TaskContext.get().partitionId() << 40
+        words = Words(np.empty(0, np.int64))
+        rows, held, sizes, ids, size = [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in map(pa.concat_arrays, (rows, held))]
+            numbers = _pack(np.concatenate(ids).astype(np.int32))
+            columns = [*lists, pa.array([sizes], pa.list_(pa.int32())), pa.array([numbers]), pa.array([words.hashes.tobytes()]), pa.array([pos])]
+            return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types.types, strict=True)], types.names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                row, held_out, text = batch.slice(at, PIECE).columns
+                lists = list(map(tokens, text.to_pylist()))
+                ids.append(words.ids(list(chain.from_iterable(lists))))
+                rows.append(row)
+                held.append(held_out)
+                sizes += map(len, lists)
+                size += len(ids[-1])
+                if size >= GATHER or words.full():
+                    yield out()
+                    pos += len(sizes)
+                    words.clear()
+                    rows, held, sizes, ids, size = [], [], [], [], 0
+        if rows:
+            yield out()
+
+    return df.select("row", "held_out", "text").mapInArrow(run, schema)
+
+
+class Chunk:
+    """One row of ``chunked_texts``, without its documents' rows: hashes of its words, their numbers by token, sizes and first tokens of documents, which are learned from, and ``pos``."""
+
+    def __init__(self, held_out: pa.Scalar, sizes: pa.Scalar, ids: pa.Scalar, hashes: pa.Scalar, pos: pa.Scalar):
+        self.sizes = sizes.values.to_numpy()
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.train = ~held_out.values.to_numpy(zero_copy_only=False)
+        self.hashes = np.frombuffer(hashes.as_py(), np.int64)
+        self.ids = _unpack(ids.as_py(), int(self.sizes.sum()), np.int32)
+        self.pos = pos.as_py()
+
+    def learned(self) -> np.ndarray:
+        """Whether each token is learned from."""
+        return np.repeat(self.train, self.sizes)
+
+
+CHUNK = ("held_out", "sizes", "ids", "hashes", "pos")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
-        for at in range(0, batch.num_rows, PIECE):
-            yield batch.column(0).slice(at, PIECE).to_pylist()
+        for i in range(batch.num_rows):
+            yield Chunk(*(batch.column(name)[i] for name in CHUNK))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n): how often each token is in the texts (one text column). Tasks count first; only their sums shuffle."""
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(h, n, seen): how often each token is in the texts learned from, and in all. Tasks count first; their sums shuffle packed, by the first bits of the hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(np.empty(0, np.int64)), np.empty(0, np.int64)
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.hashes), pa.array(held)], ["h", "n"])
-
-        for piece in _pieces(batches):
-            ids = words.ids(list(chain.from_iterable(map(tokens, piece))))
-            more = np.bincount(ids, minlength=len(words.number)).astype(np.int64)
-            more[: len(held)] += held
-            held = more
-            if words.full():
+            h, *sums = _counted(*map(np.concatenate, zip(*held, strict=True)))
+            edges = np.searchsorted(h >> 54, np.arange(-512, 513))
+            cuts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+            return _packed_rows([(c, [np.diff(h[at], prepend=0), *(x[at] for x in sums)]) for c, at in cuts], "share").to_batches()[0]
+
+        for chunk in _chunks(batches):
+            seen = np.bincount(chunk.ids, minlength=len(chunk.hashes))
+            held.append((chunk.hashes, np.bincount(chunk.ids[chunk.learned()], minlength=len(chunk.hashes)), seen))
+            size += len(chunk.hashes)
+            if size > GATHER:
                 yield out()
-                words.clear()
-                held = np.empty(0, np.int64)
-        yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def add(table: pa.Table) -> pa.Table:
+        h, n, seen = _unpacked_rows(table, differences=0)
+        return pa.Table.from_arrays([pa.array(x) for x in _counted(h, n, seen)], ["h", "n", "seen"])
+
+    return chunks.select(*CHUNK).mapInArrow(count, PACKED.format("share")).groupBy("share").applyInArrow(add, "h long, n long, seen long")
+
 
-    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def _counted(h: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct hashes in order, with the sums of their counts."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+    return [h[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in counts)]
 
 
 def walk(levels: list[np.ndarray], words: np.ndarray, starts: np.ndarray, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,40 +226,32 @@ def walk(levels: list[np.ndarray], words: np.ndarray, starts: np.ndarray, first:
         state[starts] = -1
 
 
-def _starts(sizes: list[int]) -> np.ndarray:
-    return np.cumsum([0, *sizes[:-1]]) if sizes else np.empty(0, np.int64)
-
-
-def next_word_counts(texts: DataFrame, hashes: np.ndarray, levels: list[np.ndarray]) -> DataFrame:
+def next_word_counts(chunks: DataFrame, hashes: np.ndarray, levels: list[np.ndarray]) -> DataFrame:
     """(key, n) at the level after ``levels``: frequent states with the frequent words after them. A key can only be frequent where its suffix is."""
-    share = texts.sparkSession.sparkContext.broadcast((hashes, levels))  # frequent ones only
+    share = chunks.sparkSession.sparkContext.broadcast((hashes, levels))  # frequent ones only
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = share.value
-        words, first = Words(table), find(table, np.array([word_hash(END)]))[0]
+        first = find(table, np.array([word_hash(END)]))[0]
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        for piece in _pieces(batches):
-            lists = list(map(tokens, piece))
-            ids = words.ids(list(chain.from_iterable(lists)))
-            places = words.places[ids]
-            for state, found in walk(known, places, _starts([len(x) for x in lists]), first):
+        for chunk in _chunks(batches):
+            places = find(table, chunk.hashes)[chunk.ids]
+            for state, found in walk(known, places, chunk.starts, first):
                 pass
-            here = (state >= 0) & (found >= 0)
+            here = (state >= 0) & (found >= 0) & chunk.learned()
             held.append((state[here] << 32) | places[here])
             size += len(held[-1])
             if size > GATHER:
                 yield out()
                 held, size = [], 0
-            if words.full():
-                words.clear()
         yield out()
 
-    return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return chunks.select(*CHUNK).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counts: DataFrame, column: str, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,18 +293,25 @@ class SuffixTree:
 
 
 def fit_tree(texts: DataFrame, depth: int = DEPTH, max_states: int | None = None) -> tuple[SuffixTree, DataFrame]:
-    """The contexts of up to ``depth`` words with ``HEAVY`` tokens or more (or a share of ``1 / max_states`` of all), and the stored counts (h, n) of all words.
+    """The contexts of up to ``depth`` words with ``HEAVY`` tokens or more (or a share of ``1 / max_states`` of all), and the stored counts (h, n, seen) of all words.
 
     ``texts`` has the one text column.
     """
-    counts = stored(word_counts(texts), "tree-words")
+    rows = texts.select(F.struct(F.lit(True).alias("one")).alias("row"), F.lit(False).alias("held_out"), F.col(texts.columns[0]).alias("text"))
+    return fit_chunks(stored(chunked_texts(rows), "tree-codes"), depth, max_states)
+
+
+def fit_chunks(chunks: DataFrame, depth: int = DEPTH, max_states: int | None = None) -> tuple[SuffixTree, DataFrame]:
+    """``fit_tree`` of the documents in the chunks that are not held out."""
+    words = stored(word_counts(chunks), "tree-words")
+    counts = words.where(F.col("n") > 0)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = HEAVY if max_states is None else max(2, -(-total // max_states))
     hashes, n_words = _frequent(counts, "h", least)
     levels: list[Level] = []
     while len(levels) < depth - 1 and len(levels[-1].keys if levels else hashes):
-        levels.append(Level(*_frequent(next_word_counts(texts, hashes, [x.keys for x in levels]), "key", least)))
-    return SuffixTree(hashes, n_words, levels, total, distinct), counts
+        levels.append(Level(*_frequent(next_word_counts(chunks, hashes, [x.keys for x in levels]), "key", least)))
+    return SuffixTree(hashes, n_words, levels, total, distinct), words
 
 
 def _place(words: list[np.ndarray], levels: list[np.ndarray]) -> np.ndarray:
@@ -285,35 +363,25 @@ def frequent_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], n[order]
 
 
-def coded_texts(df: DataFrame, text: Column, frequent: tuple, total: int, distinct: int) -> DataFrame:
-    """``df`` with n_tokens, known and base over the frequent tokens, the codes of the tokens (32 bits each, -1 for a rare one) and the hashes of the rare ones."""
-    share = df.sparkSession.sparkContext.broadcast(frequent)
+def documents_of(chunks: DataFrame, frequent: tuple, total: int, distinct: int) -> DataFrame:
+    """The documents of the chunks: row, held_out, pos, n_tokens, and ``known`` and ``base`` over the frequent tokens."""
+    share = chunks.sparkSession.sparkContext.broadcast(frequent)
+    schema = T.StructType([T.StructField("row", chunks.schema["rows"].dataType.elementType), *T.StructType.fromDDL("held_out boolean, pos long, n_tokens long, known long, base double").fields])
+    types = to_arrow_schema(schema)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(*share.value)
-        words = Words(codes.table)
-        logs = np.log10((codes.counts + 1) / (total + distinct + 1))
-
-        def compute(texts: list) -> list[tuple]:
-            if words.full():
-                words.clear()
-            lists = list(map(tokens, texts))
-            sizes = [len(x) for x in lists]
-            ids = words.ids(list(chain.from_iterable(lists)))
-            place, starts = words.places[ids], _starts(sizes)
-            known = place >= 0
-            code = np.where(known, codes.rank[place] if len(logs) else 0, -1).astype(np.int32)
-            base = np.where(known, logs[code] if len(logs) else 0.0, 0.0)
-            sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base)]
-            hashes, out = words.hashes[ids], []
-            for i, (at, size) in enumerate(zip(starts.tolist(), sizes, strict=True)):
-                here = slice(at, at + size)
-                out.append((size, int(sums[0][i]), float(sums[1][i]), code[here].tobytes(), hashes[here][~known[here]]))
-            return out
-
-        return compute
-
-    return map_texts(df, text, make, "n_tokens long, known long, base double, codes binary, rare array<long>")
+        for batch in batches:
+            for i, chunk in enumerate(_chunks([batch])):
+                code = codes.of(chunk.hashes)
+                known = codes.frequent(code)
+                logs = np.where(known, np.log10((codes.count(code) + 1) / (total + distinct + 1)), 0.0)
+                sums = [np.add.reduceat(x[chunk.ids], chunk.starts) for x in (known.astype(np.int64), logs)]
+                numbers = [chunk.pos + np.arange(len(chunk.sizes)), chunk.sizes.astype(np.int64), *sums]
+                columns = [batch.column("rows")[i].values, batch.column("held_out")[i].values, *map(pa.array, numbers)]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types.types, strict=True)], types.names)
+
+    return chunks.mapInArrow(run, schema)
 
 
 class Deal:
@@ -325,7 +393,7 @@ class Deal:
         # Heavy words are the first by rank.
         self.heavy = find(hashes, self.codes.hashes[: len(hashes)])
         self.offsets = np.cumsum([ROOT + 1, len(hashes), *(len(x) for x in self.levels)])
-        self.depth, self.buckets = depth, buckets
+        self.depth, self.buckets, self.shares = depth, buckets, -(-buckets // 4)
         self.end = self.codes.of(np.array([word_hash(END)]))[0]
 
     def contexts(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -361,30 +429,13 @@ class Deal:
             key = np.where(heavy[d] >= 0, _mix(key, np.where(longer == NONE, words, longer)), key)
         return ((key >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
 
-    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(words, contexts, heavy contexts, buckets, documents) of many tokens at a time; a document is ``pos`` << 1 | whether it is learned from."""
-        held, size = [], 0
-
-        def out():
-            words, sizes, docs = (np.concatenate([h[i] for h in held]) for i in range(3))
-            context = self.contexts(words, np.cumsum(sizes) - sizes)
-            heavy = self.heavy_contexts(context)
-            return words, context, heavy, self.bucket(words, context, heavy), np.repeat(docs, sizes)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, PIECE):
-                pos, held_out, codes, rare = batch.slice(at, PIECE).columns
-                codes = codes.to_pylist()
-                words = np.frombuffer(b"".join(codes), np.int32).astype(np.int64)
-                words[words < 0] = rare.flatten().to_numpy()
-                docs = pos.to_numpy() << 1 | ~held_out.to_numpy(zero_copy_only=False)
-                held.append((words, np.array([len(c) // 4 for c in codes]), docs))
-                size += len(words)
-                if size > GATHER:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+    def tokens(self, chunk: Chunk) -> tuple:
+        """(words, contexts, heavy contexts, buckets, documents) of a chunk's tokens; a document is ``pos`` << 1 | whether it is learned from."""
+        words = self.codes.of(chunk.hashes)[chunk.ids]
+        context = self.contexts(words, chunk.starts)
+        heavy = self.heavy_contexts(context)
+        docs = chunk.pos + np.arange(len(chunk.sizes)) << 1 | chunk.train
+        return words, context, heavy, self.bucket(words, context, heavy), np.repeat(docs, chunk.sizes)
 
 
 def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -394,13 +445,32 @@ def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, their first bytes together, then their second bytes and so on, compressed."""
-    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+    """Numbers, their first bytes together, then their second bytes and so on, compressed."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T), asbytes=True)
+
+
+def _unpack(packed: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.Codec("zstd").decompress(packed, size * width), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+PACKED = "{} long, size long, packed array<binary>"
+
 
+def _packed_rows(rows: list[tuple], name: str) -> pa.Table:
+    """(``name``, size, packed) of (number, columns of 64-bit numbers)."""
+    columns = [[c for c, _ in rows], [len(x[0]) for _, x in rows], [[_pack(np.ascontiguousarray(c, np.int64)) for c in x] for _, x in rows]]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.binary())]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [name, "size", "packed"])
 
-def _unpack(packed: bytes, size: int) -> np.ndarray:
-    flat = np.frombuffer(pa.Codec("zstd").decompress(packed, size * 8), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).reshape(-1)
+
+def _unpacked_rows(table: pa.Table, differences: int, width: int = 0) -> list[np.ndarray]:
+    """The columns (``width`` where there may be no rows) of packed rows one after the other; that numbered ``differences`` is packed as such."""
+    size, rows = table["size"].to_pylist(), table["packed"].to_pylist()
+    columns = [[_unpack(x, n) for x, n in zip(c, size, strict=True)] for c in zip(*rows, strict=True)] or [[np.empty(0, np.int64)] for _ in range(width)]
+    columns[differences] = [np.cumsum(x) for x in columns[differences]]
+    return [np.concatenate(c) for c in columns]
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -419,63 +489,104 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[keys >> 32], b[keys & 0xFFFFFFFF], n
 
 
-TOKENS = ("pos", "held_out", "codes", "rare")
-
-
-def dealt_tokens(rows: DataFrame, given: tuple) -> DataFrame:
-    """(bucket, size, doc, words): the tokens of a bucket with the words before them, packed."""
-    share = rows.sparkSession.sparkContext.broadcast(given)
+def dealt_tokens(chunks: DataFrame, given: tuple) -> DataFrame:
+    """(bucket, chunk, size, doc, words, n_last, last): the tokens of a chunk and bucket with the words before them, packed."""
+    share = chunks.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for words, context, _, bucket, docs in deal.chunks(batches):
+        for chunk in _chunks(batches):
+            words, context, _, bucket, docs = deal.tokens(chunk)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(deal.buckets + 1))
             columns = [x[order] for x in (words, *context)]
             docs, out = docs[order], []
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 here = slice(edges[b], edges[b + 1])
-                out.append((b, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), [_pack(x[here]) for x in columns]))
-            types = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+                # Few words stand last before the tokens of a bucket: those, and which of them.
+                last, which = _numbered(columns[1][here])
+                out.append((b, chunk.pos, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), [_pack(x[here]) for x in (columns[0], *columns[2:])], len(last), [_pack(np.diff(last, prepend=0)), _pack(which.astype(np.int32))]))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "size", "doc", "words"]
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "chunk", "size", "doc", "words", "n_last", "last"]
             )
 
-    return rows.select(*TOKENS).mapInArrow(run, "bucket int, size long, doc binary, words array<binary>")
+    return chunks.select(*CHUNK).mapInArrow(run, "bucket long, chunk long, size long, doc binary, words array<binary>, n_last long, last array<binary>")
 
 
-def wanted_facts(rows: DataFrame, given: tuple) -> DataFrame:
-    """(bucket, context, h): rare words of a bucket (context ROOT) and words after a heavy context, distinct per chunk."""
-    share = rows.sparkSession.sparkContext.broadcast(given)
+def wanted_facts(chunks: DataFrame, given: tuple) -> DataFrame:
+    """(share, size, packed): code, context and bucket of the rare words of a bucket (context ROOT) and of words after a heavy context, distinct per chunk."""
+    share = chunks.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for words, _, heavy, bucket, _ in deal.chunks(batches):
-            hashes, bucket = deal.codes.hash(words), bucket.astype(np.int64)
+        for chunk in _chunks(batches):
+            words, _, heavy, bucket, _ = deal.tokens(chunk)
+            bucket, out = bucket.astype(np.int64), []
             for state in (np.where(deal.codes.frequent(words), -1, ROOT), *heavy):
                 here = np.flatnonzero(state >= 0)
-                if not len(here):
-                    continue
-                target, h, _ = _pairs(bucket[here] << 32 | state[here], hashes[here])
-                columns = [pa.array(target >> 32, pa.int32()), pa.array(target & 0xFFFFFFFF, pa.int32()), pa.array(h)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "context", "h"])
-
-    return rows.select(*TOKENS).mapInArrow(run, "bucket int, context int, h long")
-
-
-def words_after_heavy(rows: DataFrame, given: tuple) -> DataFrame:
+                target, word, _ = _pairs(bucket[here] << 32 | state[here], words[here])
+                out.append((word, target & 0xFFFFFFFF, target >> 32))
+            word, context, bucket = map(np.concatenate, zip(*out, strict=True))
+            part = _share(context, deal.codes.hash(word), deal.shares)
+            order = np.lexsort((bucket, word, context, part))
+            edges = np.searchsorted(part[order], np.arange(deal.shares + 1))
+            cuts = [(c, order[edges[c] : edges[c + 1]]) for c in np.flatnonzero(np.diff(edges)).tolist()]
+            if cuts:
+                yield from _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], bucket[at]]) for c, at in cuts], "share").to_batches()
+
+    return chunks.select(*CHUNK).mapInArrow(run, PACKED.format("share"))
+
+
+def _share(context, h, shares: int):
+    """The task in which a word after a context is looked up; of arrays or of columns."""
+    if isinstance(h, np.ndarray):
+        return ((h >> 20) + context) % shares
+    return F.pmod(F.shiftright(h, 20) + context, F.lit(shares)).cast("long")
+
+
+def told_facts(wanted: DataFrame, facts: DataFrame, given: tuple) -> DataFrame:
+    """(bucket, size, packed): code, context and n of the ``facts`` (context, h, n) that each bucket wants."""
+    share = wanted.sparkSession.sparkContext.broadcast(given)
+
+    def run(asked: pa.Table, facts: pa.Table) -> pa.Table:
+        codes = Codes(*share.value[0])
+        word, context, bucket = _unpacked_rows(asked, differences=0, width=3)
+        distinct, word_no = _numbered(word)
+        place = find(distinct, codes.of(facts["h"].to_numpy()))
+        known = np.flatnonzero(place >= 0)
+        keys, n = facts["context"].to_numpy()[known].astype(np.int64) << 32 | place[known], facts["n"].to_numpy()[known]
+        order = np.argsort(keys)
+        at = find(keys[order], context << 32 | word_no)
+        found = np.flatnonzero(at >= 0)
+        # Once for each bucket.
+        bucket, at = bucket[found], at[found]
+        pairs = np.unique(bucket << 32 | at)
+        bucket, at = pairs >> 32, order[pairs & 0xFFFFFFFF]
+        columns = [distinct[keys[at] & 0xFFFFFFFF], keys[at] >> 32, n[at]]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(bucket), 1), bool), bucket[1:] != bucket[:-1]]))
+        cuts = [(int(bucket[i]), slice(i, j)) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=len(first) > 0)]
+        return _packed_rows([(b, [np.diff(columns[0][cut], prepend=0), *(x[cut] for x in columns[1:])]) for b, cut in cuts], "bucket")
+
+    shares = Deal(*given).shares
+    facts = facts.withColumn("share", _share(F.col("context"), F.col("h"), shares))
+    return wanted.groupBy("share").cogroup(facts.groupBy("share")).applyInArrow(run, PACKED.format("bucket"))
+
+
+def words_after_heavy(chunks: DataFrame, given: tuple) -> DataFrame:
     """(context, h, n): how often a word follows a heavy context in the training texts."""
-    share = rows.sparkSession.sparkContext.broadcast(given)
+    share = chunks.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for words, _, heavy, _, docs in deal.chunks(batches):
+        for chunk in _chunks(batches):
+            words, _, heavy, _, docs = deal.tokens(chunk)
             for state in heavy:
                 here = np.flatnonzero((state >= 0) & (docs & 1 == 1))
                 context, h, n = _pairs(state[here], deal.codes.hash(words[here]))
                 yield pa.RecordBatch.from_arrays([pa.array(context, pa.int32()), pa.array(h), pa.array(n.astype(np.int64))], ["context", "h", "n"])
 
-    return rows.select(*TOKENS).mapInArrow(run, "context int, h long, n long").groupBy("context", "h").agg(F.sum("n").alias("n"))
+    return chunks.select(*CHUNK).mapInArrow(run, "context int, h long, n long").groupBy("context", "h").agg(F.sum("n").alias("n"))
 
 
 def heavy_states(facts: DataFrame, counts: DataFrame, tree: SuffixTree, least: int, min_divergence: float) -> tuple[np.ndarray, ...]:
@@ -527,10 +638,10 @@ def _symbols(keys: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tuple) -> DataFrame:
-    """(pos, needs, part, logs, seen): what contexts add to the scores of documents, and the logarithms of one more than the counts of their rare words
-    (``seen`` words with any), in multiples of 2^-40.
+    """(chunk, size, packed): columns pos, needs, part, logs, seen of what contexts add to the scores of a chunk's documents, and the logarithms of one more than the
+    counts of their rare words (``seen`` words with any), in multiples of 2^-40.
 
-    A part that holds only if a heavy context is retained ``needs`` it (else ROOT). Rows without a ``pos`` name heavy contexts that longer ones retain.
+    A part that holds only if a heavy context is retained ``needs`` it (else ROOT). Rows of ``NOBODY`` name heavy contexts that longer ones retain; their chunks are negative.
     """
     share = tokens_.sparkSession.sparkContext.broadcast((given, model))
 
@@ -538,25 +649,32 @@ def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tu
         given, (sizes, rest_of, diverges, total, distinct, least, min_divergence) = share.value
         deal = Deal(*given)
         size, packed = dealt["size"].to_pylist(), dealt["words"].to_pylist()
+        chunks = np.unique(np.append(dealt["chunk"].to_numpy(), -1 - dealt["bucket"][0].as_py() % SHARES))
         docs = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x, n)) for x, n in zip(dealt["doc"].to_pylist(), size, strict=True))])
         words, *context = (
-            np.concatenate([np.empty(0, np.int64), *(_unpack(x[i], n) for x, n in zip(packed, size, strict=True))]) for i in range(deal.depth + 1)
+            np.concatenate([np.empty(0, np.int64), *(_unpack(x[i], n) for x, n in zip(packed, size, strict=True))]) for i in range(deal.depth)
         )
+        last = zip(dealt["last"].to_pylist(), dealt["n_last"].to_pylist(), size, strict=True)
+        context.insert(0, np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x[0], n))[_unpack(x[1], m, np.int32)] for x, n, m in last)]))
+        del packed
         heavy, train = deal.heavy_contexts(context), docs & 1 == 1
         distinct_words, word = _numbered(words)
 
         # Facts by context and word.
-        place = find(distinct_words, deal.codes.of(answers["h"].to_numpy()))
-        fact = answers["context"].to_numpy().astype(np.int64) << 32 | place
+        code, fact, fact_n = _unpacked_rows(answers, differences=0, width=3)
+        fact = fact << 32 | find(distinct_words, code)
         order = np.argsort(fact)
-        fact, fact_n = fact[order], answers["n"].to_numpy()[order]
+        fact, fact_n = fact[order], fact_n[order]
 
-        def told(contexts: np.ndarray, word: np.ndarray) -> np.ndarray:
+        def told(contexts: np.ndarray, word: np.ndarray, missing: np.ndarray | int = 0) -> np.ndarray:
             at = find(fact, contexts << 32 | word)
-            return np.where(at >= 0, fact_n[at], 0) if len(fact_n) else np.zeros(len(word), np.int64)
+            return np.where(at >= 0, fact_n[at], missing) if len(fact_n) else np.zeros(len(word), np.int64) + missing
 
         rare = ~deal.codes.frequent(distinct_words)
-        count = np.where(rare, told(np.full(len(distinct_words), ROOT), np.arange(len(distinct_words))), deal.codes.count(distinct_words))
+        # A rare word without a fact has no other token than this one.
+        alone = np.zeros(len(distinct_words), np.int64)
+        alone[word] = train
+        count = np.where(rare, told(np.full(len(distinct_words), ROOT), np.arange(len(distinct_words)), alone), deal.codes.count(distinct_words))
         before = ((count + 1) / (total + distinct + 1))[word]
         state, levels, live = np.zeros(len(word), np.int64), [], (count >= least)[word]
         del words
@@ -590,48 +708,65 @@ def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tu
             before = after
             del here, keys, first, key, states, shares, known, after
 
+        del heavy, context, before
         out = []
         sure, longer = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
         for state, number, kept, part in reversed(levels):
             kept[state[longer]] = True
             told_by = np.unique(number[state[longer]])
-            out.append((None, told_by[told_by >= 0]))
+            told_by = told_by[told_by >= 0]
+            nothing = np.zeros(len(told_by), np.int64)
+            out.append((nothing + NOBODY, told_by, nothing, nothing))
             far = number[state]
             known = kept[state] & (far < 0) | (far >= 0) & diverges[np.maximum(far, 0)]
             sure += np.where(known, part, 0)
             open_ = np.flatnonzero((far >= 0) & ~known & (part != 0))
-            out.append((docs[open_] >> 1, far[open_], part[open_]))
+            out.append((docs[open_] >> 1, far[open_], part[open_], np.zeros(len(open_), np.int64)))
             longer = kept[state] & (far < 0)
+        del levels, state, part, far, known, longer
         logs = np.where(rare, np.rint(np.log10(count + 1) * UNIT).astype(np.int64), 0)[word]
         some = np.flatnonzero((sure != 0) | (logs != 0))
         out.append((docs[some] >> 1, np.full(len(some), ROOT), sure[some], logs[some]))
-        return pa.concat_tables([_sums(*x) for x in out])
+        pos, needs, part, logs = map(np.concatenate, zip(*out, strict=True))
+        sums = _sums(pos, needs, part, logs, (logs != 0).astype(np.int64))
+        # Documents are numbered on from their chunk's number.
+        edges = np.append(np.searchsorted(sums[0], chunks), len(sums[0]))
+        cuts = [(c, slice(edges[i], edges[i + 1])) for i, c in enumerate(chunks.tolist()) if edges[i + 1] > edges[i]]
+        return _packed_rows([(c, [np.diff(sums[0][at], prepend=0), *(x[at] for x in sums[1:])]) for c, at in cuts], "chunk")
 
-    return tokens_.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, "pos long, needs int, part long, logs long, seen long")
+    return tokens_.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(run, PACKED.format("chunk"))
 
 
-def _sums(pos: np.ndarray | None, needs: np.ndarray, part: np.ndarray | None = None, logs: np.ndarray | None = None) -> pa.Table:
-    """Parts and logarithms added up by document and needed context, with how many logarithms there are."""
-    if pos is None:
-        columns = [pa.nulls(len(needs), pa.int64()), pa.array(needs, pa.int32()), *[pa.nulls(len(needs), pa.int64())] * 3]
-    else:
-        order = np.lexsort((needs, pos))
-        logs = np.zeros(len(pos), np.int64) if logs is None else logs
-        pos, needs, values = pos[order], needs[order], [part[order], logs[order], (logs != 0).astype(np.int64)[order]]
-        first = np.flatnonzero(np.concatenate([np.ones(min(len(pos), 1), bool), (pos[1:] != pos[:-1]) | (needs[1:] != needs[:-1])]))
-        values = [np.add.reduceat(x, first) if len(first) else x for x in values]
-        columns = [pa.array(pos[first]), pa.array(needs[first], pa.int32()), *map(pa.array, values)]
-    return pa.Table.from_arrays(columns, ["pos", "needs", "part", "logs", "seen"])
-
-
-def context_parts(rows: DataFrame, counts: DataFrame, frequent: tuple, tree: SuffixTree, depth: int, least: int, min_divergence: float) -> DataFrame:
-    """(pos, part, logs, seen): what the retained contexts and the counts of rare words add to the scores of the coded ``rows``, as ``context_scores`` has it."""
-    n_tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+def sums_by_document(packed_: DataFrame) -> DataFrame:
+    """(pos, needs, part, logs, seen): the packed sums of all tasks added up."""
+
+    def add(table: pa.Table) -> pa.Table:
+        out = _sums(*_unpacked_rows(table, differences=0))
+        return pa.Table.from_arrays([pa.array(x).cast(t) for x, t in zip(out, types.types, strict=True)], types.names)
+
+    schema = T.StructType.fromDDL("pos long, needs int, part long, logs long, seen long")
+    types = to_arrow_schema(schema)
+    return packed_.groupBy("chunk").applyInArrow(add, schema)
+
+
+def _sums(pos: np.ndarray, needs: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct documents and needed contexts, in order, with the sums of the other columns."""
+    order = np.lexsort((needs, pos))
+    pos, needs = pos[order], needs[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(pos), 1), bool), (pos[1:] != pos[:-1]) | (needs[1:] != needs[:-1])]))
+    return [pos[first], needs[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in values)]
+
+
+def context_parts(
+    chunks: DataFrame, n_tokens: int, counts: DataFrame, frequent: tuple, tree: SuffixTree, depth: int, least: int, min_divergence: float
+) -> DataFrame:
+    """(pos, part, logs, seen): what the retained contexts and the counts of rare words add to the scores of the documents in the chunks, as ``context_scores`` has it."""
     given = (frequent, (tree.hashes, [x.keys for x in tree.levels]), depth, max(1, -(-n_tokens // BUCKET)))
-    facts = counts.select(F.lit(ROOT).alias("context"), "h", "n")
+    # A rare word that was seen once in all tells its count itself.
+    facts = counts.where(F.col("seen") > 1).select(F.lit(ROOT).alias("context"), "h", "n")
     if len(tree.hashes):
-        after = stored(words_after_heavy(rows, given).where(F.col("n") >= least), "tree-facts")
-        sizes, rest, parents, diverges = heavy_states(after, counts, tree, least, min_divergence)
+        after = stored(words_after_heavy(chunks, given).where(F.col("n") >= least), "tree-facts")
+        sizes, rest, parents, diverges = heavy_states(after, counts.where(F.col("n") > 0), tree, least, min_divergence)
         facts = facts.union(after)
     else:
         sizes, rest, parents, diverges = np.zeros(1, np.int64), np.ones(1), np.zeros(1, np.int64), np.zeros(1, bool)
@@ -646,12 +781,12 @@ def context_parts(rows: DataFrame, counts: DataFrame, frequent: tuple, tree: Suf
 
     for c in with_parents(np.flatnonzero(diverges).tolist()):
         diverges[c] = True
-    wanted = wanted_facts(rows, given).join(facts, ["context", "h"])
+    wanted = told_facts(wanted_facts(chunks, given), facts, given)
     model = (sizes, rest, diverges, tree.total, tree.distinct, least, min_divergence)
-    parts = stored(context_scores(dealt_tokens(rows, given), wanted, given, model), "tree-parts")
-    told = [r["needs"] for r in parts.where(F.col("pos").isNull()).select("needs").distinct().collect()]
-    kept = rows.sparkSession.createDataFrame([(c,) for c in sorted({ROOT, *with_parents(told)})], "needs int")
-    return parts.where(F.col("pos").isNotNull()).join(F.broadcast(kept), "needs").groupBy("pos").agg(*(F.sum(c).alias(c) for c in ("part", "logs", "seen")))
+    parts = stored(sums_by_document(context_scores(dealt_tokens(chunks, given), wanted, given, model)), "tree-parts")
+    told = [r["needs"] for r in parts.where(F.col("pos") == NOBODY).select("needs").distinct().collect()]
+    kept = chunks.sparkSession.createDataFrame([(c,) for c in sorted({ROOT, *with_parents(told)})], "needs int")
+    return parts.where(F.col("pos") != NOBODY).join(F.broadcast(kept), "needs").groupBy("pos").agg(*(F.sum(c).alias(c) for c in ("part", "logs", "seen")))
 
 
 def lm_scores(
@@ -674,13 +809,14 @@ def lm_scores(
     With ``max_states`` a context, and a word after it, counts only with a share of ``1 / max_states`` of the training tokens; without, whenever it was seen twice.
     """
     held_out = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == held
-    tree, counts = fit_tree(docs.where(~held_out).select(F.col(text)), depth)
-    least = 2 if max_states is None else max(2, -(-tree.total // max_states))
-    frequent = frequent_words(counts, HEAVY)
     rows = docs.select(packed(docs, carry), held_out.alias("held_out"), F.col(text).alias("text"))
-    rows = coded_texts(rows, F.col("text"), frequent, tree.total, tree.distinct).drop("text").withColumn("pos", F.monotonically_increasing_id())
-    rows = stored(rows, "tree-codes")
-    parts = context_parts(rows, counts, frequent, tree, depth, least, min_divergence)
+    chunks = stored(chunked_texts(rows), "tree-codes")
+    tree, words = fit_chunks(chunks, depth)
+    least = 2 if max_states is None else max(2, -(-tree.total // max_states))
+    frequent = frequent_words(words.where(F.col("n") > 0), HEAVY)
+    n_tokens = chunks.select(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()[0]
+    parts = context_parts(chunks, n_tokens, words, frequent, tree, depth, least, min_divergence)
+    rows = documents_of(chunks, frequent, tree.total, tree.distinct)
     zero = F.lit(0).cast("long")
     base = F.col("base") + F.coalesce("logs", zero) / UNIT - (F.col("n_tokens") - F.col("known")) * float(np.log10(tree.total + tree.distinct + 1))
     scored = rows.select("row", "held_out", "n_tokens", "known", "base", "pos").join(parts, "pos", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seatward.llm import suffix_tree
-from seatward.llm.suffix_tree import END, fit_tree, lm_scores, tokens, word_hash
+from seatward.llm.suffix_tree import END, chunked_texts, dealt_tokens, fit_chunks, fit_tree, frequent_words, lm_scores, tokens, wanted_facts, word_hash
 
 
 def words(text):
@@ -179,3 +179,17 @@ def test_contexts_too_heavy_for_one_task(docs_df, monkeypatch, depth, gain):
     tree, _ = fit_tree(docs_df([(k, t) for k, t in rows if not held(k)]).select("text"), depth)
     assert len(tree.hashes) > 9 and len(tree.levels) == depth - 1 and all(len(x.keys) for x in tree.levels)
     scores_as_brute(model, rows, lm_scores(docs_df(rows).repartition(3), depth=depth, min_divergence=gain))
+
+
+def test_what_tasks_ask_for_travels_packed(docs_df, monkeypatch):
+    """One row for each chunk of texts and each task that answers, not one for each word after a heavy context."""
+    for name, value in (("HEAVY", 25), ("FREQUENT", 9), ("GATHER", 700)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = docs_df(corpus(14)).select(F.struct("doc_id").alias("row"), F.lit(False).alias("held_out"), "text")
+    chunks = chunked_texts(rows.coalesce(2)).cache()
+    tree, words = fit_chunks(chunks)
+    given = (frequent_words(words, 25), (tree.hashes, [x.keys for x in tree.levels]), 2, 12)
+    asked, n_chunks = wanted_facts(chunks, given).agg(F.count("*").alias("rows"), F.sum("size").alias("asks")).first(), chunks.count()
+    assert 1 < n_chunks and 0 < asked["rows"] <= 3 * n_chunks and asked["asks"] > 10 * asked["rows"]
+    dealt = dealt_tokens(chunks, given).agg(F.count("*").alias("rows"), F.sum("size").alias("tokens")).first()
+    assert dealt["rows"] <= 12 * n_chunks and dealt["tokens"] == tree.total
