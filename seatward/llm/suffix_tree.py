@@ -574,25 +574,39 @@ def told_facts(wanted: DataFrame, facts: DataFrame, given: tuple) -> DataFrame:
 
 
 def words_after_heavy(chunks: DataFrame, given: tuple) -> DataFrame:
-    """(context, h, n): how often a word follows a heavy context in the training texts."""
+    """(context, h, n): how often a word follows a heavy context in the training texts. Chunks count first; their sums shuffle packed."""
     share = chunks.sparkSession.sparkContext.broadcast(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
         for chunk in _chunks(batches):
             words, _, heavy, _, docs = deal.tokens(chunk)
+            learned = docs & 1 == 1
+            counted = []
             for state in heavy:
-                here = np.flatnonzero((state >= 0) & (docs & 1 == 1))
-                context, h, n = _pairs(state[here], deal.codes.hash(words[here]))
-                yield pa.RecordBatch.from_arrays([pa.array(context, pa.int32()), pa.array(h), pa.array(n.astype(np.int64))], ["context", "h", "n"])
+                here = np.flatnonzero((state >= 0) & learned)
+                counted.append(_pairs(state[here], words[here]))
+            context, word, n = map(np.concatenate, zip(*counted, strict=True))
+            part = _share(context, deal.codes.hash(word), deal.shares)
+            order = np.lexsort((word, context, part))
+            edges = np.searchsorted(part[order], np.arange(deal.shares + 1))
+            cuts = [(c, order[edges[c] : edges[c + 1]]) for c in np.flatnonzero(np.diff(edges)).tolist()]
+            if cuts:
+                yield from _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], n[at]]) for c, at in cuts], "share").to_batches()
+
+    def add(table: pa.Table) -> pa.Table:
+        codes = Codes(*share.value[0])
+        word, context, n = _sums(*_unpacked_rows(table, differences=0))
+        return pa.Table.from_arrays([pa.array(context, pa.int32()), pa.array(codes.hash(word)), pa.array(n)], ["context", "h", "n"])
 
-    return chunks.select(*CHUNK).mapInArrow(run, "context int, h long, n long").groupBy("context", "h").agg(F.sum("n").alias("n"))
+    packed_ = chunks.select(*CHUNK).mapInArrow(run, PACKED.format("share"))
+    return packed_.groupBy("share").applyInArrow(add, "context int, h long, n long")
 
 
 def heavy_states(facts: DataFrame, counts: DataFrame, tree: SuffixTree, least: int, min_divergence: float) -> tuple[np.ndarray, ...]:
     """By the number of a heavy context (ROOT first): its size, what it leaves to its parent, the parent's number, and whether it diverges enough.
 
-    ``facts`` are (context, h, n) of the contexts but ROOT, words seen ``least`` times.
+    ``facts`` are (context, h, n) of the contexts but ROOT, words seen ``least`` times; ``counts`` (h, n) has the words seen as often.
     """
     spark, keys = facts.sparkSession, [x.keys for x in tree.levels]
     sizes = np.concatenate([[0], tree.counts, *(x.counts for x in tree.levels)])
@@ -750,7 +764,7 @@ def sums_by_document(packed_: DataFrame) -> DataFrame:
 
 
 def _sums(pos: np.ndarray, needs: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct documents and needed contexts, in order, with the sums of the other columns."""
+    """Distinct pairs of the first two columns (documents and needed contexts), in order, with the sums of the others."""
     order = np.lexsort((needs, pos))
     pos, needs = pos[order], needs[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(len(pos), 1), bool), (pos[1:] != pos[:-1]) | (needs[1:] != needs[:-1])]))
@@ -766,7 +780,7 @@ def context_parts(
     facts = counts.where(F.col("seen") > 1).select(F.lit(ROOT).alias("context"), "h", "n")
     if len(tree.hashes):
         after = stored(words_after_heavy(chunks, given).where(F.col("n") >= least), "tree-facts")
-        sizes, rest, parents, diverges = heavy_states(after, counts.where(F.col("n") > 0), tree, least, min_divergence)
+        sizes, rest, parents, diverges = heavy_states(after, counts.where(F.col("n") >= least), tree, least, min_divergence)
         facts = facts.union(after)
     else:
         sizes, rest, parents, diverges = np.zeros(1, np.int64), np.ones(1), np.zeros(1, np.int64), np.zeros(1, bool)
