@@ -39,7 +39,7 @@ HEAVY = BUCKET
 # Nats a word by which a state must diverge from its parent.
 MIN_DIVERGENCE = 0.02
 FOLDS, HELD = 7, 2
-# Distinct words a task remembers, and context-word pairs it gathers before it counts them.
+# Distinct words at which a chunk of texts ends; tokens at which it ends, and numbers a task gathers before it counts them.
 MEMORY = 200_000
 GATHER = 1 << 20
 # The end token; no word has a blank.
@@ -366,7 +366,8 @@ def frequent_words(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarra
 def documents_of(chunks: DataFrame, frequent: tuple, total: int, distinct: int) -> DataFrame:
     """The documents of the chunks: row, held_out, pos, n_tokens, and ``known`` and ``base`` over the frequent tokens."""
     share = chunks.sparkSession.sparkContext.broadcast(frequent)
-    schema = T.StructType([T.StructField("row", chunks.schema["rows"].dataType.elementType), *T.StructType.fromDDL("held_out boolean, pos long, n_tokens long, known long, base double").fields])
+    schema = T.StructType.fromDDL("held_out boolean, pos long, n_tokens long, known long, base double")
+    schema = T.StructType([T.StructField("row", chunks.schema["rows"].dataType.elementType), *schema.fields])
     types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,7 +506,9 @@ def dealt_tokens(chunks: DataFrame, given: tuple) -> DataFrame:
                 here = slice(edges[b], edges[b + 1])
                 # Few words stand last before the tokens of a bucket: those, and which of them.
                 last, which = _numbered(columns[1][here])
-                out.append((b, chunk.pos, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), [_pack(x[here]) for x in (columns[0], *columns[2:])], len(last), [_pack(np.diff(last, prepend=0)), _pack(which.astype(np.int32))]))
+                others = [_pack(x[here]) for x in (columns[0], *columns[2:])]
+                lasts = [_pack(np.diff(last, prepend=0)), _pack(which.astype(np.int32))]
+                out.append((b, chunk.pos, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), others, len(last), lasts))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "chunk", "size", "doc", "words", "n_last", "last"]
