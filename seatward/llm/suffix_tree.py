@@ -36,6 +36,8 @@ FREQUENT = 1 << 20
 # Tokens that meet in one task, about, and those of a context that is dealt out to several.
 BUCKET = 3 << 18
 HEAVY = BUCKET
+# Tokens that a task works on at once, about; a light context is not cut.
+GROUP = 1 << 17
 # Nats a word by which a state must diverge from its parent.
 MIN_DIVERGENCE = 0.02
 FOLDS, HELD = 7, 2
@@ -318,7 +320,10 @@ def _place(words: list[np.ndarray], levels: list[np.ndarray]) -> np.ndarray:
     """The context that ``words`` in a row are: the place of a word, or of their key; -1 for none."""
     state = words[0]
     for level, word in zip(levels, words[1:], strict=False):
-        state = np.where((state >= 0) & (word >= 0), find(level, (np.maximum(state, 0) << 32) | np.maximum(word, 0)), -1)
+        known = np.flatnonzero((state >= 0) & (word >= 0))
+        found = np.full(len(state), -1, state.dtype)
+        found[known] = find(level, state[known].astype(np.int64) << 32 | word[known])
+        state = found
     return state
 
 
@@ -328,7 +333,7 @@ class Codes:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         """``hashes`` and ``counts`` of the frequent words, the most frequent first."""
         self.hashes, self.counts = hashes, counts
-        self.rank = np.argsort(hashes)
+        self.rank = np.argsort(hashes).astype(np.int32)
         self.table = hashes[self.rank]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -395,48 +400,65 @@ class Deal:
         self.heavy = find(hashes, self.codes.hashes[: len(hashes)])
         self.offsets = np.cumsum([ROOT + 1, len(hashes), *(len(x) for x in self.levels)])
         self.depth, self.buckets, self.shares = depth, buckets, -(-buckets // 4)
-        self.end = self.codes.of(np.array([word_hash(END)]))[0]
 
-    def contexts(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """The words one, two, ... before each token."""
-        out, last = [], words
+    def heavy_contexts(self, places: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length the number of the heavy context before a token, -1 where it is not heavy; ``places`` are those of the words one, two, ... before."""
+        out = []
         for d in range(self.depth):
-            here = np.empty_like(words)
-            here[1:] = last[:-1]
-            here[starts] = NONE if d else self.end
-            out.append(here)
-            last = here
+            state = _place(places[d::-1], self.levels[:d]) if d <= len(self.levels) else np.full(len(places[0]), -1, np.int32)
+            out.append(np.where(state >= 0, state + np.int32(self.offsets[min(d, len(self.levels))]), np.int32(-1)))
         return out
 
-    def heavy_contexts(self, context: list[np.ndarray]) -> list[np.ndarray]:
-        """For each length the number of the heavy context before a token, -1 where it is not heavy."""
-        if not len(self.heavy):
-            return [np.full(len(c), -1, np.int64) for c in context]
-        places = []
-        for c in context:
-            known = (c >= 0) & (c < len(self.heavy))
-            places.append(np.where(known, self.heavy[np.where(known, c, 0)], -1))
-        out = []
-        for d in range(self.depth):
-            state = _place(places[d::-1], self.levels[:d]) if d <= len(self.levels) else np.full(len(places[0]), -1, np.int64)
-            out.append(np.where(state >= 0, state + self.offsets[min(d, len(self.levels))], -1))
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Of words, given by code, among the heavy ones; -1 for others."""
+        out = np.full(len(words), -1, np.int32)
+        known = np.flatnonzero((words >= 0) & (words < len(self.heavy)))
+        out[known] = self.heavy[words[known]]
         return out
 
-    def bucket(self, words: np.ndarray, context: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
-        """By the shortest context that is not heavy; where all are, by the longest and the word."""
+    def keys(self, words: np.ndarray, context: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
+        """Hashes of the shortest context that is not heavy; where all are, of the longest and the word. The upper halves tell the bucket, the lower ones the group in it."""
         key = _mix(np.zeros(len(words), np.uint64), context[0])
         for d in range(self.depth):
             longer = context[d + 1] if d + 1 < self.depth else words
             key = np.where(heavy[d] >= 0, _mix(key, np.where(longer == NONE, words, longer)), key)
-        return ((key >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
+        return key
 
     def tokens(self, chunk: Chunk) -> tuple:
-        """(words, contexts, heavy contexts, buckets, documents) of a chunk's tokens; a document is ``pos`` << 1 | whether it is learned from."""
-        words = self.codes.of(chunk.hashes)[chunk.ids]
-        context = self.contexts(words, chunk.starts)
-        heavy = self.heavy_contexts(context)
-        docs = chunk.pos + np.arange(len(chunk.sizes)) << 1 | chunk.train
-        return words, context, heavy, self.bucket(words, context, heavy), np.repeat(docs, chunk.sizes)
+        """(codes, words, contexts, heavy contexts, buckets) of a chunk's tokens. Words are numbers in the chunk, by which ``codes`` has their codes; -1, the last, is none."""
+        codes, words = np.append(self.codes.of(chunk.hashes), NONE), chunk.ids
+        context, last = [], words
+        for d in range(self.depth):
+            here = np.empty_like(words)
+            here[1:] = last[:-1]
+            # Documents end with the end token.
+            here[chunk.starts] = -1 if d else words[chunk.sizes[0] - 1]
+            context.append(here)
+            last = here
+        place = self.places(codes)
+        heavy = self.heavy_contexts([place[c] for c in context])
+        bucket = np.empty(len(words), np.uint16 if self.buckets <= 1 << 16 else np.int64)
+        for at in _slices(len(words)):
+            key = self.keys(codes[words[at]], [codes[c[at]] for c in context], [h[at] for h in heavy])
+            bucket[at] = (key >> np.uint64(32)) % np.uint64(self.buckets)
+        return codes, words, context, heavy, bucket
+
+
+def _taken(items: list) -> Iterator:
+    """The items, each out of the list, so that it can go when it is done with."""
+    while items:
+        yield items.pop(0)
+
+
+def _slices(size: int) -> Iterator[slice]:
+    """``GROUP`` rows each."""
+    return (slice(at, at + GROUP) for at in range(0, size, GROUP))
+
+
+def _runs(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their ``numbers``, and where each number below ``most`` begins, with the end."""
+    order = np.argsort(numbers, kind="stable")
+    return order, np.append(np.searchsorted(numbers[order], np.arange(most, dtype=numbers.dtype)), len(order))
 
 
 def _mix(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -483,11 +505,18 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], place[codes]
 
 
-def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of two columns, with how often each occurs."""
-    (a, a_of), (b, b_of) = _numbered(first), _numbered(second)
-    keys, n = np.unique(a_of << 32 | b_of, return_counts=True)
-    return a[keys >> 32], b[keys & 0xFFFFFFFF], n
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    return np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]])
+
+
+def _classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct key, in the order of the keys, and the place of each row's key among them."""
+    order = np.argsort(keys)
+    first = _firsts(keys[order])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
+    return order[first], place
 
 
 def dealt_tokens(chunks: DataFrame, given: tuple) -> DataFrame:
@@ -496,24 +525,28 @@ def dealt_tokens(chunks: DataFrame, given: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for chunk in _chunks(batches):
-            words, context, _, bucket, docs = deal.tokens(chunk)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(deal.buckets + 1))
-            columns = [x[order] for x in (words, *context)]
-            docs, out = docs[order], []
+
+        def dealt(chunk: Chunk) -> pa.RecordBatch:
+            codes, words, context, _, bucket = deal.tokens(chunk)
+            docs = chunk.pos + np.arange(len(chunk.sizes)) << 1 | chunk.train
+            doc = np.repeat(np.arange(len(docs), dtype=np.int32), chunk.sizes)
+            order, edges = _runs(bucket, deal.buckets)
+            out = []
             for b in np.flatnonzero(np.diff(edges)).tolist():
-                here = slice(edges[b], edges[b + 1])
+                here = order[edges[b] : edges[b + 1]]
                 # Few words stand last before the tokens of a bucket: those, and which of them.
-                last, which = _numbered(columns[1][here])
-                others = [_pack(x[here]) for x in (columns[0], *columns[2:])]
+                last, which = _numbered(codes[context[0][here]])
+                others = [_pack(codes[x[here]]) for x in (words, *context[1:])]
                 lasts = [_pack(np.diff(last, prepend=0)), _pack(which.astype(np.int32))]
-                out.append((b, chunk.pos, edges[b + 1] - edges[b], _pack(np.diff(docs[here], prepend=0)), others, len(last), lasts))
+                out.append((b, chunk.pos, len(here), _pack(np.diff(docs[doc[here]], prepend=0)), others, len(last), lasts))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "chunk", "size", "doc", "words", "n_last", "last"]
             )
 
+        # What was made of a chunk is gone before the next one.
+        yield from map(dealt, _chunks(batches))
+
     return chunks.select(*CHUNK).mapInArrow(run, "bucket long, chunk long, size long, doc binary, words array<binary>, n_last long, last array<binary>")
 
 
@@ -523,20 +556,33 @@ def wanted_facts(chunks: DataFrame, given: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for chunk in _chunks(batches):
-            words, _, heavy, bucket, _ = deal.tokens(chunk)
-            bucket, out = bucket.astype(np.int64), []
-            for state in (np.where(deal.codes.frequent(words), -1, ROOT), *heavy):
-                here = np.flatnonzero(state >= 0)
-                target, word, _ = _pairs(bucket[here] << 32 | state[here], words[here])
-                out.append((word, target & 0xFFFFFFFF, target >> 32))
+
+        def asked(chunk: Chunk) -> list[pa.RecordBatch]:
+            codes, words, _, heavy, bucket = deal.tokens(chunk)
+            rare, out = ~deal.codes.frequent(codes), []
+            order, edges = _runs(bucket, deal.buckets)
+            # Whole buckets, so that what is distinct in a slice is so in the chunk.
+            cuts = np.unique(np.append(edges[np.searchsorted(edges, np.arange(0, len(order), GROUP))], len(order)))
+            for cut in map(slice, cuts[:-1].tolist(), cuts[1:].tolist()):
+                for state in (None, *heavy):
+                    here = order[cut]
+                    here = here[rare[words[here]] if state is None else state[here] >= 0]
+                    target = bucket[here].astype(np.int64) << 32 | (ROOT if state is None else state[here])
+                    target, which = _numbered(target)
+                    pairs = np.sort(which << 32 | words[here])
+                    pairs = pairs[_firsts(pairs)]
+                    target = target[pairs >> 32]
+                    out.append((codes[pairs & 0xFFFFFFFF], (target & 0xFFFFFFFF).astype(np.int32), (target >> 32).astype(np.int32)))
+            del heavy, bucket, order
             word, context, bucket = map(np.concatenate, zip(*out, strict=True))
+            del out
             part = _share(context, deal.codes.hash(word), deal.shares)
             order = np.lexsort((bucket, word, context, part))
             edges = np.searchsorted(part[order], np.arange(deal.shares + 1))
             cuts = [(c, order[edges[c] : edges[c + 1]]) for c in np.flatnonzero(np.diff(edges)).tolist()]
-            if cuts:
-                yield from _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], bucket[at]]) for c, at in cuts], "share").to_batches()
+            return _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], bucket[at]]) for c, at in cuts], "share").to_batches() if cuts else []
+
+        yield from chain.from_iterable(map(asked, _chunks(batches)))
 
     return chunks.select(*CHUNK).mapInArrow(run, PACKED.format("share"))
 
@@ -582,20 +628,22 @@ def words_after_heavy(chunks: DataFrame, given: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Deal(*share.value)
-        for chunk in _chunks(batches):
-            words, _, heavy, _, docs = deal.tokens(chunk)
-            learned = docs & 1 == 1
-            counted = []
+
+        def counted(chunk: Chunk) -> list[pa.RecordBatch]:
+            codes, words, _, heavy, _ = deal.tokens(chunk)
+            learned, found = chunk.learned(), []
             for state in heavy:
                 here = np.flatnonzero((state >= 0) & learned)
-                counted.append(_pairs(state[here], words[here]))
-            context, word, n = map(np.concatenate, zip(*counted, strict=True))
+                pairs, n = np.unique(state[here].astype(np.int64) << 32 | words[here], return_counts=True)
+                found.append((pairs >> 32, codes[pairs & 0xFFFFFFFF], n))
+            context, word, n = map(np.concatenate, zip(*found, strict=True))
             part = _share(context, deal.codes.hash(word), deal.shares)
             order = np.lexsort((word, context, part))
             edges = np.searchsorted(part[order], np.arange(deal.shares + 1))
             cuts = [(c, order[edges[c] : edges[c + 1]]) for c in np.flatnonzero(np.diff(edges)).tolist()]
-            if cuts:
-                yield from _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], n[at]]) for c, at in cuts], "share").to_batches()
+            return _packed_rows([(c, [np.diff(word[at], prepend=0), context[at], n[at]]) for c, at in cuts], "share").to_batches() if cuts else []
+
+        yield from chain.from_iterable(map(counted, _chunks(batches)))
 
     def add(table: pa.Table) -> pa.Table:
         codes = Codes(*share.value[0])
@@ -673,9 +721,12 @@ def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tu
         )
         last = zip(dealt["last"].to_pylist(), dealt["n_last"].to_pylist(), size, strict=True)
         context.insert(0, np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(x[0], n))[_unpack(x[1], m, np.int32)] for x, n, m in last)]))
-        del packed
-        heavy, train = deal.heavy_contexts(context), docs & 1 == 1
+        del packed, last
+        codes, context = map(list, zip(*((codes, x.astype(np.int32)) for codes, x in map(_numbered, _taken(context))), strict=True))
         distinct_words, word = _numbered(words)
+        word = word.astype(np.int32)
+        del words
+        places = [deal.places(c) for c in codes]
 
         # Facts by context and word.
         code, fact, fact_n = _unpacked_rows(answers, differences=0, width=3)
@@ -684,68 +735,91 @@ def context_scores(tokens_: DataFrame, facts: DataFrame, given: tuple, model: tu
         fact, fact_n = fact[order], fact_n[order]
 
         def told(contexts: np.ndarray, word: np.ndarray, missing: np.ndarray | int = 0) -> np.ndarray:
-            at = find(fact, contexts << 32 | word)
+            at = find(fact, contexts.astype(np.int64) << 32 | word)
             return np.where(at >= 0, fact_n[at], missing) if len(fact_n) else np.zeros(len(word), np.int64) + missing
 
         rare = ~deal.codes.frequent(distinct_words)
         # A rare word without a fact has no other token than this one.
         alone = np.zeros(len(distinct_words), np.int64)
-        alone[word] = train
+        alone[word] = docs & 1
         count = np.where(rare, told(np.full(len(distinct_words), ROOT), np.arange(len(distinct_words)), alone), deal.codes.count(distinct_words))
-        before = ((count + 1) / (total + distinct + 1))[word]
-        state, levels, live = np.zeros(len(word), np.int64), [], (count >= least)[word]
-        del words
-        for d in range(deal.depth):
-            here = _numbered(context[d])[1]
-            _, one, state = np.unique(state << 32 | here, return_index=True, return_inverse=True)
-            seen_before = np.bincount(state[train], minlength=len(one))
-            number = heavy[d][one]
-            light = (number < 0) & (context[d][one] != NONE) & (seen_before >= least)
-            context[d] = None
-            # A word that is rare after the shorter context is rare here.
-            live = np.flatnonzero(live & (light | (number >= 0))[state])
-            keys, first, key = np.unique(state[live] << 32 | word[live], return_index=True, return_inverse=True)
-            first, states, seen_before = live[first], keys >> 32, np.maximum(seen_before, 1)
-            n = np.bincount(key[train[live]], minlength=len(keys))
-            far = np.flatnonzero(number[states] >= 0)
-            n[far] = 0
-            counted = n >= least
-            shares = np.where(counted, (n - 1) / seen_before[states], 0.0)
-            rest = 1 - np.bincount(states, weights=shares, minlength=len(one))
-            gain = divergence(keys[counted], n[counted], seen_before, shares[counted], rest, before[first][counted])
-            # Of a heavy context only some tokens are here; the facts have them all.
-            n[far] = told(number[states[far]], word[first[far]])
-            shares[far] = np.where(n[far] >= least, (n[far] - 1) / sizes[number[states[far]]], 0.0)
-            rest = np.where(number >= 0, rest_of[np.maximum(number, 0)], rest)
-            after = np.where((light | (number >= 0))[state], rest[state] * before, before)
-            after[live] += shares[key]
-            known, live = live, np.zeros(len(word), bool)
-            live[known] = (n >= least)[key]
-            levels.append((state.astype(np.int32), number, light & (gain >= min_divergence), np.rint(np.log10(after / before) * UNIT).astype(np.int64)))
-            before = after
-            del here, keys, first, key, states, shares, known, after
-
-        del heavy, context, before
-        out = []
-        sure, longer = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-        for state, number, kept, part in reversed(levels):
-            kept[state[longer]] = True
-            told_by = np.unique(number[state[longer]])
-            told_by = told_by[told_by >= 0]
-            nothing = np.zeros(len(told_by), np.int64)
-            out.append((nothing + NOBODY, told_by, nothing, nothing))
-            far = number[state]
-            known = kept[state] & (far < 0) | (far >= 0) & diverges[np.maximum(far, 0)]
-            sure += np.where(known, part, 0)
-            open_ = np.flatnonzero((far >= 0) & ~known & (part != 0))
-            out.append((docs[open_] >> 1, far[open_], part[open_], np.zeros(len(open_), np.int64)))
-            longer = kept[state] & (far < 0)
-        del levels, state, part, far, known, longer
-        logs = np.where(rare, np.rint(np.log10(count + 1) * UNIT).astype(np.int64), 0)[word]
-        some = np.flatnonzero((sure != 0) | (logs != 0))
-        out.append((docs[some] >> 1, np.full(len(some), ROOT), sure[some], logs[some]))
-        pos, needs, part, logs = map(np.concatenate, zip(*out, strict=True))
-        sums = _sums(pos, needs, part, logs, (logs != 0).astype(np.int64))
+        logs = np.where(rare, np.rint(np.log10(count + 1) * UNIT).astype(np.int64), 0)
+        del code, alone, rare
+
+        def scored(docs: np.ndarray, word: np.ndarray, context: list[np.ndarray]) -> list[np.ndarray]:
+            """Columns pos, needs, part, logs of some tokens, all of each light context among them. Contexts are numbers of words, as ``codes`` has them."""
+            heavy = deal.heavy_contexts([p[c] for p, c in zip(places, context, strict=True)])
+            train, state, levels = docs & 1 == 1, np.zeros(len(word), np.int32), []
+            before, live = ((count + 1) / (total + distinct + 1))[word], (count >= least)[word]
+            for d in range(deal.depth):
+                one, state = _classes(state.astype(np.int64) << 32 | context[d])
+                seen_before = np.bincount(state[train], minlength=len(one))
+                number = heavy[d][one]
+                light = (number < 0) & (codes[d][context[d][one]] != NONE) & (seen_before >= least)
+                context[d] = heavy[d] = None
+                # A word that is rare after the shorter context is rare here.
+                live = np.flatnonzero(live & (light | (number >= 0))[state])
+                keys = state[live].astype(np.int64) << 32 | word[live]
+                first, key = _classes(keys)
+                keys, first, seen_before = keys[first], live[first], np.maximum(seen_before, 1)
+                states, n = keys >> 32, np.bincount(key[train[live]], minlength=len(keys))
+                far = np.flatnonzero(number[states] >= 0)
+                n[far] = 0
+                counted = n >= least
+                shares = np.where(counted, (n - 1) / seen_before[states], 0.0)
+                rest = 1 - np.bincount(states, weights=shares, minlength=len(one))
+                gain = divergence(keys[counted], n[counted], seen_before, shares[counted], rest, before[first][counted])
+                # Of a heavy context only some tokens are here; the facts have them all.
+                n[far] = told(number[states[far]], word[first[far]])
+                shares[far] = np.where(n[far] >= least, (n[far] - 1) / sizes[number[states[far]]], 0.0)
+                rest = np.where(number >= 0, rest_of[np.maximum(number, 0)], rest)
+                after = np.where((light | (number >= 0))[state], rest[state] * before, before)
+                after[live] += shares[key]
+                known, live = live, np.zeros(len(word), bool)
+                live[known] = (n >= least)[key]
+                levels.append((state, number, light & (gain >= min_divergence), np.rint(np.log10(after / before) * UNIT).astype(np.int64)))
+                before = after
+            del before, after, keys, key, first, states, n, shares, known, live, train
+            out = []
+            sure, longer = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+            while levels:
+                state, number, kept, part = levels.pop()
+                kept[state[longer]] = True
+                told_by = np.unique(number[state[longer]])
+                told_by = told_by[told_by >= 0]
+                nothing = np.zeros(len(told_by), np.int64)
+                out.append((nothing + NOBODY, told_by, nothing, nothing))
+                far = number[state]
+                known = kept[state] & (far < 0) | (far >= 0) & diverges[np.maximum(far, 0)]
+                sure += np.where(known, part, 0)
+                open_ = np.flatnonzero((far >= 0) & ~known & (part != 0))
+                out.append((docs[open_] >> 1, far[open_], part[open_], np.zeros(len(open_), np.int64)))
+                longer = kept[state] & (far < 0)
+            own = logs[word]
+            some = np.flatnonzero((sure != 0) | (own != 0))
+            out.append((docs[some] >> 1, np.full(len(some), ROOT), sure[some], own[some]))
+            return [np.concatenate(x) for x in _taken(list(zip(*out, strict=True)))]
+
+        def seen(pos: np.ndarray, needs: np.ndarray, part: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+            return _sums(pos, needs.astype(np.int32), part, own, (own != 0).astype(np.int32))
+
+        groups = max(1, -(-len(word) // GROUP))
+        group = np.empty(len(word), np.uint16 if groups <= 1 << 16 else np.int64)
+        for at in _slices(len(word)):
+            near = [c[at] for c in context]
+            heavy = deal.heavy_contexts([p[c] for p, c in zip(places, near, strict=True)])
+            key = deal.keys(distinct_words[word[at]], [c[x] for c, x in zip(codes, near, strict=True)], heavy)
+            group[at] = (key & np.uint64(0xFFFFFFFF)) % np.uint64(groups)
+        del near, heavy, key
+        order, edges = _runs(group, groups)
+        del group
+        out = [[np.empty(0, np.int64) for _ in range(5)]]
+        for at in (order[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            out.append(seen(*scored(docs[at], word[at], [c[at] for c in context])))
+        del docs, word, context, order, at
+        columns = list(zip(*out, strict=True))
+        del out
+        sums = _sums(*[np.concatenate(x) for x in _taken(columns)])
         # Documents are numbered on from their chunk's number.
         edges = np.append(np.searchsorted(sums[0], chunks), len(sums[0]))
         cuts = [(c, slice(edges[i], edges[i + 1])) for i, c in enumerate(chunks.tolist()) if edges[i + 1] > edges[i]]

@@ -1,14 +1,21 @@
+import gc
 import math
 import random
 import re
+import tracemalloc
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from seatward.llm import suffix_tree
-from seatward.llm.suffix_tree import END, chunked_texts, dealt_tokens, fit_chunks, fit_tree, frequent_words, lm_scores, tokens, wanted_facts, word_hash
+from seatward.llm.suffix_tree import (
+    END, chunked_texts, context_scores, dealt_tokens, fit_chunks, fit_tree, frequent_words, lm_scores, tokens, wanted_facts, word_hash,
+)
 
 
 def words(text):
@@ -193,3 +200,61 @@ def test_what_tasks_ask_for_travels_packed(docs_df, monkeypatch):
     assert 1 < n_chunks and 0 < asked["rows"] <= 3 * n_chunks and asked["asks"] > 10 * asked["rows"]
     dealt = dealt_tokens(chunks, given).agg(F.count("*").alias("rows"), F.sum("size").alias("tokens")).first()
     assert dealt["rows"] <= 12 * n_chunks and dealt["tokens"] == tree.total
+
+
+class Here:
+    """Stands for a table: hands back the function given to Spark, to run it here."""
+
+    def __init__(self, *columns):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = cogroup = select
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+    applyInArrow = mapInArrow  # noqa: N815
+
+
+def test_memory_of_a_task(spark, docs_df, monkeypatch):
+    """What a task holds at once, in bytes a token: one chunk's tokens while they are dealt, a bucket's while they are scored."""
+    for name, value in (("HEAVY", 30_000), ("GATHER", 1 << 17), ("GROUP", 1 << 13), ("PIECE", 64)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 4000)}" for _ in range(500))) for i in range(800)]
+    rows = docs_df(texts).select(F.struct("doc_id").alias("row"), F.lit(False).alias("held_out"), "text")
+    chunks = chunked_texts(rows.coalesce(1)).cache()
+    tree, counted = fit_chunks(chunks)
+    given = (frequent_words(counted, 30_000), (tree.hashes, [x.keys for x in tree.levels]), 2, 2)
+    batches = [chunks.toArrow().combine_chunks().to_batches()[0]]
+    size = max(map(sum, batches[0]["sizes"].to_pylist()))
+    assert len(tree.hashes) == 3 and batches[0].num_rows > 2
+
+    def peak(work):
+        gc.collect()
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(lambda: deque(dealt_tokens(Here(), given)(iter(batches)), 0)) < 85 * size
+    assert peak(lambda: deque(wanted_facts(Here(), given)(iter(batches)), 0)) < 75 * size
+    wanted = pa.Table.from_batches(wanted_facts(Here(), given)(iter(batches)))
+    assert wanted.num_rows
+    dealt = pa.Table.from_batches(dealt_tokens(Here(), given)(iter(batches)))
+    bucket = dealt.filter(pc.equal(dealt["bucket"], 0))
+    nothing = suffix_tree._packed_rows([], "bucket")
+    n = 1 + sum(map(len, [tree.hashes, *(x.keys for x in tree.levels)]))
+    model = (np.full(n, 30_000), np.full(n, 0.5), np.ones(n, bool), tree.total, tree.distinct, 2, 0.02)
+    tokens_ = pc.sum(bucket["size"]).as_py()
+    assert tokens_ > 1 << 17
+    assert peak(lambda: context_scores(Here(), Here(), given, model)(bucket, nothing)) < 105 * tokens_
