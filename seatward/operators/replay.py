@@ -18,13 +18,14 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from seatward.functions.dims import HOLD, interval
 from seatward.functions.text import norm_email
 from seatward.operators.ordered import group_sizes, rank_rows
-from seatward.session import pin, shared_dir
+from seatward.session import shared_dir
 
 SLICE_ROWS = 250_000
 
@@ -268,42 +269,84 @@ def prepare_log(log: DataFrame, cap: DataFrame, payers: DataFrame) -> DataFrame:
     )
 
 
-def _reach(
-    rows: DataFrame, gone: DataFrame, part: DataFrame, hold: timedelta, hold_from: str, sizes: tuple[int, int], max_group_rows: int | None
-) -> DataFrame:
-    """Rows a slice can read or change: of the live ``rows``, and of the cancelled ones in ``gone`` those it names.
+# Rows of a pool's log that are counted together where the heads of its queue are looked for.
+BLOCK = 4096
+# Between the rounds a pool's name is never null, so that plain joins find its rows.
+NAMED, PLAIN = "CASE WHEN pool IS NULL THEN '' ELSE '=' || pool END", "CASE WHEN pool <> '' THEN substring(pool, 2) END"
+
+
+class _Folder:
+    """The tables of one replay in the shared folder.
 
-    ``sizes`` bounds the rows of a pool, and with them those of an e-mail in it.
+    What a round hands on is written and read again, not checkpointed: a checkpoint keeps the size that the planner guessed for it, joins multiply such guesses,
+    and so they double in length with every round.
     """
-    cols = rows.columns
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema: StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def remove(self, name: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _wanted(log: DataFrame) -> DataFrame:
+    """How many of an e-mail's newest live rows a round can touch (``_want``), for the e-mails that its commands mean."""
+    keys = ["_round", "pool", "email"]
+    cancels = F.col("kind") == "cancel"
+    commands = log.filter(~F.col("kind").isin(*CREATIONS))
+    by_mail = commands.filter("target IS NULL") if "target" in log.columns else commands
+    # A command takes the newest live row of its e-mail, so c cancellations reach c + 1 rows.
+    wanted = by_mail.groupBy(*keys).agg((F.count_if(cancels) + 1).alias("_want"))
+    if "target" not in log.columns:
+        return wanted
+    # Rows that are cancelled by id no longer stand before older rows of their e-mail.
+    hit = commands.filter(cancels & F.col("target").isNotNull()).select("_round", "pool", F.col("target").cast("long").alias("id")).distinct()
+    made = log.filter(F.col("kind").isin(*CREATIONS)).select("pool", F.col("seq").alias("id"), "email")
+    also = hit.join(made, ["pool", "id"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_also"))
+    return wanted.join(also, keys, "left").select(*keys, (F.col("_want") + F.coalesce("_also", F.lit(0))).alias("_want"))
+
+
+def _pools(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Per pool of a slice: when it begins, how many rows wait, and the block up to which its cancellations and promotions can empty the queue."""
     takes = F.col("kind").isin("cancel", "promote")
-    pools = part.groupBy("pool").agg(F.min("ts").alias("_from"), F.count_if(takes).alias("_cancels"))
-    start = F.coalesce("promoted_at", "created_at") if hold_from == "promoted_at" else F.col("created_at")
-    active = (
-        rows.filter((F.col("payment_status") == "pending") & ~F.col("is_waitlist"))
-        .join(pools, "pool")
-        .filter(start > F.col("_from") - interval(hold))
+    pools = part.groupBy("pool").agg(F.min("ts").alias("_from"), F.count_if(takes).alias("_takes"))
+    line = rows.filter("is_waitlist AND payment_status <> 'cancelled'").groupBy("pool", F.floor(F.col("n") / BLOCK).alias("_block")).count()
+    before = Window.partitionBy("pool").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    return (
+        pools.join(line, "pool", "left")
+        .groupBy("pool", "_from")
+        .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("waiting"), F.max(F.when(F.col("_before") < F.col("_takes"), F.col("_block"))).alias("_upto"))
     )
-    commands = part.filter(~F.col("kind").isin(*CREATIONS))
-    named = None
+
+
+def _marked(
+    rows: DataFrame, part: DataFrame, pools: DataFrame, wanted: DataFrame, hold: timedelta, hold_from: str, sizes: tuple[int, int], max_group_rows: int | None
+) -> DataFrame:
+    """``rows`` with ``_reached``: whether the slice can read or change the row. ``sizes`` bounds the rows of an e-mail in a pool."""
+    cols = rows.columns
+    live = F.col("payment_status") != "cancelled"
+    start = F.coalesce("promoted_at", "created_at") if hold_from == "promoted_at" else F.col("created_at")
+    active = (F.col("payment_status") == "pending") & ~F.col("is_waitlist") & (start > F.col("_from") - interval(hold))
+    heads = F.col("is_waitlist") & live & (F.floor(F.col("n") / BLOCK) <= F.col("_upto"))
+    known = rows.join(pools.drop("waiting"), "pool", "left").join(wanted, ["pool", "email"], "left")
+    known = known.withColumns({"_gone": ~live, "_back": -F.col("n")})
+    known = rank_rows(known, ["pool", "email"], ["_gone", "_back"], "_r", max_group_rows, sizes)
+    reached = active | heads | (live & (F.col("_r") <= F.col("_want")))
     if "target" in part.columns:
-        ids = commands.filter("target IS NOT NULL").groupBy("pool", F.col("target").cast("long").alias("id")).agg(F.count_if(F.col("kind") == "cancel").alias("_hits"))
-        named = rows.unionByName(gone).join(ids, ["pool", "id"])
-        commands = commands.filter("target IS NULL")
-    wanted = commands.groupBy("pool", "email").agg(F.count_if(F.col("kind") == "cancel").alias("_mine"))
-    if named is not None:
-        # Rows that are cancelled by id no longer stand before older rows of their e-mail.
-        by_id = named.filter("_hits > 0").groupBy("pool", "email").agg(F.count(F.lit(1)).alias("_also"))
-        wanted = wanted.join(by_id, ["pool", "email"], "left").select("pool", "email", (F.col("_mine") + F.coalesce("_also", F.lit(0))).alias("_mine"))
-    # A command takes the newest live row of its e-mail, so c cancellations reach c + 1 rows.
-    mine = rows.join(wanted, ["pool", "email"]).withColumn("_back", -F.col("n"))
-    mine = rank_rows(mine, ["pool", "email"], ["_back"], "_r", max_group_rows, sizes).filter("_r <= _mine + 1")
-    queue = rows.filter("is_waitlist").join(pools.filter("_cancels > 0"), "pool")
-    heads = rank_rows(queue, ["pool"], ["n"], "_r", max_group_rows, sizes).filter("_r <= _cancels")
-    reached = active.select(cols).unionByName(mine.select(cols)).unionByName(heads.select(cols))
-    if named is not None:
-        reached = reached.unionByName(named.select(cols))
-    return reached.dropDuplicates(["pool", "n"])
+        ids = part.filter("target IS NOT NULL").select("pool", F.col("target").cast("long").alias("id")).distinct()
+        known = known.join(ids.withColumn("_named", F.lit(True)), ["pool", "id"], "left")
+        reached = reached | F.col("_named")
+    return known.select(*cols, F.coalesce(reached, F.lit(False)).alias("_reached"))
 
 
 def _slices(ranked: DataFrame, slice_rows: int) -> str:
@@ -344,30 +387,40 @@ def replay_requests(
     rounds = max(1, math.ceil(sizes[0] / slice_rows))
     step = _step(int(hold.total_seconds() * 1_000_000), fair, hold_from == "promoted_at")
     spark = log.sparkSession
-    rows = spark.createDataFrame([], ROW_SCHEMA)
+    none = spark.createDataFrame([], ROW_SCHEMA)
     if rounds == 1:
         part = ranked.withColumn("waiting", F.lit(0).cast("long"))
-        out = part.groupBy("pool").cogroup(rows.groupBy("pool")).applyInPandas(step, STEP_SCHEMA)
+        out = part.groupBy("pool").cogroup(none.groupBy("pool")).applyInPandas(step, STEP_SCHEMA)
         return _decisions(out), _rows(out)
-    folder = _slices(ranked, slice_rows)
-    decisions, gone = None, rows
+    entries, by_id, shared = _slices(ranked.withColumn("pool", F.expr(NAMED)), slice_rows), "target" in log.columns, _Folder(spark)
+    whole = spark.read.schema(StructType([*ranked.schema, StructField("_round", IntegerType())])).parquet(entries)
+    wanted = shared.write(_wanted(whole).repartition("_round", "pool"), "wanted", "_round")
+    mail_sizes = group_sizes(whole.filter(F.col("kind").isin(*CREATIONS)), ["pool", "email"])
+    rows = none
     for k in range(rounds):
-        part = spark.read.schema(ranked.schema).parquet(f"{folder}/_round={k}")
-        waiting = rows.filter("is_waitlist").groupBy("pool").agg(F.count(F.lit(1)).alias("waiting"))
-        reach = _reach(rows, gone, part, hold, hold_from, sizes, max_group_rows)
-        part = part.join(waiting, "pool", "left").fillna(0, ["waiting"])
-        out = pin(part.groupBy("pool").cogroup(reach.groupBy("pool")).applyInPandas(step, STEP_SCHEMA))
-        changed = _rows(out)
-        decisions = _decisions(out) if decisions is None else decisions.unionByName(_decisions(out))
-        keys = changed.select("pool", "n")
-        # Cancelled rows leave the table that is carried on; by id alone they can be reached again.
-        done = F.col("payment_status") == "cancelled"
-        old = gone.join(keys, ["pool", "n"], "left_anti") if "target" in log.columns else gone
-        gone = old.unionByName(changed.filter(done))
-        rows = pin(rows.join(keys, ["pool", "n"], "left_anti").unionByName(changed.filter(~done)))
-        if "target" in log.columns and k % 8 == 7:
-            gone = pin(gone)
-    return decisions, rows.unionByName(gone)
+        part = whole.filter(F.col("_round") == k).drop("_round")
+        pools = shared.write(_pools(rows, part), f"pools/{k}")
+        held = _marked(rows, part, pools, wanted.filter(F.col("_round") == k).drop("_round"), hold, hold_from, mail_sizes, max_group_rows)
+        held = shared.write(held, f"rows/{k}", "_reached")
+        if k:
+            shared.remove(f"rows/{k - 1}")
+        part = part.join(pools.select("pool", "waiting"), "pool")
+        reach = held.filter("_reached").drop("_reached")
+        shared.write(part.groupBy("pool").cogroup(reach.groupBy("pool")).applyInPandas(step, STEP_SCHEMA), f"steps/_round={k}")
+        rows = _after(held, _rows(shared.read(f"steps/_round={k}", STEP_SCHEMA)))
+        if not by_id:
+            # By e-mail a cancelled row is out of reach for good.
+            rows = rows.filter("payment_status <> 'cancelled'")
+    steps = shared.read("steps", STEP_SCHEMA)
+    if not by_id:
+        rows = rows.unionByName(_rows(steps).filter("payment_status = 'cancelled'"))
+    return _decisions(steps).withColumn("pool", F.expr(PLAIN)), rows.withColumn("pool", F.expr(PLAIN))
+
+
+def _after(held: DataFrame, changed: DataFrame) -> DataFrame:
+    """The rows after a slice: those it could not reach stay as they are, of the others those it has not changed."""
+    same = held.filter("_reached").join(changed.select("pool", "n"), ["pool", "n"], "left_anti")
+    return held.filter("NOT _reached").unionByName(same).drop("_reached").unionByName(changed)
 
 
 def _decisions(out: DataFrame) -> DataFrame:
