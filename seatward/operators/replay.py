@@ -214,11 +214,14 @@ def replay_entries(desk: PoolDesk, log: pd.DataFrame) -> pd.DataFrame:
         else:
             result = desk.command(kind, now, email, None if target is None else int(target))
         decided.append((seq, *result))
+    del entries, targets
     rows = [desk.rows[n] for n in sorted(desk.changed)]
-    # Each column is built with its type: by way of floats, ids above 2^53 would be rounded.
-    columns = {c: [d[i] for d in decided] + [None] * len(rows) for i, c in enumerate(DECISION_FIELDS)}
-    columns |= {c: [None] * len(decided) + [r[c] for r in rows] for c in ROW_FIELDS}
-    out = pd.DataFrame({c: _typed(c, values) for c, values in columns.items()})
+    # Each column is built with its type: by way of floats, ids above 2^53 would be rounded. One at a time, as lists of all columns take as much as the rows.
+    columns = {c: _typed(c, [d[i] for d in decided] + [None] * len(rows)) for i, c in enumerate(DECISION_FIELDS)}
+    before = [None] * len(decided)
+    del decided
+    columns |= {c: _typed(c, before + [r[c] for r in rows]) for c in ROW_FIELDS}
+    out = pd.DataFrame(columns, copy=False)
     out["pool"] = log["pool"].iloc[0]
     return out
 

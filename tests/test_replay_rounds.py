@@ -1,8 +1,10 @@
-"""What a replay of many rounds leaves in the driver does not grow with the rounds."""
+"""What a replay of many rounds leaves in the driver does not grow with the rounds, and a slice's output takes little beside its rows."""
 
+import tracemalloc
 from datetime import timedelta
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from seatward.operators import replay
@@ -46,3 +48,15 @@ def test_a_pool_without_a_name(spark):
     got = {r["seq"]: (r["pool"], r["action"], r["waitlist_position"]) for r in decisions.collect()}
     assert got[4] == (None, "waitlisted", 4) and got[6] == (None, "cancel", None) and got[7] == (None, "waitlisted", 4)
     assert {r["id"]: (r["pool"], r["is_waitlist"], r["promoted_at"]) for r in rows.collect()}[1] == (None, False, minute(6))
+
+
+def test_the_output_of_a_slice_takes_little_beside_its_rows():
+    n = 5000
+    log = pd.DataFrame({"n": range(1, n + 1), "seq": range(n), "ts": pd.Timestamp("2026-05-01") + pd.to_timedelta(range(n), unit="s"), "kind": "create",
+                        "email": [f"user{i}@example.com" for i in range(n)], "pool": "equipe", "is_payer": False})
+    tracemalloc.start()
+    desk = replay.PoolDesk(100, 0, 0, int(HOLD.total_seconds() * 1_000_000))
+    out = replay.replay_entries(desk, log)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(out) == 2 * n and peak < 1.3 * held
